@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import langid, media
+from turnstone.llm import langid, licenses, media
 from turnstone.llm.common import documents
 
 
@@ -21,6 +21,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and signatures in every document."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as an image, read back and described."""
     described = media.media_features(media.store_payload(documents(spark, sf_dir)), carry=("n_bytes",))
@@ -33,6 +38,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
 
+    "op4_license_scan": op4_license_scan,
     "op6_media": op6_media,
 }
 
