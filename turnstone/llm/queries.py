@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import langid, licenses, media
+from turnstone.llm import langid, licenses, media, mixing
 from turnstone.llm.common import documents
 
 
@@ -35,11 +35,18 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a mix of all documents, by source weights, takes each of them."""
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
 
     "op4_license_scan": op4_license_scan,
     "op6_media": op6_media,
+    "op9_source_mix": op9_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
