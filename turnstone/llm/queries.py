@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import langid, licenses, media, mixing
+from turnstone.llm import langid, licenses, media, mixing, packing, topk
 from turnstone.llm.common import documents
 
 
@@ -41,11 +41,31 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+
+def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector with all others."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences that each hold the corpus's mix of sources."""
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
 
     "op4_license_scan": op4_license_scan,
     "op6_media": op6_media,
+    "op7_top_products": op7_top_products,
+    "op8_packing": op8_packing,
     "op9_source_mix": op9_source_mix,
 }
 
