@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import langid, licenses, media, mixing, packing, topk
+from turnstone.llm import langid, licenses, media, mixing, packing, quality, topk
 from turnstone.llm.common import documents
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of the documents that people found good, and whether it stays."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classify(documents(spark, sf_dir), quality.trusted(labels))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents outside the held-out quarter."""
     docs = documents(spark, sf_dir)
@@ -60,6 +66,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
 
     "op4_license_scan": op4_license_scan,
