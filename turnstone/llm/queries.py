@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import langid, licenses, media, mixing, packing, quality, topk
+from turnstone.llm import langid, licenses, media, mixing, packing, pii, quality, substrings, topk
 from turnstone.llm.common import documents
 
 
@@ -32,6 +32,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for the personal data in its text."""
+    return pii.replace_all(documents(spark, sf_dir).select("doc_id", "text")).select("doc.doc_id", "doc.text", "n_entities")
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as an image, read back and described."""
     described = media.media_features(media.store_payload(documents(spark, sf_dir)), carry=("n_bytes",))
@@ -59,6 +64,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 50-word windows that a document of smaller id has too."""
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -70,10 +80,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
 
     "op4_license_scan": op4_license_scan,
+    "op5_surrogates": op5_surrogates,
     "op6_media": op6_media,
     "op7_top_products": op7_top_products,
     "op8_packing": op8_packing,
     "op9_source_mix": op9_source_mix,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {}
