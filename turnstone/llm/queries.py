@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import langid, licenses, media, mixing, packing, pii, quality, substrings, topk
+from turnstone.llm import langid, licenses, media, mixing, neardup, packing, pii, quality, substrings, topk
 from turnstone.llm.common import documents
 
 
@@ -27,6 +27,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and signatures in every document."""
     return licenses.scan(documents(spark, sf_dir))
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
 
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_license_scan": op4_license_scan,
     "op5_surrogates": op5_surrogates,
     "op6_media": op6_media,
