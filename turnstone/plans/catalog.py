@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from turnstone.plans import interval_queries
+
 FLAGSHIP = "overlap_regions"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**interval_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**interval_queries.ORACLE_SQL}
