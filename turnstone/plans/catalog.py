@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnstone.plans import interval_queries
+from turnstone.plans import interval_queries, rollup_queries, text_queries
 
 FLAGSHIP = "overlap_regions"
+_PARTS = (interval_queries, text_queries, rollup_queries)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**interval_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**interval_queries.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

@@ -164,10 +164,11 @@ def speaker_overlap_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SESSIONS_SQL + EVENTS_SQL.removeprefix(TURNS_SQL) + """, met as (
   select a.clip_id, a.anchor, a.speaker, a.speakers, a.start_ms, a.end_ms, a.confidence, coalesce(bool_or(type = 'overlap'), false) as meets, coalesce(bool_or(type = 'interruption'), false) as interruption,
-    list_sort(list_distinct(list_concat(a.speakers, coalesce(flatten(list(f.speakers) filter (type = 'overlap')), [])))) as everyone
-  from anchors a left join found f on a.clip_id = f.clip_id and least(a.end_ms, f.end_ms) > greatest(a.start_ms, f.start_ms) group by all)
+    coalesce(flatten(list(f.speakers) filter (type = 'overlap')), []) as others
+  from anchors a left join found f on a.clip_id = f.clip_id and least(a.end_ms, f.end_ms) > greatest(a.start_ms, f.start_ms) group by 1, 2, 3, 4, 5, 6, 7),
+  joined as (select *, list_sort(list_distinct(list_concat(speakers, others))) as everyone from met)
   select clip_id, anchor::bigint as anchor, case when len(everyone) > 1 then 'OVERLAP' else speaker end as speaker, array_to_string(everyone, '+') as speakers, start_ms, end_ms, meets or speaker = 'OVERLAP' as overlap, interruption,
-    case when meets or speaker = 'OVERLAP' then least(confidence, 0.55) else confidence end::double as confidence, meets or speaker = 'OVERLAP' or (len(everyone) <= 1 and speaker = 'UNKNOWN') as needs_review from met""")
+    case when meets or speaker = 'OVERLAP' then least(confidence, 0.55) else confidence end::double as confidence, meets or speaker = 'OVERLAP' or (len(everyone) <= 1 and speaker = 'UNKNOWN') as needs_review from joined""")
 def temporal_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversation_turns(spark, sf_dir)
     found = anchors.temporal_anchors(anchors.sessionize(aligned(spark, sf_dir)).drop("n_words", "text"), all_events(turns))
