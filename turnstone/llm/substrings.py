@@ -202,11 +202,13 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = Fa
     seen = texts.dropDuplicates(["doc_id", "mark"])
     read = map_batches(seen.join(ranges, ["doc_id", "mark"]), _read_windows, "doc_id long, mark long, at int, one long, two long")
     windows = stage(read, "substrings-windows")
+    # Written, so that the join shuffles its sides by itself and Spark can split a common window's rows.
     first = windows.groupBy("one", "two").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
+    first = stage(first, "substrings-first")
     again = windows.join(first.select("one", "two", "first_doc"), ["one", "two"]).where("first_doc < doc_id").select("doc_id", "mark", F.col("at").alias("first"), F.col("at").alias("last"))
     gone = whole.unionByName(again).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
     gone = stage(gone, "substrings-gone")
-    drop(windows, ranges, open_, *index.runs)
+    drop(windows, first, ranges, open_, *index.runs)
     # Documents that go whole need no text; the others' kept words are hashed.
     counts = table.select("doc_id", "mark", "n_words", "sha")
     total = counts.dropDuplicates(["doc_id", "mark"]).join(gone, ["doc_id", "mark"]).select("doc_id", "mark", "n_words", "ranges", _joined_length(F.col("ranges")).alias("n_gone"))
