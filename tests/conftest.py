@@ -1,4 +1,13 @@
 import sys
 from pathlib import Path
 
+import pytest
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from turnstone.session import build_session
+
+    return build_session("tests", cpus=4)

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Disfluencies that cleaned error rates leave out. Fixed values.
 FILLERS = ("um", "uh", "mm-hmm", "mm", "hmm", "mhm", "mmhmm")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type by name needs a session when the module is imported
 def _nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for text in texts:
         yield text.str.normalize("NFKC")

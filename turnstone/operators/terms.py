@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from turnstone.functions.text import holds_phrase, phonetic_key
 
@@ -38,7 +39,7 @@ def phonetic_matches(texts: DataFrame, forms: DataFrame) -> DataFrame:
     return words.join(keyed, "key").where("word <> form").select("id", "word", "canonical")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
@@ -57,7 +58,7 @@ def fuzzy_matches(texts: DataFrame, forms: DataFrame, least: float = 0.82) -> Da
     return words.join(best, "word").select("id", "word", "canonical", "score")
 
 
-OPCODES = "array<struct<op:string,i1:int,i2:int,j1:int,j2:int>>"
+OPCODES = ArrayType(StructType([StructField("op", StringType()), *(StructField(name, IntegerType()) for name in ("i1", "i2", "j1", "j2"))]))
 
 
 @F.pandas_udf(OPCODES)
