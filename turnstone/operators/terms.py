@@ -78,7 +78,8 @@ def rule_correction(text: Column, terms: Column) -> Column:
     for source, replacement in CORRECTIONS:
         target = F.lit(replacement.lower())
         held = F.exists(low, lambda term: (term == target) | F.contains(term, target) | F.contains(target, term))  # noqa: B023
-        text = F.when(held, F.regexp_replace(text, rf"(?i)\b\Q{source}\E\b", replacement)).otherwise(text)
+        # The pattern is chosen, not the result: a choice between two texts would double the expression with each rule.
+        text = F.regexp_replace(text, F.when(held, F.lit(rf"(?i)\b\Q{source}\E\b")).otherwise(F.lit("(?!)")), F.lit(replacement))
     return text
 
 

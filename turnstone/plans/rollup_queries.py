@@ -14,7 +14,7 @@ from turnstone.sources.tables import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Rule predictions for the labelled documents.
-JUDGED_SQL = "judged as (select lang, case when quality = 1 then case when toxic = 1 then 'needs_review' else 'accept' end else 'reject' end as true, case when n_chars < 400 then 'reject' when n_chars > 6000 then 'needs_review' else 'accept' end as predicted from documents join labels using (doc_id))"
+JUDGED_SQL = 'judged as (select lang, case when quality = 1 then case when toxic = 1 then \'needs_review\' else \'accept\' end else \'reject\' end as "true", case when n_chars < 400 then \'reject\' when n_chars > 6000 then \'needs_review\' else \'accept\' end as predicted from documents join labels using (doc_id))'
 LABELS = ["accept", "needs_review", "reject"]
 
 
@@ -40,9 +40,9 @@ def group_summary_mean_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.summary(table(spark, sf_dir, "documents"), ["lang", "source"], ["n_chars", "doc_id"])
 
 
-@query("select l_shipmode, count(*) as n, round(avg(l_extendedprice), 6) as mean_l_extendedprice, round(median(l_extendedprice), 6) as median_l_extendedprice, array_to_string(list_sort(list_distinct(list(l_returnflag))), '; ') as l_returnflag from lineitem group by 1")
+@query("select l_returnflag, count(*) as n, round(avg(l_extendedprice), 6) as mean_l_extendedprice, round(median(l_extendedprice), 6) as median_l_extendedprice, array_to_string(list_sort(list_distinct(list(l_linestatus))), '; ') as l_linestatus from lineitem group by 1")
 def shipping_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.summary(table(spark, sf_dir, "lineitem"), ["l_shipmode"], ["l_extendedprice"], "l_returnflag")
+    return rollups.summary(table(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_extendedprice"], "l_linestatus")
 
 
 @query("select lang, source, count(*) as n, round(count(*) / sum(count(*)) over (partition by lang), 6) as share from documents group by 1, 2")
@@ -101,17 +101,17 @@ def fallback_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.first_by(met, ["o_custkey"], [place, F.col("o_orderkey")])
 
 
-@query(f"with {JUDGED_SQL} select true, predicted, count(*) as n from judged group by 1, 2")
+@query(f'with {JUDGED_SQL} select "true", predicted, count(*) as n from judged group by 1, 2')
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, sf_dir).groupBy("true", "predicted").agg(F.count("*").alias("n"))
 
 
 def _metrics_sql() -> str:
-    cells = ", ".join(f"count_if(true = '{x}' and predicted = '{x}') as tp_{x}, count_if(predicted = '{x}') as said_{x}, count_if(true = '{x}') as support_{x}" for x in LABELS)
+    cells = ", ".join(f"""count_if("true" = '{x}' and predicted = '{x}') as tp_{x}, count_if(predicted = '{x}') as said_{x}, count_if("true" = '{x}') as support_{x}""" for x in LABELS)
     ratio = lambda a, b: f"coalesce({a} / nullif({b}, 0), 0.0)"
     f1 = {x: ratio(f"2 * tp_{x}", f"(said_{x} + support_{x})") for x in LABELS}
     shown = ", ".join(f"round({ratio(f'tp_{x}', f'said_{x}')}, 6) as precision_{x}, round({ratio(f'tp_{x}', f'support_{x}')}, 6) as recall_{x}, round({f1[x]}, 6) as f1_{x}, support_{x}" for x in LABELS)
-    return f"with {JUDGED_SQL}, cells as (select lang, count(*) as n, count_if(true = predicted) as hits, {cells} from judged group by 1) select lang, n, round({ratio('hits', 'n')}, 6) as accuracy, round((0.0::double + {' + '.join(f1.values())}) / 3, 6) as macro_f1, {shown} from cells"
+    return f"""with {JUDGED_SQL}, cells as (select lang, count(*) as n, count_if("true" = predicted) as hits, {cells} from judged group by 1) select lang, n, round({ratio('hits', 'n')}, 6) as accuracy, round((0.0::double + {' + '.join(f1.values())}) / 3, 6) as macro_f1, {shown} from cells"""
 
 
 @query(_metrics_sql())
@@ -119,12 +119,12 @@ def selective_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.class_metrics(judged(spark, sf_dir), ["lang"], LABELS)
 
 
-_BINARY_SQL = "binary_rows as (select lang, case when true = 'accept' then 'safe_to_apply' else 'do_not_apply' end as true, case when predicted = 'accept' then 'safe_to_apply' else 'do_not_apply' end as predicted from judged)"
+_BINARY_SQL = """binary_rows as (select lang, case when "true" = 'accept' then 'safe_to_apply' else 'do_not_apply' end as "true", case when predicted = 'accept' then 'safe_to_apply' else 'do_not_apply' end as predicted from judged)"""
 _RATE = "round(coalesce(count_if({a}) / nullif(count_if({b}), 0), 0.0), 6)"
-_SAFE, _APPLIED = "true = 'safe_to_apply'", "predicted = 'safe_to_apply'"
+_SAFE, _APPLIED = "\"true\" = 'safe_to_apply'", "predicted = 'safe_to_apply'"
 
 
-@query(f"""with {JUDGED_SQL}, {_BINARY_SQL} select lang, count(*) as n, round(count_if(true = predicted) / count(*), 6) as accuracy, {_RATE.format(a=f'{_SAFE} and {_APPLIED}', b=_APPLIED)} as safe_apply_precision, {_RATE.format(a=f'{_SAFE} and {_APPLIED}', b=_SAFE)} as safe_apply_recall,
+@query(f"""with {JUDGED_SQL}, {_BINARY_SQL} select lang, count(*) as n, round(count_if("true" = predicted) / count(*), 6) as accuracy, {_RATE.format(a=f'{_SAFE} and {_APPLIED}', b=_APPLIED)} as safe_apply_precision, {_RATE.format(a=f'{_SAFE} and {_APPLIED}', b=_SAFE)} as safe_apply_recall,
   {_RATE.format(a=f'not {_SAFE} and {_APPLIED}', b=f'not {_SAFE}')} as unsafe_apply_rate, {_RATE.format(a=f'{_SAFE} and not {_APPLIED}', b=_SAFE)} as false_block_rate, {_RATE.format(a=_APPLIED, b='true is not null')} as coverage from binary_rows group by 1""")
 def binary_safety_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = lambda c: F.when(F.col(c) == "accept", "safe_to_apply").otherwise("do_not_apply").alias(c)

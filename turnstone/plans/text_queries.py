@@ -137,10 +137,10 @@ def rule_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("clip_id", "idx", F.md5("corrected").alias("corrected_md5"), (F.col("corrected") != F.col("raw")).alias("changed"))
 
 
-@query(f"with {TURNS_SQL}, found as (select clip_id, idx, unnest(regexp_extract_all(text, '(?i)\\b(?:on|the)\\s+([a-z]+)(?:[.,]|$)', 1)) as action from turns) select clip_id, idx, upper(action[1:1]) || action[2:] as action, count(*) as n from found group by all")
+@query(f"with {TURNS_SQL}, found as (select clip_id, idx, unnest(regexp_extract_all(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}])(?:on|the)\\s+([a-z]+)(?:[.,]|$)', 1)) as action from turns) select clip_id, idx, upper(action[1:1]) || action[2:] as action, count(*) as n from found group by all")
 def action_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What follows a cue word up to a stop, with a capital; the cues are words of the test texts."""
-    found = conversation_turns(spark, sf_dir).select("clip_id", "idx", F.explode(F.regexp_extract_all("text", F.lit("(?i)\\b(?:on|the)\\s+([a-z]+)(?:[.,]|$)"), 1)).alias("action"))
+    found = conversation_turns(spark, sf_dir).select("clip_id", "idx", F.explode(F.regexp_extract_all("text", F.lit("(?i)(?:^|[^\\p{L}\\p{N}])(?:on|the)\\s+([a-z]+)(?:[.,]|$)"), 1)).alias("action"))
     action = F.concat(F.upper(F.substring("action", 1, 1)), F.expr("substring(action, 2)"))
     return found.select("clip_id", "idx", action.alias("action")).groupBy("clip_id", "idx", "action").agg(F.count("*").alias("n"))
 
