@@ -88,7 +88,7 @@ def as_float(value: Column, default: float = 0.0) -> Column:
 def parse_list(value: Column) -> Column:
     """A JSON list, else parts between commas; trimmed, without empty ones."""
     listed = F.coalesce(F.from_json(value, "array<string>"), F.split(value, ","))
-    return F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def audio_stamp(seconds: Column) -> Column:
