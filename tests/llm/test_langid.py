@@ -46,7 +46,7 @@ def test_held_out_accuracy(spark):
 
 def test_odd_rows(spark, docs, no_docs):
     clashing = docs.withColumns({"score": F.lit("x"), "lang_pred": F.lit("x")})
-    trained = langid.train(docs.select("text", "lang"))
+    trained = langid.train(docs.where("doc_id <> 6").select("text", "lang"))  # 9000 times one word would be all of en
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(clashing, trained).collect()}
     assert langid.predict(clashing, trained).count() == docs.count()
     assert got[2] == got[3] == got[4] == got[7] == ("und", 0.0)

@@ -110,6 +110,6 @@ def mix(docs: DataFrame, limit: int = LIMIT, tilt: float = TILT, seed: str = SEE
 
 def apply_mix(docs: DataFrame, limit: int = LIMIT, tilt: float = TILT, seed: str = SEED) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; rows taken no time go."""
-    copies = mix(docs, limit, tilt, seed).where("copies > 0").select(F.col("doc_id").alias("mix_doc_id"), "copies").dropDuplicates(["mix_doc_id"])
+    copies = mix(docs, limit, tilt, seed).where("copies > 0").select(F.col("doc_id").alias("mix_doc_id"), F.col("copies").alias("mix_copies")).dropDuplicates(["mix_doc_id"])
     joined = docs.join(copies, docs["doc_id"] == F.col("mix_doc_id"))
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("mix_doc_id", "copies", "mix_copy")
+    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).drop("mix_doc_id", "mix_copies", "mix_copy")
