@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 from math import log
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from turnstone.llm import neardup
@@ -56,6 +57,33 @@ def test_star_of_copies_around_a_later_base(spark):
     assert sum(want[i] != got[i] for i in want) <= 1
 
 
+def test_large_star_of_copies_is_one_class(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+    rows = [(500, " ".join(base))]
+    for i in range(1000):  # each near the base, most too far from each other
+        own = list(base)
+        for at in rng.choice(400, 7, replace=False):
+            own[at] = f"x{i}-{at}"
+        rows.append((i if i < 500 else i + 1, " ".join(own)))
+    others = spark.range(1001, 121001).select(F.col("id").alias("doc_id"), F.concat(F.lit("other"), "id").alias("text"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(others)
+    got = neardup.near_duplicates(df)
+    assert got.where("doc_id <= 1000 and class_id <> 0").count() == 0
+    assert got.where("doc_id > 1000 and class_id <> doc_id").count() == 0
+
+
+def test_blocks_link_across_groups():
+    def row(i, own, label):
+        return i, label, np.zeros(neardup.DRAWS, "<u2").tobytes(), np.array(own, "<u4").tobytes(), b""
+
+    one, two, three = list(range(10)), [*range(9), 20], list(range(50, 60))
+    rows = [(7, 0, 0, True, *row(1, one, 1)), (7, 0, 0, False, *row(2, two, 2)), (7, 0, 0, False, *row(3, three, 3)), (7, 0, 1, True, *row(1, one, 1)), (7, 0, 1, False, *row(4, one, 1))]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=list("abcdefghi"))
+    out = pa.Table.from_batches(list(neardup._link_blocks(4.6, 0.8)([batch]))).to_pylist()
+    assert out == [{"a": 1, "b": 2}]
+
+
 def test_sampling_estimates_similarity():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 2**63, 3000).astype(np.uint64)

@@ -13,11 +13,14 @@ shingle with the least ln c - r * (t - b + 1) is drawn, with its t. Two texts dr
 weighted Jaccard similarity. The variates come from a table of VARIATES entries, and weights are whole steps of
 ln w, so what a shingle bids is looked up.
 
-Draws in bands of ROWS make buckets. Not all pairs of a bucket are made: texts that are linked at all are linked along
-a greatest spanning tree, so a bucket gives the edges of its greatest spanning tree by agreement of draws, and each
-text's NEAREST best agreements, all of at least LIKELY. Buckets of more than GROUP texts are dealt into groups of about
-that many, and there all texts are paired with the bucket's smallest doc_id as well. Pairs are verified by their weighted
-Jaccard similarity, over 32 bits of each shingle's hash. Links of at least THRESHOLD join texts; components of links are
+Draws in bands of ROWS make buckets. A bucket first gives the edges of its greatest spanning tree by agreement of draws,
+and each text's NEAREST best agreements, all of at least LIKELY. Buckets of more than GROUP texts are dealt into groups
+of about that many there, and all texts are paired with the bucket's smallest doc_id as well. Pairs are verified by their
+weighted Jaccard similarity, over 32 bits of each shingle's hash. Where a bucket's texts are then in several components,
+the best linked text of the largest component is paired with all texts outside it; and where they still are, each text
+outside the largest is compared with every other text of the bucket, block by block, unless links join the two already.
+So all pairs of a bucket whose draws agree in at least LIKELY are compared or in one class.
+Links of at least THRESHOLD join texts; components of links are
 the classes, and a class's id is its smallest doc_id.
 
 Null and empty texts (no words) are copies of each other only if both have no words. Repeated rows get the same class.
@@ -47,6 +50,8 @@ STEP, STEPS = 0.25, 64
 NAMING_BLOCK = 2048
 #: Texts of a bucket that are compared in one group, further pairs of a text, and their least agreement.
 GROUP, NEAREST, LIKELY = 512, 2, 0.6
+#: Texts of each side that are compared by all pairs in one block.
+BLOCK = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -265,22 +270,72 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return least / (float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - least)
 
 
+def _read(own: bytes, weight: bytes, top: float) -> tuple[np.ndarray, np.ndarray]:
+    shingle = np.frombuffer(own, "<u4")
+    return shingle, np.frombuffer(weight, np.float32) if weight else np.full(len(shingle), np.float32(top))
+
+
 def _compare(top: float):
     """Similarity of each row's two vectors."""
 
-    def read(own: bytes, weight: bytes) -> tuple[np.ndarray, np.ndarray]:
-        shingle = np.frombuffer(own, "<u4")
-        return shingle, np.frombuffer(weight, np.float32) if weight else np.full(len(shingle), np.float32(top))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, *packed = (batch.column(i).to_pylist() for i in range(6))
-            similarity = [weighted_jaccard(read(p, q), read(r, s)) for p, q, r, s in zip(*packed, strict=True)]
+            similarity = [weighted_jaccard(_read(p, q, top), _read(r, s, top)) for p, q, r, s in zip(*packed, strict=True)]
             yield to_batch({"a": a, "b": b, "similarity": similarity}, {"a": pa.int64(), "b": pa.int64(), "similarity": pa.float64()})
 
     return run
 
 
+def _link_blocks(top: float, threshold: float):
+    """Links between the strays and the other texts of each run of rows with equal bucket, i and j."""
+
+    def links(strays: list, every: list) -> list[tuple[int, int]]:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        if not strays or not every:
+            return []
+        drawn = np.frombuffer(b"".join(row[2] for row in every), "<u2").reshape(len(every), -1)
+        read = [_read(row[3], row[4], top) for row in every]
+        total = np.array([float(w.sum(dtype=np.float64)) for _, w in read])
+        found = []
+        for doc_id, label, draws, shingle, weight in strays:
+            mine = _read(shingle, weight, top)
+            size = float(mine[1].sum(dtype=np.float64))
+            agree = (drawn == np.frombuffer(draws, "<u2")).mean(axis=1)
+            # A similarity is at most the smaller over the larger total.
+            near = np.flatnonzero((agree >= LIKELY) & (np.minimum(total, size) >= (threshold - 1e-9) * np.maximum(total, size)))
+            for at in near[np.argsort(-agree[near], kind="stable")]:
+                other, its = every[at][0], every[at][1]
+                if other == doc_id or find(label) == find(its):
+                    continue
+                if weighted_jaccard(mine, read[at]) >= threshold:
+                    parent[find(label)] = find(its)
+                    found.append((min(doc_id, other), max(doc_id, other)))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, strays, every = None, [], []
+        for batch in batches:
+            out = []
+            for bucket, i, j, stray, *row in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
+                if (bucket, i, j) != key:
+                    out += links(strays, every)
+                    key, strays, every = (bucket, i, j), [], []
+                (strays if stray else every).append(row)
+            yield to_batch({"a": [a for a, _ in out], "b": [b for _, b in out]}, {"a": pa.int64(), "b": pa.int64()})
+        out = links(strays, every)
+        yield to_batch({"a": [a for a, _ in out], "b": [b for _, b in out]}, {"a": pa.int64(), "b": pa.int64()})
+
+    return run
+
+
 def components(edges: DataFrame, name: str = "neardup-components") -> DataFrame:
     """node and its component's smallest node, for the nodes of edges (a, b). Rounds end when no label changes."""
     both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
@@ -310,20 +365,37 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     firsts = stage(rows.groupBy("one", "two").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies")), "neardup-firsts")
     signed = map_batches(texts, _signatures(weights), "doc_id long, buckets array<long>, draws binary")
     signed = stage(signed.join(firsts.select("text_id").hint("merge"), F.col("doc_id") == F.col("text_id"), "left_semi"), "neardup-signatures")
-    links = stage(_candidates(signed), "neardup-candidates")
-    held = links.select(F.col("a").alias("held_id")).unionByName(links.select(F.col("b").alias("held_id"))).distinct()
-    wanted = texts.join(held.hint("merge"), F.col("doc_id") == F.col("held_id"), "left_semi")
+    members = stage(_members(signed), "neardup-members")
+    wanted = texts.join(members.select(F.col("doc_id").alias("held_id")).distinct().hint("merge"), F.col("doc_id") == F.col("held_id"), "left_semi")
     vectors = stage(map_batches(wanted, _vectors(weights), "doc_id long, shingles binary, weights binary").dropDuplicates(["doc_id"]), "neardup-vectors")
-    side = lambda x: vectors.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"{x}_shingles"), F.col("weights").alias(f"{x}_weights"))
-    paired = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_shingles", "a_weights", "b_shingles", "b_weights")
-    compared = map_batches(paired, _compare(float(np.log(1 / COMMON))), "a long, b long, similarity double")
-    found = stage(compared.where(F.col("similarity") >= threshold), "neardup-links")
-    drop(vectors, signed, links)
+    top = float(np.log(1 / COMMON))
+    links = stage(_candidates(signed, members), "neardup-candidates")
+    found = stage(_verified(links, vectors, top, threshold), "neardup-links")
     labels = components(found)
+    # Stars of each bucket's best linked text, then all pairs of what is still apart.
+    unlinked = stage(_open(members, labels), "neardup-open")
+    stars = stage(_verified(_stars(unlinked, found), vectors, top, threshold), "neardup-stars")
+    if not stars.isEmpty():
+        found = found.unionByName(stars)
+        drop(labels, unlinked)
+        labels = components(found)
+        unlinked = stage(_open(members, labels), "neardup-open")
+    rest = stage(_rest(unlinked, signed, vectors, top, threshold), "neardup-rest")
+    if not rest.isEmpty():
+        drop(labels)
+        labels = components(found.unionByName(rest))
+    drop(vectors, signed, links, members, unlinked)
     classes = firsts.join(labels, F.col("text_id") == F.col("node"), "left").select("one", "two", "n_copies", F.coalesce("label", "text_id").alias("class_id"))
     return rows.join(stage(classes, "neardup-classes"), ["one", "two"]).select("doc_id", "class_id", "n_copies")
 
 
+def _verified(links: DataFrame, vectors: DataFrame, top: float, threshold: float) -> DataFrame:
+    """Those of links (a, b) with a similarity of at least threshold."""
+    side = lambda x: vectors.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"{x}_shingles"), F.col("weights").alias(f"{x}_weights"))
+    paired = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_shingles", "a_weights", "b_shingles", "b_weights")
+    return map_batches(paired, _compare(top), "a long, b long, similarity double").where(F.col("similarity") >= threshold).select("a", "b")
+
+
 def _common_weights(texts: DataFrame, read: DataFrame, n: int) -> Weights:
     """Inverse document frequencies of the shingles that at least a share COMMON of all n documents hold."""
     named = read.where("named is not null").select(F.explode("named").alias("shingle")).distinct()
@@ -339,19 +411,62 @@ def _common_weights(texts: DataFrame, read: DataFrame, n: int) -> Weights:
     return Weights(common[order], idf, float(np.log(1 / COMMON)))
 
 
-def _candidates(signed: DataFrame) -> DataFrame:
-    """Likely pairs a < b of the texts of signed (doc_id, buckets, draws)."""
+def _members(signed: DataFrame) -> DataFrame:
+    """bucket, doc_id, smallest doc_id (head) and size n, of buckets of at least two texts."""
     pairs = signed.select("doc_id", F.explode("buckets").alias("bucket"))
     shared = pairs.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("head < last").select("bucket", "head", "n")
-    members = stage(pairs.join(shared, "bucket"), "neardup-members")
+    return pairs.join(shared, "bucket")
+
+
+def _partitions(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _candidates(signed: DataFrame, members: DataFrame) -> DataFrame:
+    """Likely pairs a < b of the texts of signed (doc_id, buckets, draws)."""
     large = members.where((F.col("n") > GROUP) & (F.col("head") < F.col("doc_id"))).select(F.col("head").alias("a"), F.col("doc_id").alias("b"))
     salt = F.pmod(F.xxhash64("doc_id", "bucket"), F.ceil(F.col("n") / GROUP)).cast("int")
     grouped = members.select("doc_id", "bucket", salt.alias("salt")).join(signed.select("doc_id", "draws"), "doc_id")
-    partitions = max(1, int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    grouped = grouped.select("bucket", "salt", "doc_id", "draws").repartition(partitions, "bucket", "salt").sortWithinPartitions("bucket", "salt", "doc_id")
+    grouped = grouped.select("bucket", "salt", "doc_id", "draws").repartition(_partitions(signed), "bucket", "salt").sortWithinPartitions("bucket", "salt", "doc_id")
     return map_batches(grouped, _pair_groups, "a long, b long").unionByName(large).where("a < b").distinct()
 
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets with texts in several components: bucket, doc_id, n, label, the label that most have, n_stray others.
+
+    In a bucket of at most NEAREST + 1 texts all likely pairs were candidates.
+    """
+    known = members.where(F.col("n") > NEAREST + 1).join(labels, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
+    known = stage(known, "neardup-known")
+    most = known.groupBy("bucket", "label").agg(F.count("*").alias("own"), F.max("n").alias("size")).groupBy("bucket").agg(F.max(F.struct("own", "label")).alias("most"), F.max("size").alias("size"))
+    most = most.where("most.own < size").select("bucket", F.col("most.label").alias("most"), (F.col("size") - F.col("most.own")).alias("n_stray"))
+    return known.join(most, "bucket")
+
+
+def _stars(unlinked: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs a < b of a bucket's best linked text of the component that most have, and the texts of other components."""
+    ends = found.select(F.col("a").alias("end")).unionByName(found.select(F.col("b").alias("end"))).groupBy("end").agg(F.count("*").alias("degree"))
+    inner = unlinked.where("label = most").join(ends, F.col("doc_id") == F.col("end"), "left")
+    hubs = inner.groupBy("bucket").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "doc_id")).getField("doc_id").alias("hub"))
+    pairs = unlinked.where("label <> most").select("bucket", "doc_id").join(hubs, "bucket")
+    return pairs.select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+
+
+def _rest(unlinked: DataFrame, signed: DataFrame, vectors: DataFrame, top: float, threshold: float) -> DataFrame:
+    """Links a, b that join the components of each bucket: every text outside the largest one meets every other text.
+
+    Those texts (strays) are dealt into groups, as are all texts; each group of strays meets each group of all.
+    """
+    groups = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("doc_id", "bucket"), groups(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), groups(n) - 1))
+    stray = unlinked.where("label <> most").select("bucket", deal("n_stray").alias("i"), others("n").alias("j"), F.lit(True).alias("stray"), "doc_id", "label")
+    every = unlinked.select("bucket", others("n_stray").alias("i"), deal("n").alias("j"), F.lit(False).alias("stray"), "doc_id", "label")
+    placed = stray.unionByName(every).join(signed.select("doc_id", "draws"), "doc_id").join(vectors, "doc_id")
+    placed = placed.select("bucket", "i", "j", "stray", "doc_id", "label", "draws", "shingles", "weights").repartition(_partitions(signed), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
+    return map_batches(placed, _link_blocks(top, threshold), "a long, b long").distinct()
+
+
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows whose class has a smaller doc_id. Rows without doc_id stay; repeated rows are one."""
     first = near_duplicates(docs, threshold).where("doc_id = class_id").select(F.col("class_id").alias("kept_id")).distinct()
