@@ -66,3 +66,27 @@ def test_rounds(tokens, kind):
         place = np.unique(np.linspace(0, own - 1, 500).astype(np.int64))
         at = rounds.sequence_of(np.full(len(place), queue), place)
         assert (sent[at, queue] <= place).all() and (sent[at + 1, queue] > place).all()
+
+
+def test_windows_hold_the_share_of_small_sources(spark):
+    rows = [(s * 40 + i, f"s{s:02}", "the cat sat " * (20 + (s + i) % 7)) for s in range(100) for i in range(40)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, source string, text string"), tokenizer_path()).collect()
+    check(pieces, {i: text for i, _, text in rows})
+    total, by_source, by_window = sum(p.length for p in pieces), defaultdict(int), defaultdict(int)
+    for p in pieces:
+        by_source[p.source] += p.length
+        by_window[p.sequence_id, p.source] += p.length
+    for number in range(total // 4096):
+        assert all(abs(by_window[number, source] - 4096 * n / total) < 3 for source, n in by_source.items())
+
+
+def test_rounds_of_sources_below_a_token_a_sequence():
+    tokens = [3000, 5, 1] + [40] * 60
+    rounds = packing.Rounds(tokens, 64)
+    n = -(-sum(tokens) // 64)
+    sent = rounds.sent(np.arange(n + 1))
+    assert (np.diff(sent, axis=0) >= 0).all() and sent[-1].tolist() == tokens
+    assert sent.sum(axis=1).tolist() == [min(i * 64, sum(tokens)) for i in range(n + 1)]
+    found = rounds.pieces(np.arange(len(tokens)), np.zeros(len(tokens), np.int64), np.array(tokens))
+    place = sorted(zip(found["sequence"].tolist(), found["offset"].tolist(), found["length"].tolist(), strict=True))
+    assert [s * 64 + o for s, o, _ in place] == list(np.cumsum([0] + [k for _, _, k in place])[:-1]) and sum(k for _, _, k in place) == sum(tokens)

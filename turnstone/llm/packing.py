@@ -1,15 +1,14 @@
-"""Mixture-controlled packing: deficit round-robin over source queues.
-
-Every source is a queue of its documents' tokens. Each sequence gives every queue its quantum, the queue's share of all
-tokens; what doesn't make a whole token is the queue's deficit, which the next sequence carries on. The largest queue
-takes what the others' rounding leaves. So after w sequences a queue has sent floor(tokens packed * share) tokens, a
-number that any task can work out for any sequence: deficits cross sequences and partitions without passing a state on.
-All queues run dry together in the last sequence, so nothing but that one is padded, and every sequence holds the mix.
-
-A queue's share must give the largest queue at least a token a sequence, so sources of less than 1 / QUEUES of all tokens
-share one queue, source after source. The null source is a source like any other. Null text is empty: it has only the
-end-of-document token. Within a queue, documents keep the order of the input's partitions. Repeated rows are packed as
-often as they come.
+"""Mixture-controlled packing: a fair merge of source queues.
+
+Every source is a queue of its documents' tokens. Token k of a queue of n is due at (k + 1/2) / n of the whole, in ticks
+of one token; queues are merged by due time, then by source, and each LENGTH tokens of the merge are a sequence, in which
+a queue's tokens lie together. So any task can work out which sequence holds a token from the queues' numbers of tokens:
+nothing crosses sequences and partitions as a state. A queue is never more than a few tokens from its share of the tokens
+packed, however small the share; a queue of less than a token a sequence sends one every few sequences. All queues run
+dry together in the last sequence, so nothing but that one is padded, and every sequence holds the mix.
+
+The null source is a source like any other. Null text is empty: it has only the end-of-document token. Within a queue,
+documents keep the order of the input's partitions. Repeated rows are packed as often as they come.
 """
 
 from __future__ import annotations
@@ -28,7 +27,8 @@ from turnstone.llm.common import drop, map_batches, stage, to_batch, utf8
 
 LENGTH = 4096
 END = 2
-QUEUES = 32
+#: Entries of a matrix of places by queues that are worked out at once.
+ENTRIES = 1 << 21
 #: Words whose ids a worker remembers; when full, it starts anew.
 REMEMBERED = 800_000
 #: Punctuation that the tokenizer takes as one piece after letters.
@@ -136,42 +136,65 @@ class Rounds:
 
     def __init__(self, tokens: list[int], length: int):
         self.length, self.total = length, sum(tokens)
-        kind = np.int64 if self.total * self.total < 2**62 else object
+        kind = np.int64 if self.total * self.total < 2**60 else object
         self.tokens = np.array(tokens, kind)
-        self.largest = int(np.argmax(self.tokens)) if tokens else 0
+
+    def _due(self, ticks: np.ndarray) -> np.ndarray:
+        """Tokens of each queue (a column) that are due before each tick."""
+        due = -((self.total - 2 * self.tokens[None, :] * ticks[:, None]) // (2 * self.total))
+        return np.maximum(due, 0)
 
     def sent(self, sequences: np.ndarray) -> np.ndarray:
         """Tokens that each queue (a column) has sent when that many sequences are full."""
-        packed = np.minimum(sequences.astype(self.tokens.dtype) * self.length, self.total)[:, None]
-        sent = packed * self.tokens[None, :] // self.total
-        sent[:, self.largest] += packed[:, 0] - sent.sum(axis=1)
-        return sent.astype(np.int64)
+        packed = np.minimum(sequences.astype(self.tokens.dtype) * self.length, self.total)
+        # The last tick before which no more than that is due; it differs from packed by half a token a queue at most.
+        low, high = np.maximum(packed - len(self.tokens) - 1, 0), np.minimum(packed + len(self.tokens) + 1, self.total)
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            fits = self._due(middle).sum(axis=1) <= packed
+            low, high = np.where(fits, middle, low), np.where(fits, high, middle - 1)
+        due = self._due(low)
+        now = self._due(low + 1) - due
+        left = (packed - due.sum(axis=1))[:, None] - (np.cumsum(now, axis=1) - now)
+        return (due + np.minimum(np.maximum(left, 0), now)).astype(np.int64)
 
     def sequence_of(self, queue: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The sequence, from 0, that holds each place of each queue."""
-        own = self.tokens[queue]
-        packed = -((-(place.astype(self.tokens.dtype) + 1) * self.total) // own)
-        after = (-(-packed // self.length)).astype(np.int64)
-        mine = np.flatnonzero(queue == self.largest)
-        while len(mine):  # the largest queue may be a few tokens ahead of its share
-            mine = mine[after[mine] > 1]
-            ahead = self.sent(after[mine] - 1)[:, self.largest] > place[mine]
-            mine = mine[ahead]
-            after[mine] -= 1
-        return after - 1
+        out, some = np.empty(len(place), np.int64), max(1, ENTRIES // len(self.tokens))
+        for start in range(0, len(place), some):
+            own, at = queue[start : start + some], place[start : start + some].astype(self.tokens.dtype)
+            tick = (2 * at + 1) * self.total // (2 * self.tokens[own])
+            due, row = self._due(tick), np.arange(len(at))
+            now = self._due(tick + 1) - due
+            before = (np.cumsum(now, axis=1) - now)[row, own] + due.sum(axis=1) + at - due[row, own]
+            out[start : start + some] = (before // self.length).astype(np.int64)
+        return out
+
+    def _parts(self, sequence: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For a queue in a sequence: tokens that it has sent before and after, and tokens of other queues before its own."""
+        out, some = np.empty((3, len(own)), np.int64), max(1, ENTRIES // len(self.tokens))
+        for start in range(0, len(own), some):
+            one, place = np.unique(sequence[start : start + some], return_inverse=True)
+            before, after = self.sent(one), self.sent(one + 1)
+            ahead, queue = np.cumsum(after - before, axis=1) - (after - before), own[start : start + some]
+            out[:, start : start + some] = before[place, queue], after[place, queue], ahead[place, queue]
+        return out[0], out[1], out[2]
 
     def pieces(self, queue: np.ndarray, start: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
         """Pieces of documents of n > 0 tokens from start on in their queues: row, sequence, start, length, offset."""
         first, last = self.sequence_of(queue, start), self.sequence_of(queue, start + n - 1)
-        many = last - first + 1
+        # By sequences, or by tokens where there are fewer of them.
+        many = np.minimum(last - first + 1, n)
         row = np.repeat(np.arange(len(n)), many)
-        sequence = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-        before, after = self.sent(sequence), self.sent(sequence + 1)
-        own, at = queue[row], np.arange(len(row))
-        low = np.maximum(before[at, own], start[row])
-        high = np.minimum(after[at, own], start[row] + n[row])
-        ahead = np.cumsum(after - before, axis=1)[at, own] - (after - before)[at, own]
-        found = {"row": row, "sequence": sequence, "start": low - start[row], "length": high - low, "offset": ahead + low - before[at, own]}
+        at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        sequence, sparse = first[row] + at, (last - first + 1 > n)[row]
+        sequence[sparse] = self.sequence_of(queue[row[sparse]], start[row[sparse]] + at[sparse])
+        single = np.append(True, (np.diff(row) != 0) | (np.diff(sequence) != 0))[: len(row)]
+        row, sequence = row[single], sequence[single]
+        before, after, ahead = self._parts(sequence, queue[row])
+        low = np.maximum(before, start[row])
+        high = np.minimum(after, start[row] + n[row])
+        found = {"row": row, "sequence": sequence, "start": low - start[row], "length": high - low, "offset": ahead + low - before}
         return {name: values[high > low] for name, values in found.items()}
 
 
@@ -199,21 +222,17 @@ def _pack(tokens: list[int], length: int, with_ids: bool):
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
     """A row for each piece of docs (doc_id, source, text): where it starts and where it lies; with_ids adds its ids.
 
-    The tokens are written once, as a table in the shared folder. The driver gets the tokens of at most QUEUES sources.
+    The tokens are written once, as a table in the shared folder. The driver and the tasks get each source's tokens.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     tokens = stage(map_batches(rows, _tokenize(tokenizer_path, end), _TOKENS_SCHEMA), "pack-tokens")
     parts = stage(tokens.groupBy("source", "part").agg(F.sum("n").alias("n")), "pack-parts")
-    total = parts.agg(F.sum("n").alias("n")).first().n or 0
-    large = [(row.source, row.n) for row in parts.groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") * QUEUES >= total).collect()]
-    large.sort(key=lambda x: (x[0] is None, x[0] or ""))
-    rest = total - sum(n for _, n in large)
-    numbers = [n for _, n in large] + [rest] * (rest > 0)
-    queue = F.lit(len(large))
-    for i, (source, _) in enumerate(large):
-        queue = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(i)).otherwise(queue)
-    before = Window.partitionBy("queue").orderBy(F.col("source").asc_nulls_last(), "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.withColumn("queue", queue.cast("long")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    queues = [(row.source, row.n) for row in parts.groupBy("source").agg(F.sum("n").alias("n")).collect()]
+    queues.sort(key=lambda x: (x[0] is None, x[0] or ""))
+    numbers = [n for _, n in queues]
+    numbered = docs.sparkSession.createDataFrame([(source, i) for i, (source, _) in enumerate(queues)], "queue_source string, queue long")
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(numbered), F.expr("source <=> queue_source"))
     starts = stage(starts.select(F.col("source").alias("start_source"), F.col("part").alias("start_part"), "queue", "before"), "pack-starts")
     placed = tokens.join(starts, F.expr("source <=> start_source and part = start_part"))
     placed = placed.select("doc_id", "source", "queue", (F.col("before") + F.col("first")).alias("start"), "n", "ids")
