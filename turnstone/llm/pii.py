@@ -60,10 +60,6 @@ PATTERNS = {
 }
 LONGEST = 180
 ANY = "|".join(f"(?:{pattern})" for pattern in PATTERNS.values())
-#: What a text must hold to hold any entity: the first gate.
-HINT = r"@|[0-9]{4}|[0-9]\.[0-9]|[0-9]-[0-9]|(?i:key|token|secret|passw|pwd|passphrase)|[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}|" + rf"(?:{_TITLE})\.? \p{{Lu}}"
-
-
 def _kind(entity: Column) -> Column:
     """The first type whose pattern is all of the entity. Look-behinds see nothing there, so cues don't count."""
     found = F.lit("birth")
@@ -235,7 +231,7 @@ def replace_all(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc (a struct of docs' columns, with surrogates in text) and n_entities, for each row of docs."""
     text = F.col("doc.text")
     rows = docs.select(F.struct("*").alias("doc"))
-    may_hold = F.coalesce(text.rlike(HINT), F.lit(False))
+    may_hold = F.coalesce(text.rlike(ANY), F.lit(False))
     holders = stage(rows.where(may_hold).select("doc", found_in(text).alias("found"), F.monotonically_increasing_id().alias("row")), "pii-holders")
     each = holders.select("row", F.posexplode("found").alias("at", "entity")).withColumn("kind", _kind(F.col("entity")))
     each = each.withColumn("normal", _normal(F.col("entity"), F.col("kind"))).withColumn("form", entity_form(F.col("entity"), F.col("kind")))
