@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -49,8 +50,10 @@ def test_odd_rows(spark, docs, no_docs):
 def test_tokenizer_agrees_on_odd_text():
     plain = Tokenizer.from_file(tokenizer_path())
     texts = ["a\x1cb\x85c d e", "İstanbul ΣΑΣ don't I'LL x<|endoftext|>y", "é ́x", "日本語 text 123", "�\U0001f600"]
-    for text, ids in zip(texts, packing.WordTokenizer(tokenizer_path(), remembered=3).encode([t.encode() for t in texts]), strict=True):
-        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    ids, n = packing.WordTokenizer(tokenizer_path(), remembered=3).encode(pa.array([*texts, None, "", "  x  "]))
+    assert n.sum() == len(ids) and n[-3:].tolist()[:2] == [0, 0]
+    for text, own in zip([*texts, "", "", "  x  "], np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert own.tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("kind", [np.int64, object])

@@ -10,12 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Documents can be long, so batches hold few of them.
 BATCH_ROWS = 512
+#: Bytes of text that a task works on at once; a longer text is worked on by itself.
+SLICE_BYTES = 4 << 20
 
 _own: dict[str, str] = {}
 
@@ -66,6 +69,36 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], at: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about limit bytes in the column at that place; a longer value comes by itself."""
+    held, bytes_held = [], 0
+
+    def out() -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+        held.clear()
+        return whole
+
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(size[start - 1]) if start else 0
+            after = int(np.searchsorted(size, before + limit - bytes_held, "right"))
+            if after == start and held:
+                yield out()
+                bytes_held = 0
+                continue
+            after = max(after, start + 1)
+            held.append(batch.slice(start, after - start))
+            bytes_held += int(size[after - 1]) - before
+            start = after
+            if bytes_held >= limit:
+                yield out()
+                bytes_held = 0
+    if held:
+        yield out()
+
+
 def to_batch(columns: dict, types: dict[str, pa.DataType]) -> pa.RecordBatch:
     """A record batch with these columns, in the order of types."""
     return pa.RecordBatch.from_arrays([pa.array(columns[name], kind) for name, kind in types.items()], names=list(types))
@@ -86,6 +119,24 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of all texts, at ASCII white space; the place there of each word in turn; words of each text.
+
+    Null texts have no words.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    place, different = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    # White space at the ends of a text leaves an empty word.
+    empty = pc.index(different, "").as_py()
+    if empty >= 0:
+        real = place != empty
+        owner = np.repeat(np.arange(len(n)), n)[real]
+        place, n = place[real], np.bincount(owner, minlength=len(n))
+    return different, place, n
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the finalizer of splitmix64)."""
     values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

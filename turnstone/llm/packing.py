@@ -14,25 +14,31 @@ documents keep the order of the input's partitions. Repeated rows are packed as
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import drop, map_batches, stage, to_batch, utf8
+from turnstone.llm.common import drop, map_batches, slices, split_words, stage, to_batch
 
 LENGTH = 4096
 END = 2
 #: Entries of a matrix of places by queues that are worked out at once.
 ENTRIES = 1 << 21
-#: Words whose ids a worker remembers; when full, it starts anew.
-REMEMBERED = 800_000
-#: Punctuation that the tokenizer takes as one piece after letters.
-_TAIL = b"!\"#$%&()*+,-./:;=?@[]^_`{}~"
+#: Bytes of text that are tokenized at once.
+TEXT_BYTES = 6 << 20
+#: Pieces whose ids a worker remembers; when full, it starts anew.
+REMEMBERED = 1_000_000
+#: Punctuation that the tokenizer takes as one piece after letters, what isn't that, and a word of Latin-1 letters.
+_TAIL = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
+_NOT_TAIL = r"^[^!\"#$%&()*+,\-./:;=?@\[\]^_`{}~]*"
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]*$"
 
 
 @cache
@@ -42,66 +48,74 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def _letters_of_bytes() -> dict[int, int]:
+    """The letter that a byte-level model has for each byte: its own where that prints, else the next from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [i for i in range(256) if i not in prints]
+    return dict(zip(prints, prints, strict=True)) | {byte: 256 + i for i, byte in enumerate(rest)}
+
+
+def _byte_letters(piece: str) -> str:
+    return piece.encode().decode("latin-1").translate(_letters_of_bytes())
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer that lower-cases and drops white space, so that words are encoded once and remembered.
 
-    A new word that is Latin-1 letters, or those and punctuation after them, is two of the tokenizer's own pieces, which
-    are remembered too; unknown pieces are encoded together. Any other word is encoded as it stands.
+    A word that is Latin-1 letters, or those and punctuation after them, is two of the tokenizer's own pieces, which are
+    remembered. Any other word is a piece of its own and goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.path, self.remembered, self.known, self.pieces = path, remembered, {}, {}
-
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, bytes] | None:
-        core = word.lower().rstrip(_TAIL)
-        tail = word[len(core) :]
-        if not core.isalpha():  # not ASCII letters alone
-            try:
-                text = core.decode().lower()
-                text.encode("latin-1")
-            except UnicodeError:
-                return None
-            if not text.isalpha():
-                return None
-            core = text.encode()
-        return core, tail
-
-    def _encode_pieces(self, new: list[bytes]) -> None:
-        """Encode pieces that are whole for the tokenizer, many in one text."""
-        for start in range(0, len(new), 1024):
-            some = new[start : start + 1024]
-            coded = _tokenizer(self.path).encode(b" ".join(some).decode(), add_special_tokens=False)
-            ids, owner = np.array(coded.ids, "<u4"), np.array(coded.word_ids)
-            cuts = np.searchsorted(owner, np.arange(len(some) + 1))
-            for i, piece in enumerate(some):
-                self.pieces[piece] = ids[cuts[i] : cuts[i + 1]].tobytes()
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.remembered:
-            self.known = {}
-        if len(self.pieces) > self.remembered:
-            self.pieces = {b"": b""}
-        self.pieces.setdefault(b"", b"")
-        parts = {word: self._parts(word) for word in words}
-        self._encode_pieces(list({p for pair in parts.values() if pair for p in pair if p not in self.pieces}))
-        for word, pair in parts.items():
-            if pair:
-                self.known[word] = self.pieces[pair[0]] + self.pieces[pair[1]]
-        others = [word for word, pair in parts.items() if pair is None]
-        for start in range(0, len(others), 4096):
-            some = others[start : start + 4096]
-            coded = _tokenizer(self.path).encode_batch_fast([word.decode("utf-8", "replace") for word in some], add_special_tokens=False)
-            self.known.update((word, np.array(one.ids, "<u4").tobytes()) for word, one in zip(some, coded, strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [text.split() for text in texts]  # at ASCII white space, which never lies in a token
-        new = {word for words in split for word in words if word not in self.known}
-        if len(self.known) + len(new) > self.remembered:
-            new = {word for words in split for word in words}
-        self._learn(new)
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+        self.path, self.remembered, self.pieces = path, remembered, {}
+        self.model = _tokenizer(path).model
+
+    def _encode_whole(self, new: list[str]) -> None:
+        """Encode pieces that are whole for the tokenizer, so that its model alone is needed."""
+        cut = self.model.tokenize
+        for piece in new:
+            self.pieces[piece] = array("I", [one.id for one in cut(piece if piece.isascii() else _byte_letters(piece))]).tobytes()
+
+    def _encode_others(self, new: list[str]) -> None:
+        for start in range(0, len(new), 4096):
+            some = new[start : start + 4096]
+            coded = _tokenizer(self.path).encode_batch_fast(some, add_special_tokens=False)
+            self.pieces.update((word, np.array(one.ids, "<u4").tobytes()) for word, one in zip(some, coded, strict=True))
+
+    def _ids(self, pieces: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in turn, and how many each has."""
+        listed = pieces.to_pylist()
+        if len(self.pieces) + len(listed) > self.remembered:
+            self.pieces = {}
+        self.pieces.setdefault("", b"")
+        coded = list(map(self.pieces.get, listed))
+        if None in coded:
+            encode([piece for piece, ids in zip(listed, coded, strict=True) if ids is None])
+            coded = list(map(self.pieces.__getitem__, listed))
+        return np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and how many each text has. ASCII white space never lies in a token."""
+        words, place, n = split_words(texts)
+        core = pc.utf8_rtrim(words, characters=_TAIL)
+        whole = pc.match_substring_regex(core, _LETTERS)
+        core = pc.if_else(whole, pc.utf8_lower(core), "").dictionary_encode()
+        tail = pc.if_else(whole, pc.replace_substring_regex(words, pattern=_NOT_TAIL, replacement=""), "").dictionary_encode()
+        other = pc.if_else(whole, "", words).dictionary_encode()
+        ids, first, length = np.zeros(0, "<u4"), [], []
+        for part, encode in ((core, self._encode_whole), (tail, self._encode_whole), (other, self._encode_others)):
+            own, size = self._ids(part.dictionary, encode)
+            at = part.indices.to_numpy(zero_copy_only=False)
+            first.append((len(ids) + np.cumsum(size) - size)[at])
+            length.append(size[at])
+            ids = np.concatenate([ids, own])
+        # Each word is its core, its tail and, if those are empty, itself.
+        first, length = np.stack(first, axis=1)[place].reshape(-1), np.stack(length, axis=1)[place].reshape(-1)
+        through = np.cumsum(length)
+        edge = np.append(0, through[2::3])[np.append(0, np.cumsum(n))]
+        total = int(length.sum())
+        return ids[np.repeat(first - (through - length), length) + np.arange(total)], np.diff(edge)
 
 
 @cache
@@ -118,15 +132,18 @@ def _tokenize(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _words_of(path)
         part, sent = TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in slices(batches, 2, TEXT_BYTES):
             sources = batch.column(1).to_pylist()
-            ids = [np.append(x, np.uint32(end)) for x in tokenizer.encode(utf8(batch.column(2)))]
+            ids, n = tokenizer.encode(batch.column(2))
+            ids, n = np.insert(ids, np.cumsum(n), end), n + 1
             first = []
-            for source, own in zip(sources, ids, strict=True):
+            for source, own in zip(sources, n.tolist(), strict=True):
                 first.append(sent.get(source, 0))
-                sent[source] = first[-1] + len(own)
-            narrow = all(own.max() < 65536 for own in ids)
-            yield to_batch({"part": [part] * len(ids), "doc_id": batch.column(0), "source": sources, "first": first, "n": [len(x) for x in ids], "ids": [x.astype("<u2" if narrow else "<u4").tobytes() for x in ids]}, _TOKENS)
+                sent[source] = first[-1] + own
+            wide = 2 if ids.max(initial=0) < 65536 else 4
+            cut = np.append(0, np.cumsum(n)) * wide
+            whole = ids.astype(f"<u{wide}").tobytes()
+            yield to_batch({"part": [part] * len(n), "doc_id": batch.column(0), "source": sources, "first": first, "n": n, "ids": [whole[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]}, _TOKENS)
 
     return run
 
