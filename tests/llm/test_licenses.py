@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 
@@ -71,3 +73,21 @@ def test_odd_rows(spark, docs, no_docs):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == (0, 0, None, None, "", "", 0.0)
     assert out.where("doc_id = 6").first().n_words == 9002
     assert licenses.scan(no_docs).count() == 0
+
+
+def test_suppression_against_all_pairs():
+    rng = random.Random(4)
+    for _ in range(200):
+        found = [(a, a + rng.randrange(1, 9), rng.randrange(len(licenses.rules()))) for a in (rng.randrange(30) for _ in range(40))]
+        kept = []
+        for one in sorted(found, key=lambda d: (-licenses.rules()[d[2]].priority, d[0] - d[1], d)):
+            if not any(a <= one[0] and one[1] <= b for a, b, _ in kept):
+                kept.append(one)
+        assert licenses.resolve(found) == kept
+
+
+def test_a_long_bundle_of_licenses_takes_seconds():
+    text = ("Licensed under the MIT License or the Apache License, Version 2.0; GNU General Public License v3 too.\n" * 100_000).encode()
+    began = time.time()
+    out = licenses.describe(text)
+    assert out[1] == 300_000 and out[5] == "apache,apache-2.0,gpl,gpl-3.0,mit" and time.time() - began < 60
