@@ -38,3 +38,15 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 256 * 5)]
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_lengths_and_large_components(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=3 + i % 2) * 10.0 ** rng.integers(0, 7)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = set()
+    for d in (3, 4):
+        want |= brute([r for r in rows if len(r[1]) == d], lambda i: i % 10 in (0, 5))
+    assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0, block=16).collect()} == want
+    huge = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 2.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63))]

@@ -6,9 +6,11 @@ blocks, first meet the longest vectors, which gives each a lower bound of its k-
 can still reach it. Within a block, a pair is dropped as soon as the product of its first coordinates plus the product
 of the lengths of what is left can't reach the bound. What remains is scored in whole numbers.
 
-Vectors that are null, empty, of another length than most, or that hold null or non-finite components take no part, nor
-do those with components of 2**27 and more, whose products wouldn't fit 64 bits. Equal scores go to the smaller id.
-Repeated ids are candidates of their own; a query never meets rows of its own id.
+Vectors that are null or empty, or that hold null or non-finite components, take no part. An inner product needs two
+vectors of one length, so vectors of each length are searched by themselves, one length after the other. Products are
+exact: in doubles where those hold them, else in 64 bits, else in Python's whole numbers; a component or score beyond 64
+bits counts as the nearest that fits. Equal scores go to the smaller id. Repeated ids are candidates of their own; a
+query never meets rows of its own id.
 """
 
 from __future__ import annotations
@@ -28,13 +30,12 @@ K = 5
 BLOCK, QUERY_BLOCK = 4096, 512
 #: Rotated coordinates in the partial sums.
 LEADING = 16
-LARGEST = float(1 << 27)
 
 
 def whole_vectors(vectors: DataFrame, key: str, column: str, scale: int) -> DataFrame:
     """id, v (array of long) for the vectors that take part."""
     x = F.transform(F.col(column), lambda c: F.floor(c.cast("double") * scale))
-    fine = F.forall(F.col(column), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double") * scale) < LARGEST))
+    fine = F.forall(F.col(column), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
     return vectors.where(F.col(column).isNotNull() & (F.size(column) > 0) & F.coalesce(fine, F.lit(False)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), x.alias("v"))
 
 
@@ -71,7 +72,7 @@ def _blocks(d: int, size: int):
 
     def cut(ids: np.ndarray, rows: np.ndarray, floors: np.ndarray) -> pa.RecordBatch:
         longest = float(np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1).max()))
-        return to_batch({"n": [len(ids)], "longest": [longest], "least": [float(floors.min())], "ids": [ids.tobytes()], "rows": [rows.astype(np.int32).tobytes()], "floors": [floors.tobytes()]}, _BLOCK)
+        return to_batch({"n": [len(ids)], "longest": [longest], "least": [float(floors.min())], "ids": [ids.tobytes()], "rows": [rows.astype(np.int32 if np.abs(rows.astype(np.float64)).max() < 2**31 - 1 else np.int64).tobytes()], "floors": [floors.tobytes()]}, _BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows, floors = np.zeros(0, np.int64), np.zeros((0, d), np.int64), np.zeros(0)
@@ -88,14 +89,22 @@ def _blocks(d: int, size: int):
     return run
 
 
+def _rows(data: bytes, n: int, d: int) -> np.ndarray:
+    return np.frombuffer(data, np.int32 if len(data) == 4 * n * d else np.int64).reshape(n, d).astype(np.int64)
+
+
 _FOUND = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole rows; doubles hold them where they stay under 2**53."""
-    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < 2**53:
+    """Exact inner products of whole rows."""
+    bound = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * a.shape[1]
+    if bound < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    if bound < 2**62:
+        return a @ b.T
+    least, most = -(2**63), 2**63 - 1
+    return np.array([[min(max(x, least), most) for x in row] for row in a.astype(object) @ b.astype(object).T], np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -111,8 +120,7 @@ def _search(d: int, k: int, rotate: np.ndarray, leading: int):
         for batch in batches:
             for one in batch.to_pylist():
                 query_ids, ids = np.frombuffer(one["query_ids"], np.int64), np.frombuffer(one["ids"], np.int64)
-                queries = np.frombuffer(one["query_rows"], np.int32).reshape(-1, d).astype(np.int64)
-                rows = np.frombuffer(one["rows"], np.int32).reshape(-1, d).astype(np.int64)
+                queries, rows = _rows(one["query_rows"], len(query_ids), d), _rows(one["rows"], len(ids), d)
                 floor = np.frombuffer(one["floors"], np.float64)
                 turned_q, turned = queries @ rotate, rows @ rotate
                 rest_q, rest = np.linalg.norm(turned_q[:, leading:], axis=1), np.linalg.norm(turned[:, leading:], axis=1)
@@ -143,17 +151,25 @@ def top_k(vectors: DataFrame, is_query, k: int = K, key: str = "vec_id", column:
     Repeated query ids are asked once, with the smallest of their vectors. Blocks of queries meet blocks of candidates
     in groups: a block of candidates lies in one group, a block of queries is sent to each.
     """
+    lengths = sorted(row.d for row in vectors.where(F.size(column) > 0).select(F.size(column).alias("d")).distinct().collect())
+    found = [_top_k(vectors.where(F.size(column) == d), is_query, d, k, key, column, scale, block, query_block) for d in lengths or [1]]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _top_k(vectors: DataFrame, is_query, d: int, k: int, key: str, column: str, scale: int, block: int, query_block: int) -> DataFrame:
+    """top_k for vectors of one length."""
     spark = vectors.sparkSession
-    sizes = vectors.where(F.col(column).isNotNull()).groupBy(F.size(column).alias("d")).count().where("d > 0").orderBy(F.desc("count"), "d").first()
-    d = sizes.d if sizes else 1
     none = F.lit(float("-inf")).alias("floor")
-    whole = stage(whole_vectors(vectors, key, column, scale).where(F.size("v") == d), "topk-vectors")
+    whole = stage(whole_vectors(vectors, key, column, scale), "topk-vectors")
     rotate = rotation(whole, d)
     search = _search(d, k, rotate, min(LEADING, d))
     squares = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
     by_length = whole.withColumn("length", squares).repartitionByRange(F.desc("length"), F.col("id")).sortWithinPartitions(F.desc("length"), "id")
     blocks = stage(by_length.select("id", "v", none).mapInArrow(_blocks(d, block), _BLOCK_SCHEMA), "topk-blocks")
-    asked = whole_vectors(vectors.where(is_query), key, column, scale).where(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
+    asked = whole_vectors(vectors.where(is_query), key, column, scale).groupBy("id").agg(F.min("v").alias("v"))
     groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def meet(questions: DataFrame, candidates: DataFrame, name: str) -> DataFrame:
