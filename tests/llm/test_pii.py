@@ -47,19 +47,54 @@ def test_types_formats_and_coreference(spark):
     assert one(spark, text) == got
 
 
+KINDS = "kind string, normal string, form string"
+
+
 def test_collisions_are_resolved(spark):
-    # Two-digit octets leave few surrogates for a made-up type; many names share surnames, so attempts go on.
-    names = [("name", f"Name{i}", "male latin") for i in range(3000)]
-    out = pii.distinct_surrogates(spark.createDataFrame(names, "kind string, normal string, form string"))
-    assert out.count() == 3000 == out.select("surrogate").distinct().count() == out.select("normal").distinct().count()
-    assert out.where("attempt > 0").count() > 0
+    # More entities than the first attempt's surrogates: surnames, given names, birth dates.
+    rows = [("family", f"name{i}", "latin") for i in range(10_000)] + [("given", f"name{i}", "female greek") for i in range(2_000)]
+    rows += [("birth", f"{1 + i % 28:02}.{1 + i // 28 % 12:02}.{1900 + i // 336}", "") for i in range(40_000)]
+    out = pii.distinct_surrogates(spark.createDataFrame(rows, KINDS)).toPandas()
+    assert len(out) == len(rows) and not out.duplicated(["kind", "made"]).any() and not out.duplicated(["kind", "normal"]).any()
+    assert (out.attempt > 0).any() and (out.attempt <= pii.LAST).all()
+    assert not set(map(tuple, out[["kind", "made"]].to_numpy())) & {(kind, normal) for kind, normal, _ in rows}
+
+
+def test_a_format_that_is_full_gets_tails(spark):
+    rows = [("secret", f"{i:03}***", "") for i in range(1000)]
+    out = pii.distinct_surrogates(spark.createDataFrame(rows, KINDS)).toPandas()
+    assert out.made.nunique() == 1000 and (out["tail"].str.len() == 17).all() and (out.surrogate.str.len() == 6).all()
 
 
 def test_surrogate_is_no_entity(spark):
-    first = pii.distinct_surrogates(spark.createDataFrame([("name", "Smith", "male latin")], "kind string, normal string, form string")).first().surrogate
-    rows = [("name", "Smith", "male latin"), ("name", first, "male latin")]
-    made = {r.normal: r.surrogate for r in pii.distinct_surrogates(spark.createDataFrame(rows, "kind string, normal string, form string")).collect()}
-    assert len(set(made.values())) == 2 and not set(made.values()) & {"Smith", first}
+    first = pii.distinct_surrogates(spark.createDataFrame([("family", "smith", "latin")], KINDS)).first().surrogate
+    rows = [("family", "smith", "latin"), ("family", first.lower(), "latin")]
+    made = {r.normal: r.made for r in pii.distinct_surrogates(spark.createDataFrame(rows, KINDS)).collect()}
+    assert len(set(made.values())) == 2 and not set(made.values()) & {"smith", first.lower()}
+
+
+def test_names_are_followed_by_their_parts(spark):
+    got = one(spark, "Mr. John Smith met Mrs. Anna Smith; Mr. Smith and Mr. SMITH left, Dr. Anna Jones stayed.")
+    m = re.fullmatch(r"Mr\. (\S+) (\w+) met Mrs\. (\S+) (\w+); Mr\. (\w+) and Mr\. (\w+) left, Dr\. (\S+) (\w+) stayed\.", got)
+    assert m and m[2] == m[4] == m[5] and m[6] == m[5].upper() and m[3] == m[7] and m[8] != m[2] and m[1] != "John"
+
+
+def test_secrets(spark):
+    assert one(spark, "password: ******** and more") == "password: ******** and more"
+    for secret in ("密码密码密码密码", "abc-DEF-123", "a" * 5000 + "9Z*"):
+        got = one(spark, f"api_key: {secret} end")
+        made = re.fullmatch(r"api_key: (\S+) end", got)[1]
+        assert made != secret and len(made) == len(secret) and [c.isalnum() for c in made] == [c.isalnum() for c in secret]
+
+
+def test_key_of_the_session(spark):
+    text = "Mr. John Smith, x@y.org"
+    plain = one(spark, text)
+    spark.conf.set("turnstone.pii.key", "another")
+    try:
+        assert one(spark, text) not in (plain, text)
+    finally:
+        spark.conf.unset("turnstone.pii.key")
 
 
 def test_odd_rows(spark, docs, no_docs):
