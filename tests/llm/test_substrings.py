@@ -52,3 +52,24 @@ def test_odd_rows(spark, docs, no_docs):
     assert substrings.remove_repeats(no_docs).count() == 0
     out = substrings.remove_repeats(docs.withColumn("mark", F.lit("x")))
     assert out.count() == docs.count() and out.where("n_removed > 0").count() == 0
+
+
+def test_an_index_that_outlives_a_call(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    make = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1000, n))
+    passage, twice = make(120), make(80)
+    calls = [
+        [(1, make(30) + " " + passage + " " + make(30)), (2, make(90))],
+        [(11, make(10) + " " + passage[: len(passage) // 2 + 100] + " " + make(20)), (12, twice), (13, make(70))],
+        [(21, twice + " " + make(5)), (22, passage), (23, make(60) + " " + passage), (24, twice + " " + make(9))],
+    ]
+    came = []
+    for rows in calls:
+        came += rows
+        index = substrings.FingerprintIndex(spark, str(tmp_path), max_runs=2)
+        out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), batches=1, index=index)
+        want = {r[0]: r for r in brute(came)}
+        assert sorted(tuple(r) for r in out.collect()) == sorted(want[i] for i, _ in rows)
+    # The third run made the index compact itself.
+    index = substrings.FingerprintIndex(spark, str(tmp_path), max_runs=2)
+    assert len(index.runs) == 1 and index.history("texts").count() == len(came)

@@ -3,10 +3,12 @@
 A window is WINDOW consecutive words. A window's fingerprint is the least hash of its GRAM-word grams, so equal windows
 have equal fingerprints, and neighbouring windows mostly share one: a span is a longest stretch of consecutive windows of
 one document with one fingerprint. Documents arrive in batches by doc_id. A batch's spans become a run of the index, a
-table sorted by fingerprint that is never changed: fingerprint, hash of the span's words, smallest doc_id. Each batch is
-joined with the runs so far, and runs are compacted into one when there are more than MAX_RUNS.
+table sorted by fingerprint that is never changed: fingerprint, two hashes of the span's words, smallest doc_id. Each
+batch is joined with the runs so far, and runs are compacted into one when there are more than MAX_RUNS. An index with a
+path keeps its runs there, with the batches' spans and texts, so that later calls meet all that came before; a batch is
+then judged by what has come so far.
 
-A span that an earlier document has too repeats whole. Where a fingerprint has several spans, they may still share
+A span that an earlier document has too, by both independent hashes, repeats whole. Where a fingerprint has several spans, they may still share
 windows (at the ends of a copied passage); the windows of each such span's first document are then read from the text
 again and compared by two independent hashes. A window repeats if its word sequence starts in a document with a smaller
 doc_id, and the words of repeating windows are removed.
@@ -19,15 +21,16 @@ joined, and the join's large side can be split.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import drop, map_batches, mixed, stage, to_batch, utf8, word_hashes
+from turnstone.llm.common import drop, map_batches, mixed, slices, split_words, stage, to_batch, utf8, word_hashes
 
 WINDOW = 50
 GRAM = 8
@@ -69,57 +72,88 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def spans(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint, hash, first and last window of each span of a word sequence."""
+def spans(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Fingerprint, two hashes, first and last window of each span of a word sequence."""
     n = len(words) - window + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     rolling = Rolling(words)
     at = np.arange(len(words) - gram + 1)
     prints = _least(rolling.of(at, at + gram), window - gram + 1)
     first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
     last = np.append(first[1:], n) - 1
-    return prints[first].view(np.int64), rolling.of(first, last + window).view(np.int64), first, last
+    return prints[first].view(np.int64), rolling.of(first, last + window).view(np.int64), Rolling(words, 1).of(first, last + window).view(np.int64), first, last
 
 
-_SPANS = {"doc_id": pa.int64(), "mark": pa.int64(), "n_words": pa.int64(), "sha": pa.string(), "prints": pa.list_(pa.int64()), "spans": pa.list_(pa.int64()), "firsts": pa.list_(pa.int32()), "lasts": pa.list_(pa.int32())}
-_SPANS_SCHEMA = "doc_id long, mark long, n_words long, sha string, prints array<long>, spans array<long>, firsts array<int>, lasts array<int>"
+_SPANS = {"doc_id": pa.int64(), "mark": pa.int64(), "n_words": pa.int64(), "sha": pa.string(), "prints": pa.list_(pa.int64()), "spans": pa.list_(pa.int64()), "checks": pa.list_(pa.int64()), "firsts": pa.list_(pa.int32()), "lasts": pa.list_(pa.int32())}
+_SPANS_SCHEMA = "doc_id long, mark long, n_words long, sha string, prints array<long>, spans array<long>, checks array<long>, firsts array<int>, lasts array<int>"
 
 
 def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
-        for batch in batches:
+        for batch in slices(batches, 2):
             out: dict[str, list] = {name: [] for name in list(_SPANS)[2:]}
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(2)), strict=True):
+            different, place, n = split_words(batch.column(2))
+            hashed = np.split(word_hashes(different.cast(pa.binary()).to_pylist())[place], np.cumsum(n)[:-1])
+            for doc_id, text, own in zip(batch.column(0).to_pylist(), utf8(batch.column(2)), hashed, strict=True):
                 words = text.split()
-                found = spans(word_hashes(words) if doc_id is not None and len(words) >= WINDOW else np.zeros(0, np.uint64))
+                found = spans(own if doc_id is not None else own[:0])
                 for name, value in zip(out, (len(words), hashlib.sha256(b" ".join(words)).hexdigest(), *found), strict=True):
                     out[name].append(value)
             yield to_batch({"doc_id": batch.column(0), "mark": batch.column(1)} | out, _SPANS)
 
 
 class FingerprintIndex:
-    """Sorted runs of fingerprint, span and first_doc, the smallest doc_id with that span."""
-
-    def __init__(self, max_runs: int = MAX_RUNS):
-        self.runs: list[DataFrame] = []
-        self.max_runs = max_runs
-
-    @staticmethod
-    def _sorted_run(rows: DataFrame, name: str) -> DataFrame:
-        merged = rows.groupBy("print", "span").agg(F.min("first_doc").alias("first_doc"), F.sum("n").alias("n"))
-        return stage(merged.sortWithinPartitions("print", "span"), name)
+    """Sorted runs of fingerprint, span, check and first_doc, the smallest doc_id with that span.
+
+    Without a path the runs are scratch tables of one call. With one, runs, spans and texts lie below it for the calls to
+    come; one writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, max_runs: int = MAX_RUNS):
+        self.spark, self.path, self.max_runs = spark, path, max_runs
+        self.runs: list[DataFrame] = [self._read("runs", name) for name in self._names("runs")]
+
+    def _folder(self, kind: str):
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, kind: str) -> list[str]:
+        """Finished tables below the path, oldest first."""
+        if self.path is None:
+            return []
+        folder, store = self._folder(kind)
+        found = [f.getPath().getName() for f in store.listStatus(folder)] if store.exists(folder) else []
+        jvm = self.spark.sparkContext._jvm
+        return sorted(name for name in found if store.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{name}/_SUCCESS")))
+
+    def _read(self, kind: str, name: str) -> DataFrame:
+        table = self.spark.read.parquet(f"{self.path}/{kind}/{name}")
+        table._staged_at = f"{self.path}/{kind}/{name}"
+        return table
+
+    def _write(self, rows: DataFrame, kind: str) -> DataFrame:
+        if self.path is None:
+            return stage(rows, f"substrings-{kind}")
+        name = f"{len(self._names(kind)):06d}-{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(f"{self.path}/{kind}/{name}")
+        return self._read(kind, name)
+
+    def _sorted_run(self, rows: DataFrame) -> DataFrame:
+        merged = rows.groupBy("print", "span", "check").agg(F.min("first_doc").alias("first_doc"), F.sum("n").alias("n"))
+        return self._write(merged.sortWithinPartitions("print", "span"), "runs")
 
     def append(self, batch: DataFrame) -> None:
-        """A new run for a batch (print, span, doc_id); compacts when there are too many."""
-        self.runs.append(self._sorted_run(batch.select("print", "span", F.col("doc_id").alias("first_doc"), F.lit(1).alias("n")), "substrings-run"))
+        """A new run for a batch (print, span, check, doc_id); compacts when there are too many."""
+        self.runs.append(self._sorted_run(batch.select("print", "span", "check", F.col("doc_id").alias("first_doc"), F.lit(1).alias("n"))))
         if len(self.runs) > self.max_runs:
             self.compact()
 
     def compact(self) -> None:
         """All runs merged into one."""
         old = self.runs
-        self.runs = [self._sorted_run(self._all(), "substrings-compacted")]
+        self.runs = [self._sorted_run(self._all())]
         drop(*old)
 
     def _all(self) -> DataFrame:
@@ -129,10 +163,25 @@ class FingerprintIndex:
         return rows
 
     def entries(self) -> DataFrame:
-        """print, span, first_doc, n over all runs."""
+        """print, span, check, first_doc, n over all runs."""
         if len(self.runs) == 1:
             return self.runs[0]
-        return self._all().groupBy("print", "span").agg(F.min("first_doc").alias("first_doc"), F.sum("n").alias("n"))
+        return self._all().groupBy("print", "span", "check").agg(F.min("first_doc").alias("first_doc"), F.sum("n").alias("n"))
+
+    def history(self, kind: str) -> DataFrame | None:
+        """The spans or texts of all calls so far; None where there is none."""
+        names = self._names(kind)
+        return self.spark.read.parquet(*[f"{self.path}/{kind}/{name}" for name in names]) if names else None
+
+    def remember(self, spans_table: DataFrame, texts: DataFrame) -> None:
+        """Keep a call's spans and texts, by which later calls compare windows."""
+        if self.path is not None:
+            self._write(spans_table, "spans")
+            self._write(texts.where("doc_id is not null"), "texts")
+
+    def close(self) -> None:
+        if self.path is None:
+            drop(*self.runs)
 
 
 _WINDOWS = {"doc_id": pa.int64(), "mark": pa.int64(), "at": pa.int32(), "one": pa.int64(), "two": pa.int64()}
@@ -176,39 +225,57 @@ def _remove(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept_text, null where nothing goes) for each row of docs (doc_id, text)."""
+def _pieces(table: DataFrame) -> DataFrame:
+    """A row for each span of a table of documents' spans."""
+    names = {"prints": "print", "spans": "span", "checks": "check", "firsts": "first", "lasts": "last"}
+    zipped = F.arrays_zip(*[F.col(many).alias(one) for many, one in names.items()])
+    return table.select("doc_id", "mark", F.explode(zipped).alias("s")).select("doc_id", "mark", "s.*")
+
+
+def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = False, index: FingerprintIndex | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (and kept_text, null where nothing goes) for each row of docs (doc_id, text).
+
+    With an index that has a path, docs also meet the documents of all calls before, and are added to them.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     table = stage(map_batches(texts, _cut_spans, _SPANS_SCHEMA), "substrings-spans")
-    pieces = table.select("doc_id", "mark", F.explode(F.arrays_zip(F.col("prints").alias("print"), F.col("spans").alias("span"), F.col("firsts").alias("first"), F.col("lasts").alias("last"))).alias("s")).select("doc_id", "mark", "s.*")
+    pieces = _pieces(table)
     bounds = table.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [1.0], 1000).alias("at")).first()["at"] or []
     edges = [None, *(bounds if batches > 1 else []), None]
-    index, whole = FingerprintIndex(), None
+    index, whole = index or FingerprintIndex(docs.sparkSession), None
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         batch = pieces
         batch = batch.where(F.col("doc_id") > low) if low is not None else batch
         batch = batch.where(F.col("doc_id") <= high) if high is not None else batch
-        index.append(batch.select("print", "span", "doc_id"))
-        known = index.entries().where("n > 1").select(F.col("span").alias("known_span"), "first_doc")
-        hits = batch.join(known, F.expr("span = known_span")).where("first_doc < doc_id").select("doc_id", "mark", "first", "last")
+        index.append(batch.select("print", "span", "check", "doc_id"))
+        known = index.entries().where("n > 1").select(F.col("span").alias("known_span"), F.col("check").alias("known_check"), "first_doc")
+        hits = batch.join(known, F.expr("span = known_span and check = known_check")).where("first_doc < doc_id").select("doc_id", "mark", "first", "last")
         hits = stage(hits, "substrings-hits")
         whole = hits if whole is None else whole.unionByName(hits)
     # Fingerprints with several spans: the windows of each span's first document.
     entries = index.entries()
     several = entries.groupBy("print").agg(F.count("*").alias("spans")).where("spans > 1").select(F.col("print").alias("open_print"))
-    open_ = stage(entries.join(several, F.expr("print = open_print")).select(F.col("span").alias("open_span"), "first_doc"), "substrings-open")
-    ranges = pieces.join(open_, F.expr("span = open_span and doc_id = first_doc")).select("doc_id", "mark", "first", "last")
+    open_ = stage(entries.join(several, F.expr("print = open_print")).select(F.col("span").alias("open_span"), F.col("check").alias("open_check"), "first_doc"), "substrings-open")
+    old_spans, old_texts = index.history("spans"), index.history("texts")
+    all_pieces = pieces if old_spans is None else pieces.unionByName(_pieces(old_spans))
+    all_texts = texts if old_texts is None else texts.unionByName(old_texts)
+    ranges = all_pieces.join(open_, F.expr("span = open_span and check = open_check and doc_id = first_doc")).select("doc_id", "mark", "first", "last")
     ranges = stage(ranges.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "substrings-ranges")
     seen = texts.dropDuplicates(["doc_id", "mark"])
-    read = map_batches(seen.join(ranges, ["doc_id", "mark"]), _read_windows, "doc_id long, mark long, at int, one long, two long")
+    read = map_batches(all_texts.dropDuplicates(["doc_id", "mark"]).join(ranges, ["doc_id", "mark"]), _read_windows, "doc_id long, mark long, at int, one long, two long")
     windows = stage(read, "substrings-windows")
     # Written, so that the join shuffles its sides by itself and Spark can split a common window's rows.
     first = windows.groupBy("one", "two").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
     first = stage(first, "substrings-first")
-    again = windows.join(first.select("one", "two", "first_doc"), ["one", "two"]).where("first_doc < doc_id").select("doc_id", "mark", F.col("at").alias("first"), F.col("at").alias("last"))
+    again = windows.join(first.select("one", "two", "first_doc"), ["one", "two"]).where("first_doc < doc_id").select("doc_id", "mark", "at")
+    # Neighbouring windows become one range before a document's are gathered.
+    island = F.col("at") - F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("at"))
+    again = again.distinct().withColumn("island", island).groupBy("doc_id", "mark", "island").agg(F.min("at").alias("first"), F.max("at").alias("last")).drop("island")
     gone = whole.unionByName(again).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
     gone = stage(gone, "substrings-gone")
-    drop(windows, first, ranges, open_, *index.runs)
+    index.remember(table, texts)
+    index.close()
+    drop(windows, first, ranges, open_)
     # Documents that go whole need no text; the others' kept words are hashed.
     counts = table.select("doc_id", "mark", "n_words", "sha")
     total = counts.dropDuplicates(["doc_id", "mark"]).join(gone, ["doc_id", "mark"]).select("doc_id", "mark", "n_words", "ranges", _joined_length(F.col("ranges")).alias("n_gone"))
