@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import map_batches, to_batch
+from turnstone.llm.common import map_batches, slices, to_batch
 
 DIMENSIONS = 1024
 SEED = 20260
 BLANK = 32
 #: Texts whose bundles are made in one matrix product.
 TEXTS_AT_ONCE = 64
+#: Bytes of text that are cut into n-grams at once.
+TEXT_BYTES = 1 << 20
 _MARK = 0x10FFFF
 
 
@@ -105,7 +107,7 @@ _COUNTS = {"lang": pa.string(), "gram": pa.int64(), "n": pa.int64()}
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 0, TEXT_BYTES):
         langs, group = np.unique(np.array(batch.column(1).to_pylist(), dtype=object).astype(str), return_inverse=True)
         group, gram, n = gram_counts([text or "" for text in batch.column(0).to_pylist()], group)
         yield to_batch({"lang": langs[group].tolist(), "gram": gram, "n": n}, _COUNTS)
@@ -135,7 +137,7 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.nda
     """A prototype for each language of labelled (text, lang), from all texts whose lang isn't null.
 
     Spark counts the n-grams of each language and bundles them. The driver gets one vector for each language, which
-    doesn't grow with the texts.
+    doesn't grow with the texts, but does with the different values of lang: 8 KB each, so clean that column first.
     """
     known = labelled.where("lang is not null and text is not null").select("text", "lang")
     counts = map_batches(known, _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -151,7 +153,7 @@ _PREDICTED = {"doc_id": pa.int64(), "lang_pred": pa.string(), "score": pa.float6
 
 def _predict(names: list[str], unit: np.ndarray, dimensions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, TEXT_BYTES):
             texts = [text or "" for text in batch.column(1).to_pylist()]
             lang, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
             for start in range(0, len(texts) if names else 0, TEXTS_AT_ONCE):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import map_batches, to_batch, utf8
+from turnstone.llm.common import map_batches, slices, to_batch, utf8
 
 #: Samples in a row of a stored payload, and the multiple to which a payload is padded.
 WIDTH = 64
@@ -37,7 +37,7 @@ def encode_pgm(payload: bytes) -> bytes:
 _HEADER = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
-def _netpbm(data: bytes) -> np.ndarray:
+def _netpbm(data: bytes) -> tuple[np.ndarray, int]:
     kind, at, fields = data[:2], 2, []
     for _ in range(2 if kind in (b"P1", b"P4") else 3):
         found = _HEADER.match(data, at)
@@ -65,16 +65,18 @@ def _netpbm(data: bytes) -> np.ndarray:
     if kind in (b"P1", b"P4"):
         values = 1 - values
     values = values.astype(np.uint16 if top > 255 else np.uint8)
-    return values.reshape((height, width, 3) if planes == 3 else (height, width))
+    return values.reshape((height, width, 3) if planes == 3 else (height, width)), top
 
 
 def _bmp(data: bytes) -> np.ndarray:
     offset, header, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if header < 40 or packed not in (0, 3) or bits not in (8, 24, 32) or width < 1 or height == 0:
-        raise ValueError("not an uncompressed 8, 24 or 32 bit bitmap")
+    if header < 40 or (packed, bits) not in ((0, 8), (0, 24), (0, 32), (3, 16), (3, 32)) or width < 1 or height == 0:
+        raise ValueError("not an uncompressed 8, 16, 24 or 32 bit bitmap")
     row = (width * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(data, np.uint8, row * abs(height), offset).reshape(abs(height), row)
     rows = rows[::-1] if height > 0 else rows
+    if packed == 3:
+        return _bit_fields(rows[:, : width * bits // 8], bits, struct.unpack_from("<III", data, 54))
     pixels = rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)
     if bits == 8:
         used = struct.unpack_from("<I", data, 46)[0] or 256
@@ -84,18 +86,44 @@ def _bmp(data: bytes) -> np.ndarray:
     return pixels[:, :, 2::-1]
 
 
-def decode_image(data: bytes) -> np.ndarray:
-    """Height x width samples, or height x width x 3 for colours. ValueError if the bytes are no such image."""
+def _bit_fields(rows: np.ndarray, bits: int, masks: tuple[int, int, int]) -> np.ndarray:
+    """Red, green and blue from the bits that the masks name, each stretched to 0 to 255."""
+    words = np.ascontiguousarray(rows).view("<u2" if bits == 16 else "<u4").astype(np.int64)
+    out = np.zeros((*words.shape, 3), np.uint8)
+    for i, mask in enumerate(masks):
+        if mask:
+            low = (mask & -mask).bit_length() - 1
+            most = mask >> low
+            out[:, :, i] = (((words & mask) >> low) * 255 + most // 2) // most
+    return out
+
+
+def scaled(image: np.ndarray, top: int) -> np.ndarray:
+    """Samples of 0 to top stretched to all that their type holds, so that images of any top compare."""
+    most = np.iinfo(image.dtype).max
+    return image if top == most else ((image.astype(np.int64) * most + top // 2) // top).clip(0, most).astype(image.dtype)
+
+
+def decode_samples(data: bytes) -> tuple[np.ndarray, int]:
+    """Height x width samples, or height x width x 3 for colours, and the greatest value that they may have.
+
+    ValueError if the bytes are no such image.
+    """
     try:
         if re.match(rb"P[1-6]\s", data):
             return _netpbm(data)
         if data[:2] == b"BM":
-            return _bmp(data)
+            return _bmp(data), 255
     except (struct.error, ValueError, OverflowError) as bad:
         raise ValueError(f"damaged image: {bad}") from None
     raise ValueError("neither Netpbm nor BMP")
 
 
+def decode_image(data: bytes) -> np.ndarray:
+    """The samples alone."""
+    return decode_samples(data)[0]
+
+
 def _at_edges(table: np.ndarray, size: int, parts: int) -> np.ndarray:
     """parts times the integral table's rows at the parts + 1 edges that cut size rows evenly."""
     edge = np.arange(parts + 1, dtype=np.int64) * size
@@ -134,7 +162,7 @@ _STORED = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "media": pa.binary()}
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1):
         content = utf8(batch.column(1))
         yield to_batch({"doc_id": batch.column(0), "n_bytes": [len(x) for x in content], "media": [encode_pgm(pad_payload(x)) for x in content]}, _STORED)
 
@@ -153,15 +181,16 @@ FEATURE_SCHEMA = "doc_id long, height int, width int, samples_bytes long, sample
 
 def _features(side: int, carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             out: dict[str, list] = {name: [] for name in _FEATURES}
             out["doc_id"] = batch.column(0)
             for media in utf8(batch.column(1)):
                 row: dict = {"media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest()}
                 try:
-                    image = decode_image(media)
+                    image, top = decode_samples(media)
                     samples = image.tobytes()
                     row |= {"height": image.shape[0], "width": image.shape[1], "samples_bytes": len(samples), "samples_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-WIDTH:])}
+                    image = scaled(image, top)
                     row |= {"dhash": difference_hash(image), "tile_npy": npy_tile(image, side)}
                 except ValueError as bad:
                     row["problem"] = str(bad)

@@ -109,7 +109,14 @@ def mix(docs: DataFrame, limit: int = LIMIT, tilt: float = TILT, seed: str = SEE
 
 
 def apply_mix(docs: DataFrame, limit: int = LIMIT, tilt: float = TILT, seed: str = SEED) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it; rows taken no time go."""
-    copies = mix(docs, limit, tilt, seed).where("copies > 0").select(F.col("doc_id").alias("mix_doc_id"), F.col("copies").alias("mix_copies")).dropDuplicates(["mix_doc_id"])
-    joined = docs.join(copies, docs["doc_id"] == F.col("mix_doc_id"))
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).drop("mix_doc_id", "mix_copies", "mix_copy")
+    """docs with each row repeated as often as the mix takes it; rows taken no time go.
+
+    Rows of one doc_id, source and size are taken alike, also where doc_id is null: such rows have no random odds and
+    get their certain copies alone.
+    """
+    same = ["doc_id", "source", "size"]
+    copies = mix(docs, limit, tilt, seed).groupBy(*same).agg(F.max("copies").alias("mix_copies")).where("mix_copies > 0")
+    copies = copies.select(*[F.col(name).alias(f"mix_{name}") for name in same], "mix_copies").hint("merge")
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col("mix_doc_id")) & docs["source"].eqNullSafe(F.col("mix_source")) & (word_count(docs["text"]) == F.col("mix_size"))
+    joined = docs.join(copies, on).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
+    return joined.select(*[docs[name] for name in docs.columns])

@@ -20,7 +20,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents outside the held-out quarter."""
     docs = documents(spark, sf_dir)
-    held_out = (F.crc32(F.col("doc_id").cast("string")) % 4) == 2
+    held_out = F.coalesce((F.crc32(F.col("doc_id").cast("string")) % 4) == 2, F.lit(False))
     prototypes = langid.train(docs.where(~held_out).select("text", "lang"))
     predicted = langid.predict(docs.select("doc_id", "text"), prototypes)
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
