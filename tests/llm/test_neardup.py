@@ -115,3 +115,18 @@ def test_odd_rows(spark, docs, no_docs):
     kept = neardup.keep_first(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6, 7, 8]
     assert neardup.near_duplicates(no_docs).count() == 0
+
+
+def test_lossy_counts_keep_all_that_is_common():
+    rng = np.random.default_rng(2)
+    share, counts, total, n = 0.02, neardup.LossyCounts(0.01), Counter(), 3000
+    for i in range(n):
+        own = np.unique(np.concatenate([rng.integers(0, 10**6, 40), rng.integers(0, 60, 3)])).astype(np.uint64)
+        total.update(own.tolist())
+        counts.add(own)
+        if i % 100 == 99:
+            counts.count()
+    counts.count()
+    known = dict(zip(counts.shingles.tolist(), counts.n.tolist(), strict=True))
+    assert all(known[s] >= c - 0.01 * n for s, c in total.items() if c >= share * n)
+    assert all(c <= total[s] for s, c in known.items()) and len(known) < len(total) / 3

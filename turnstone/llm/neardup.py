@@ -2,10 +2,12 @@
 
 A document's shingles are its runs of SHINGLE words, lower-cased; a shorter text is one shingle. A shingle weighs its
 count times its inverse document frequency, ln(1 / f) with f the share of documents that hold it, at most ln(1 / COMMON).
-Shingles in at least a share COMMON of all documents are found exactly in two passes: each block of documents names those
-that reach the share in the block, as any that reach it over all must in some block; then the named ones are counted
-over all documents. At most (mean shingles a document) / COMMON shingles can reach the share, so their table is small
-however large the corpus.
+Shingles in at least a share COMMON of all documents are found exactly in two passes. First each task counts its shingles
+with a known error (lossy counting): it forgets those that can't have been in more than half the share of its documents so
+far. Spark sums the tasks' counts, and those of at least half the share are named; at most 2 * (mean shingles a document)
+/ COMMON can be, however large the corpus and however it is cut into partitions. Then the named ones are counted over all
+documents. All rarer shingles weigh the same: with their own frequencies, texts in a large group of near copies would
+weigh what they share less than their few differences, and the group would fall apart.
 
 Exact copies (equal words) are one text from here on. Each text draws DRAWS consistent samples: for a shingle of weight w
 and draw k, r and c are Gamma(2, 1) and b uniform, all from the hash of shingle and k; t = floor(ln w / r + b), and the
@@ -33,10 +35,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.llm.common import drop, map_batches, mixed, stage, to_batch, utf8, word_hashes
+from turnstone.llm.common import drop, map_batches, mixed, slices, split_words, stage, to_batch, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -46,8 +49,10 @@ DRAWS = ROWS * BANDS
 VARIATES = 1 << 16
 #: Steps of ln w in which weights are kept for sampling, and the number of steps.
 STEP, STEPS = 0.25, 64
-#: Documents in a block when common shingles are named.
-NAMING_BLOCK = 2048
+#: Bytes of text that are drawn from at once.
+SIGNED_BYTES = 1 << 19
+#: Shingles that a task gathers before it counts them.
+GATHERED = 1 << 19
 #: Texts of a bucket that are compared in one group, further pairs of a text, and their least agreement.
 GROUP, NEAREST, LIKELY = 512, 2, 0.6
 #: Texts of each side that are compared by all pairs in one block.
@@ -66,38 +71,65 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return mixed(total + np.uint64(min(len(words), SHINGLE)))
 
 
-def _words(text: bytes) -> np.ndarray:
-    return word_hashes(text.lower().split())
+def _words_of(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Hashes of each text's words, with A-Z in lower case; each different word is hashed once."""
+    words, place, n = split_words(pc.ascii_lower(pc.fill_null(texts, "")))
+    hashed = word_hashes(words.cast(pa.binary()).to_pylist())[place]
+    return iter(np.split(hashed, np.cumsum(n)[:-1]) if len(n) else [])
 
 
-_DOCS = {"doc_id": pa.int64(), "one": pa.int64(), "two": pa.int64(), "named": pa.list_(pa.int64())}
+_DOCS = {"doc_id": pa.int64(), "one": pa.int64(), "two": pa.int64(), "named": pa.bool_()}
 
 
-def _name(share: float):
-    """Each text's two hashes; a block's last row names the shingles that reach the share in it."""
+class LossyCounts:
+    """Counts of distinct shingles by document; what is forgotten was in at most a share of error of the documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: list[np.ndarray] = []
+    def __init__(self, error: float):
+        self.error, self.documents, self.known = error, 0, 0
+        self.shingles, self.n, self.missed = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+        self.gathered: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, own: np.ndarray) -> None:
+        self.gathered.append(own)
+        self.documents += 1
+        self.size += len(own)
+        if self.size >= GATHERED:
+            self.count()
+
+    def count(self) -> None:
+        """Take in what was gathered and forget what is rare."""
+        new, n = np.unique(np.concatenate(self.gathered), return_counts=True) if self.gathered else (self.shingles[:0], self.n[:0])
+        old, at = _places(self.shingles, new)
+        self.n[at] += n[old]
+        self.shingles = np.concatenate([self.shingles, new[~old]])
+        self.missed = np.concatenate([self.missed, np.full(int((~old).sum()), self.error * self.known)])
+        self.n = np.concatenate([self.n, n[~old]])
+        order = np.argsort(self.shingles)
+        order = order[(self.n + self.missed > self.error * self.documents)[order]]
+        self.shingles, self.n, self.missed = self.shingles[order], self.n[order], self.missed[order]
+        self.known, self.gathered, self.size = self.documents, [], 0
 
-        def named() -> list[int]:
-            found, n = np.unique(np.concatenate(block), return_counts=True)
-            return found[n >= share * len(block)].view(np.int64).tolist() if len(found) else []
 
+def _name(share: float):
+    """Each text's two hashes; at the end, named rows with the shingles that may be common, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = LossyCounts(share / 2)
         with np.errstate(over="ignore"):
-            for batch in batches:
-                out: dict[str, list] = {name: [] for name in _DOCS}
-                out["doc_id"] = batch.column(0).to_pylist()
-                for text in utf8(batch.column(1)):
-                    words = _words(text)
+            for batch in slices(batches, 1):
+                out: dict[str, list] = {"doc_id": batch.column(0), "one": [], "two": [], "named": [False] * batch.num_rows}
+                for words in _words_of(batch.column(1)):
                     at = np.arange(1, len(words) + 1, dtype=np.uint64)
                     out["one"].append(int(mixed(np.array([(mixed(words * _BASE + at)).sum(dtype=np.uint64)]))[0].view(np.int64)))
                     out["two"].append(int((mixed((words + at) * _BASE)).sum(dtype=np.uint64).view(np.int64)))
-                    block.append(np.unique(shingles(words)))
-                    out["named"].append(named() if len(block) == NAMING_BLOCK else None)
-                    block = [] if len(block) == NAMING_BLOCK else block
+                    counts.add(np.unique(shingles(words)))
                 yield to_batch(out, _DOCS)
-            if block:
-                yield to_batch({"doc_id": [None], "one": [None], "two": [None], "named": [named()]}, _DOCS)
+            counts.count()
+            for start in range(0, len(counts.n), 100_000):
+                some = slice(start, start + 100_000)
+                n = counts.n[some]
+                yield to_batch({"doc_id": pa.nulls(len(n), pa.int64()), "one": counts.shingles[some].view(np.int64), "two": n, "named": [True] * len(n)}, _DOCS)
 
     return run
 
@@ -106,9 +138,9 @@ def _count_named(named):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(named.value), np.int64)
         with np.errstate(over="ignore"):
-            for batch in batches:
-                for text in utf8(batch.column(0)):
-                    own = np.unique(shingles(_words(text)))
+            for batch in slices(batches, 0):
+                for words in _words_of(batch.column(0)):
+                    own = np.unique(shingles(words))
                     total[_places(named.value, own)[1]] += 1
         used = np.flatnonzero(total)
         yield to_batch({"shingle": named.value[used].view(np.int64), "n": total[used]}, {"shingle": pa.int64(), "n": pa.int64()})
@@ -143,8 +175,8 @@ class Weights:
     def __init__(self, common: np.ndarray, idf: np.ndarray, top: float):
         self.common, self.idf, self.top = common, idf, top
 
-    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        own, n = np.unique(shingles(_words(text)), return_counts=True)
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, n = np.unique(shingles(words), return_counts=True)
         weight = np.full(len(own), self.top)
         hit, at = _places(self.common, own)
         weight[hit] = self.idf[at]
@@ -175,10 +207,10 @@ def _signatures(weights):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
-                for start in range(0, batch.num_rows, 128):
-                    some = batch.slice(start, 128)
-                    texts = [weights.value.of(text) for text in utf8(some.column(1))]
+            for batch in slices(batches, 1):
+                read = _words_of(batch.column(1))
+                for some in slices(iter([batch]), 1, SIGNED_BYTES):
+                    texts = [weights.value.of(next(read)) for _ in range(some.num_rows)]
                     full = [i for i, (own, _) in enumerate(texts) if len(own)]
                     if not full:
                         continue
@@ -248,10 +280,10 @@ def _vectors(weights):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in slices(batches, 1):
                 out: dict[str, list] = {"doc_id": batch.column(0), "shingles": [], "weights": []}
-                for text in utf8(batch.column(1)):
-                    own, weight = weights.value.of(text)
+                for words in _words_of(batch.column(1)):
+                    own, weight = weights.value.of(words)
                     short = (own >> np.uint64(32)).astype("<u4")
                     order = np.argsort(short, kind="stable")
                     out["shingles"].append(short[order].tobytes())
@@ -358,8 +390,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id and n_copies (rows with its words) for each row of docs (doc_id, text) with a doc_id."""
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    read = stage(map_batches(texts, _name(COMMON), "doc_id long, one long, two long, named array<long>"), "neardup-texts")
-    rows = read.where("doc_id is not null").select("doc_id", "one", "two")
+    read = stage(map_batches(texts, _name(COMMON), "doc_id long, one long, two long, named boolean"), "neardup-texts")
+    rows = read.where("not named").select("doc_id", "one", "two")
     weights = spark.sparkContext.broadcast(_common_weights(texts, read, rows.count()))
     # One text for all its exact copies.
     firsts = stage(rows.groupBy("one", "two").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies")), "neardup-firsts")
@@ -398,7 +430,7 @@ def _verified(links: DataFrame, vectors: DataFrame, top: float, threshold: float
 
 def _common_weights(texts: DataFrame, read: DataFrame, n: int) -> Weights:
     """Inverse document frequencies of the shingles that at least a share COMMON of all n documents hold."""
-    named = read.where("named is not null").select(F.explode("named").alias("shingle")).distinct()
+    named = read.where("named").groupBy(F.col("one").alias("shingle")).agg(F.sum("two").alias("n")).where(F.col("n") >= COMMON / 2 * n)
     named = np.sort(np.array([r.shingle for r in named.collect()], np.int64).view(np.uint64))
     counts = []
     if len(named):
