@@ -34,3 +34,34 @@ def test_mapped_error(spark):
     mapping = spark.createDataFrame([(1, "x", "A", 90), (1, "y", "B", 90)], "clip_id long, pred_speaker string, mapped_to string, overlap_ms long")
     row = matching.mapped_error(ref, pred, mapping).first()
     assert (row.ref_ms, row.missed_ms, row.false_alarm_ms, row.confused_ms, row.error) == (200, 20, 50, 0, 0.35)
+
+
+EVENTS = "clip_id long, id long, start_ms long, end_ms long, speakers array<string>"
+
+
+def test_interruptions_match_between_equal_speakers_alone(spark):
+    ref = spark.createDataFrame([(1, 1, 0, 100, ["A", "B"]), (1, 2, 200, 300, ["A", "B"])], EVENTS)
+    pred = spark.createDataFrame([(1, 1, 90, 150, ["B", "A"]), (1, 2, 200, 300, ["A", "C"]), (1, 3, 250, 260, [])], EVENTS)
+    row = matching.interruption_scores(ref, pred).first()
+    assert (row.n_ref, row.n_pred, row.n_matched, row.precision, row.recall, row.f1) == (2, 3, 2, 0.666667, 1.0, 0.8)
+
+
+def test_boundary_error_of_mapped_speakers(spark):
+    turns = "clip_id long, id long, speaker string, start_ms long, end_ms long"
+    ref = spark.createDataFrame([(1, 1, "A", 0, 100), (1, 2, "B", 100, 200)], turns)
+    pred = spark.createDataFrame([(1, 1, "x", 10, 100), (1, 2, "y", 90, 230), (1, 3, "z", 0, 100)], turns)
+    mapping = spark.createDataFrame([(1, "x", "A"), (1, "y", "B")], "clip_id long, pred_speaker string, mapped_to string")
+    row = matching.boundary_error(ref, pred, mapping).first()
+    assert (row.n_matched, row.boundary_mae_ms) == (2, (10 + 0 + 10 + 30) / 4)
+
+
+def test_collar_and_jaccard(spark):
+    schema = "clip_id long, speaker string, start_ms long, end_ms long"
+    ref = spark.createDataFrame([(1, "A", 0, 1000), (1, "B", 1000, 2000)], schema)
+    pred = spark.createDataFrame([(1, "x", 0, 1100), (1, "y", 1100, 2000)], schema)
+    mapping = spark.createDataFrame([(1, "x", "A", 1000), (1, "y", "B", 900)], "clip_id long, pred_speaker string, mapped_to string, overlap_ms long")
+    left = {tuple(r) for r in matching.with_collar(pred, ref, 250).collect()}
+    assert left == {(1, "x", 250, 750), (1, "y", 1250, 1750)}
+    error = matching.mapped_error(matching.with_collar(ref, ref, 250), matching.with_collar(pred, ref, 250), mapping).first()
+    assert (error.ref_ms, error.error) == (1000, 0.0)
+    assert matching.jaccard_error(ref, pred, mapping).first().jer == round((1 - 1000 / 1100 + 1 - 900 / 1000) / 2, 6)

@@ -24,17 +24,36 @@ def nfkc(text: Column) -> Column:
     return F.when(text.rlike("^[\\x00-\\x7F]*$"), text).otherwise(_nfkc(text))
 
 
-def wer_normal(text: Column) -> Column:
-    """Lower case, straight quotes, punctuation to blanks but for ' - . _ between letters or digits."""
-    quotes = F.regexp_replace(F.lower(text), "[\u2019`]", "'")
+def wer_normal(text: Column, compose: bool = True) -> Column:
+    """Composed for compatibility (unless it is already), lower case, straight quotes, punctuation to blanks but for ' - . _ between letters or digits."""
+    quotes = F.regexp_replace(F.lower(nfkc(text) if compose else text), "[\u2019`]", "'")
     inner = F.regexp_replace(quotes, "(?<![\\p{L}\\p{N}])['\\-._]|['\\-._](?![\\p{L}\\p{N}])|[\\p{P}&&[^'\\-._]]", " ")
     return F.trim(F.regexp_replace(inner, "\\s+", " "))
 
 
 def cer_normal(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), "[\\p{P}\\s]", "")
+    """Composed for compatibility, lower case, without punctuation and white space."""
+    return F.regexp_replace(F.lower(nfkc(text)), "[\\p{P}\\s]", "")
 
 
+#: Names of languages, and those whose errors are counted by character. Fixed values.
+LANGUAGES = {"en": "english", "de": "german", "fr": "french", "es": "spanish", "zh": "mandarin", "cmn": "mandarin"}
+BY_CHARACTER = ("zh", "cmn", "mandarin", "chinese")
+
+
+def language_name(code: Column) -> Column:
+    """The language's name, by the part of its code before - or _; an unknown code stays."""
+    low = F.lower(F.trim(code))
+    base, name = F.regexp_extract(low, "^([a-z]+)", 1), low
+    for short, long in LANGUAGES.items():
+        name = F.when(base == short, F.lit(long)).otherwise(name)
+    return name
+
+
+def metric_of(language: Column) -> Column:
+    """cer for languages that don't put blanks between words, else wer."""
+    return F.when(F.regexp_extract(F.lower(F.trim(language)), "^([a-z]+)", 1).isin(*BY_CHARACTER), "cer").otherwise("wer")
+
 def tokens(text: Column, pattern: str = "[a-z0-9]+") -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), 1)
 
@@ -49,11 +68,15 @@ def collapse_repeats(words: Column) -> Column:
 
 
 def token_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of token arrays: each pair's tokens become letters of an alphabet of their own."""
-    known = F.array_distinct(F.concat(a, b))
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(19968 + F.array_position(known, w)), 4, "0")), "UTF-16BE")
-    spelled = lambda words: F.array_join(F.transform(words, letter), "")
-    return F.levenshtein(spelled(a), spelled(b))
+    """Levenshtein distance of token arrays: tokens that both have become letters, all others of a side one letter.
+
+    Only equality between the sides counts, so tokens of one side alone need no letters of their own. Letters are beyond
+    the basic plane, which has room for a million.
+    """
+    shared = F.array_intersect(a, b)
+    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x10002) + n), 8, "0")), "UTF-32")
+    spelled = lambda words, alone: F.array_join(F.transform(words, lambda w: F.when(F.array_contains(shared, w), letter(F.array_position(shared, w))).otherwise(F.lit(alone))), "")
+    return F.levenshtein(spelled(a, "a"), spelled(b, "b"))
 
 
 def error_rate(distance: Column, length: Column) -> Column:
@@ -67,10 +90,25 @@ def phonetic_key(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, "[aeiouy]", ""), "(.)\\1+", "$1")
 
 
+def clipped_rate(distance: Column, length: Column) -> Column:
+    """Distance over length, 1 at most; 0 without a reference."""
+    return F.when(length > 0, F.round(F.least(distance / length, F.lit(1.0)), 6)).otherwise(0.0)
+
+
+def without_stopwords(words: Column, stop: tuple[str, ...]) -> Column:
+    """The words but for stop words; repeats stay."""
+    return F.filter(words, lambda w: ~w.isin(*stop))
+
+
 def holds_phrase(text: Column, phrase: Column) -> Column:
     return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))
 
 
+def bounded_phrase(text: Column, phrase: str) -> Column:
+    """Whether the phrase stands in the text in any case, not within a longer word."""
+    return text.rlike(f"(?i)(?<![A-Za-z0-9])\\Q{phrase}\\E(?![A-Za-z0-9])")
+
+
 def replace_first(text: Column, phrase: str, new: str) -> Column:
     """The first whole-word occurrence, in any case, replaced."""
     return F.regexp_replace(text, f"(?is)^(.*?)(?<![A-Za-z0-9])\\Q{phrase}\\E(?![A-Za-z0-9])", f"$1{new}")
@@ -94,3 +132,8 @@ def parse_list(value: Column) -> Column:
 def audio_stamp(seconds: Column) -> Column:
     """MM:SS.ss"""
     return F.format_string("%02d:%05.2f", F.floor(seconds / 60).cast("int"), seconds - F.floor(seconds / 60) * 60)
+
+
+def masked(key: Column) -> Column:
+    """A secret's first three and last four characters; short ones not at all."""
+    return F.when(F.length(key) > 8, F.concat(F.substring(key, 1, 3), F.lit("..."), F.substring(key, -4, 4))).otherwise("***")

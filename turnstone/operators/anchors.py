@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnstone.operators import intervals
+
 UNKNOWN, OVERLAP = "UNKNOWN", "OVERLAP"
 
 
@@ -19,8 +21,8 @@ def confidence_label(value: Column) -> Column:
 def align_words(words: DataFrame, turns: DataFrame) -> DataFrame:
     """Words with the turns that hold their midpoint: speakers (sorted), speaker (one, UNKNOWN or OVERLAP), confidence."""
     t = turns.select(F.col("clip_id").alias("t_clip"), F.col("speaker").alias("t_speaker"), F.col("start_ms").alias("t_start"), F.col("end_ms").alias("t_end"))
-    twice = F.col("start_ms") + F.col("end_ms")
-    met = words.join(t, (F.col("clip_id") == F.col("t_clip")) & (F.col("t_start") * 2 <= twice) & (twice < F.col("t_end") * 2), "left")
+    middle = "t_start * 2 <= start_ms + end_ms and start_ms + end_ms < t_end * 2"
+    met = intervals.holding(words, t, "((start_ms + end_ms) div 2)", ("t_start", "t_end"), "t_clip", middle, "left")
     held = met.groupBy("clip_id", "idx", "pos", "word", "start_ms", "end_ms").agg(F.array_sort(F.collect_set("t_speaker")).alias("speakers"))
     label = F.when(F.size("speakers") == 0, UNKNOWN).when(F.size("speakers") == 1, F.col("speakers")[0]).otherwise(OVERLAP)
     return held.withColumn("speaker", label).withColumn("confidence", confidence(F.col("speaker")))
@@ -48,7 +50,7 @@ def temporal_anchors(anchors: DataFrame, events: DataFrame) -> DataFrame:
     needs_review: overlap or no known speaker.
     """
     e = events.select(F.col("clip_id").alias("e_clip"), "type", F.col("start_ms").alias("e_start"), F.col("end_ms").alias("e_end"), F.col("speakers").alias("e_speakers"))
-    met = anchors.join(e, (F.col("clip_id") == F.col("e_clip")) & (F.least("end_ms", "e_end") > F.greatest("start_ms", "e_start")), "left")
+    met = intervals.meeting(anchors, e, ("start_ms", "end_ms"), ("e_start", "e_end"), "e_clip", "left")
     keys = ["clip_id", "anchor", "speaker", "speakers", "start_ms", "end_ms", "confidence"]
     found = met.groupBy(*keys).agg(
         F.coalesce(F.bool_or(F.col("type") == "overlap"), F.lit(False)).alias("meets"), F.coalesce(F.bool_or(F.col("type") == "interruption"), F.lit(False)).alias("interruption"),

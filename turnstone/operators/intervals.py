@@ -10,6 +10,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Length of the time buckets by which intervals of a clip are joined.
+BUCKET_MS = 60_000
+
+
+def in_buckets(rows: DataFrame, start: str, end: str, name: str) -> DataFrame:
+    """rows once for each time bucket that they touch."""
+    return rows.withColumn(name, F.explode(F.sequence(F.expr(f"{start} div {BUCKET_MS}"), F.expr(f"greatest({start}, {end} - 1) div {BUCKET_MS}"))))
+
+
+def meeting(left: DataFrame, right: DataFrame, own: tuple[str, str], other: tuple[str, str], clip: str, how: str = "inner") -> DataFrame:
+    """Pairs of a clip's rows that share time, a pair once: joined on clip (clip_id and clip) and time bucket.
+
+    A pair meets in each bucket that both touch; the one that holds the later start counts. So the work grows with the
+    pairs and not with the square of a clip. A left join gives left rows without a partner once for each of their buckets.
+    """
+    later = f"greatest({own[0]}, {other[0]})"
+    on = f"clip_id = {clip} and own_bucket = other_bucket and least({own[1]}, {other[1]}) > {later} and own_bucket = {later} div {BUCKET_MS}"
+    return in_buckets(left, *own, "own_bucket").join(in_buckets(right, *other, "other_bucket"), F.expr(on), how).drop("own_bucket", "other_bucket")
+
+
+def holding(points: DataFrame, rows: DataFrame, point: str, own: tuple[str, str], clip: str, condition: str, how: str = "inner") -> DataFrame:
+    """points, each in one time bucket, with the rows of the clip that touch its bucket and meet the condition."""
+    dealt = points.withColumn("own_bucket", F.expr(f"{point} div {BUCKET_MS}"))
+    return dealt.join(in_buckets(rows, *own, "other_bucket"), F.expr(f"clip_id = {clip} and own_bucket = other_bucket and {condition}"), how).drop("own_bucket", "other_bucket")
+
+
 def joined_speakers(column: str = "speakers") -> Column:
     """A sorted array of speakers as text."""
     return F.array_join(F.col(column), "+")
@@ -29,7 +55,7 @@ def active_speakers(turns: DataFrame) -> DataFrame:
     """clip_id, a, z, speakers: the sorted speakers of each elementary interval that has any."""
     t = positive(turns).select(F.col("clip_id").alias("turn_clip"), "speaker", "start_ms", "end_ms")
     e = elementary_intervals(turns)
-    held = e.join(t, (F.col("clip_id") == F.col("turn_clip")) & (F.col("start_ms") <= F.col("a")) & (F.col("z") <= F.col("end_ms")))
+    held = holding(e, t, "a", ("start_ms", "end_ms"), "turn_clip", "start_ms <= a and z <= end_ms")
     return held.groupBy("clip_id", "a", "z").agg(F.array_sort(F.collect_set("speaker")).alias("speakers"))
 
 
@@ -59,9 +85,10 @@ def overlap_events(turns: DataFrame) -> DataFrame:
 def interruption_events(turns: DataFrame, least_ms: int = 200) -> DataFrame:
     """A later speaker starts within a turn, overlaps it by least_ms and goes on after it. Equal events are one."""
     t = positive(turns)
-    first = t.select("clip_id", F.col("speaker").alias("first_speaker"), F.col("start_ms").alias("s1"), F.col("end_ms").alias("e1"))
+    first = t.select(F.col("clip_id").alias("first_clip"), F.col("speaker").alias("first_speaker"), F.col("start_ms").alias("s1"), F.col("end_ms").alias("e1"))
     later = t.select("clip_id", F.col("speaker").alias("later_speaker"), F.col("start_ms").alias("s2"), F.col("end_ms").alias("e2"))
-    met = first.join(later, "clip_id").where("first_speaker <> later_speaker and s2 > s1 and e2 > e1").where(F.col("e1") - F.col("s2") >= least_ms)
+    # A later turn starts in one bucket, in which the first turn must be; least_ms is positive.
+    met = holding(later, first, "s2", ("s1", "e1"), "first_clip", f"first_speaker <> later_speaker and s2 > s1 and e2 > e1 and e1 - s2 >= {max(least_ms, 1)}")
     events = met.select("clip_id", F.lit("interruption").alias("type"), F.col("s2").alias("start_ms"), F.col("e1").alias("end_ms"), F.array("first_speaker", "later_speaker").alias("speakers"))
     return events.distinct().withColumn("severity", severity(F.col("end_ms") - F.col("start_ms")))
 
@@ -69,9 +96,17 @@ def interruption_events(turns: DataFrame, least_ms: int = 200) -> DataFrame:
 def pairwise_overlaps(turns: DataFrame, least_ms: int = 50) -> DataFrame:
     """Pairs of a clip's turns, the earlier idx first, that overlap by least_ms."""
     a = turns.select("clip_id", F.col("idx").alias("i"), F.col("start_ms").alias("s1"), F.col("end_ms").alias("e1"))
-    b = turns.select("clip_id", F.col("idx").alias("j"), F.col("start_ms").alias("s2"), F.col("end_ms").alias("e2"))
+    b = turns.select(F.col("clip_id").alias("b_clip"), F.col("idx").alias("j"), F.col("start_ms").alias("s2"), F.col("end_ms").alias("e2"))
     shared = F.least("e1", "e2") - F.greatest("s1", "s2")
-    return a.join(b, "clip_id").where("i < j").withColumn("overlap_ms", shared).where(F.col("overlap_ms") >= least_ms).select("clip_id", "i", "j", "overlap_ms")
+    met = meeting(a, b, ("s1", "e1"), ("s2", "e2"), "b_clip").where("i < j").withColumn("overlap_ms", shared)
+    return met.where(F.col("overlap_ms") >= least_ms).select("clip_id", "i", "j", "overlap_ms")
+
+
+def flagged_by_overlap(turns: DataFrame, least_ms: int = 50) -> DataFrame:
+    """turns with overlap: whether either side of some pairwise overlap."""
+    pairs = pairwise_overlaps(turns, least_ms)
+    sides = pairs.select("clip_id", F.explode(F.array("i", "j")).alias("idx")).distinct().withColumn("overlap", F.lit(True))
+    return turns.join(sides, ["clip_id", "idx"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(False)))
 
 
 def interval_union(rows: DataFrame, *keys: str) -> DataFrame:
@@ -88,7 +123,7 @@ def coverage(reference: DataFrame, predicted: DataFrame) -> DataFrame:
     r = interval_union(reference, "clip_id").select("clip_id", F.col("start_ms").alias("rs"), F.col("end_ms").alias("re"))
     p = interval_union(predicted, "clip_id").select(F.col("clip_id").alias("p_clip"), F.col("start_ms").alias("ps"), F.col("end_ms").alias("pe"))
     total = r.groupBy("clip_id").agg(F.sum(F.col("re") - F.col("rs")).alias("total_ms"))
-    met = r.join(p, (F.col("clip_id") == F.col("p_clip")) & (F.col("ps") < F.col("re")) & (F.col("rs") < F.col("pe")))
+    met = meeting(r, p, ("rs", "re"), ("ps", "pe"), "p_clip")
     covered = met.groupBy("clip_id").agg(F.sum(F.least("re", "pe") - F.greatest("rs", "ps")).alias("covered_ms"))
     both = total.join(covered, "clip_id", "left").withColumn("covered_ms", F.coalesce("covered_ms", F.lit(0)))
     return both.withColumn("coverage", F.when(F.col("total_ms") > 0, F.round(F.col("covered_ms") / F.col("total_ms"), 6)).otherwise(1.0))
@@ -110,7 +145,7 @@ def bucketed_pairs(left: DataFrame, right: DataFrame, bucket_ms: int, least_ms:
 def evidence_links(events: DataFrame, anchors: DataFrame) -> DataFrame:
     """Events with the ordered ids (idx) of the anchors that they intersect."""
     a = anchors.select(F.col("clip_id").alias("a_clip"), "idx", F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"))
-    met = events.join(a, (F.col("clip_id") == F.col("a_clip")) & (F.least("end_ms", "a_end") > F.greatest("start_ms", "a_start")), "left")
+    met = meeting(events, a, ("start_ms", "end_ms"), ("a_start", "a_end"), "a_clip", "left")
     return met.groupBy("clip_id", "type", "start_ms", "end_ms", "speakers", "severity").agg(F.array_sort(F.collect_set("idx")).alias("anchor_ids"))
 
 
@@ -124,8 +159,8 @@ def best_overlap_match(reference: DataFrame, hypothesis: DataFrame) -> DataFrame
     """Each reference turn with the hypothesis turn of most overlap; ties by boundary distance, then by smaller idx."""
     r = reference.select("clip_id", F.col("idx").alias("ref_idx"), F.col("speaker").alias("ref_speaker"), F.col("start_ms").alias("rs"), F.col("end_ms").alias("re"))
     h = hypothesis.select(F.col("clip_id").alias("h_clip"), F.col("idx").alias("hyp_idx"), F.col("speaker").alias("hyp_speaker"), F.col("start_ms").alias("hs"), F.col("end_ms").alias("he"))
-    met = r.join(h, (F.col("clip_id") == F.col("h_clip")) & (F.col("hs") < F.col("re")) & (F.col("rs") < F.col("he")), "left")
-    met = met.withColumn("overlap_ms", F.coalesce(F.least("re", "he") - F.greatest("rs", "hs"), F.lit(0)))
+    met = meeting(r, h, ("rs", "re"), ("hs", "he"), "h_clip", "left")
+    met = met.withColumn("overlap_ms", F.when(F.col("hs").isNotNull(), F.least("re", "he") - F.greatest("rs", "hs")).otherwise(0))
     w = Window.partitionBy("clip_id", "ref_idx").orderBy(F.desc("overlap_ms"), F.abs(F.col("rs") - F.col("hs")) + F.abs(F.col("re") - F.col("he")), "hyp_idx")
     return met.withColumn("place", F.row_number().over(w)).where("place = 1").select("clip_id", "ref_idx", "ref_speaker", "hyp_idx", "hyp_speaker", "rs", "re", "overlap_ms")
 
@@ -141,5 +176,5 @@ def speaker_overlap_matrix(reference: DataFrame, predicted: DataFrame) -> DataFr
     """clip_id, ref_speaker, pred_speaker, overlap_ms over all pairs of turns that overlap."""
     r = reference.select("clip_id", F.col("speaker").alias("ref_speaker"), F.col("start_ms").alias("rs"), F.col("end_ms").alias("re"))
     p = predicted.select(F.col("clip_id").alias("p_clip"), F.col("speaker").alias("pred_speaker"), F.col("start_ms").alias("ps"), F.col("end_ms").alias("pe"))
-    met = r.join(p, (F.col("clip_id") == F.col("p_clip")) & (F.col("ps") < F.col("re")) & (F.col("rs") < F.col("pe")))
+    met = meeting(r, p, ("rs", "re"), ("ps", "pe"), "p_clip")
     return met.groupBy("clip_id", "ref_speaker", "pred_speaker").agg(F.sum(F.least("re", "pe") - F.greatest("rs", "ps")).alias("overlap_ms"))

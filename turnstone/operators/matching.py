@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.operators.intervals import elementary_intervals
+from turnstone.operators.intervals import elementary_intervals, holding, interval_union, meeting
 
 
 def iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -24,8 +24,8 @@ def iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 def candidate_pairs(reference: DataFrame, predicted: DataFrame, least_iou: float) -> DataFrame:
     """clip_id, ref, pred, iou, boundary_ms of pairs (clip_id, id, start_ms, end_ms) of at least least_iou."""
     r = reference.select("clip_id", F.col("id").alias("ref"), F.col("start_ms").alias("rs"), F.col("end_ms").alias("re"))
-    p = predicted.select("clip_id", F.col("id").alias("pred"), F.col("start_ms").alias("ps"), F.col("end_ms").alias("pe"))
-    met = r.join(p, "clip_id").where("ps < re and rs < pe").withColumn("iou", iou(F.col("rs"), F.col("re"), F.col("ps"), F.col("pe"))).where(F.col("iou") >= least_iou)
+    p = predicted.select(F.col("clip_id").alias("p_clip"), F.col("id").alias("pred"), F.col("start_ms").alias("ps"), F.col("end_ms").alias("pe"))
+    met = meeting(r, p, ("rs", "re"), ("ps", "pe"), "p_clip").withColumn("iou", iou(F.col("rs"), F.col("re"), F.col("ps"), F.col("pe"))).where(F.col("iou") >= least_iou)
     return met.select("clip_id", "ref", "pred", "iou", (F.abs(F.col("rs") - F.col("ps")) + F.abs(F.col("re") - F.col("pe"))).alias("boundary_ms"))
 
 
@@ -50,44 +50,82 @@ def event_scores(reference: DataFrame, predicted: DataFrame, least_iou: float =
     Without predictions precision is 1 if there is nothing to find, else 0; without references recall is 1. The mean
     boundary error is over matched pairs' starts and ends, null without any.
     """
-    matched = greedy_matches(candidate_pairs(reference, predicted, least_iou))
+    return _scores(reference, predicted, candidate_pairs(reference, predicted, least_iou))
+
+
+def _scores(reference: DataFrame, predicted: DataFrame, pairs: DataFrame) -> DataFrame:
+    matched = greedy_matches(pairs)
     counted = reference.select("clip_id", F.lit(1).alias("r"), F.lit(0).alias("p"), F.lit(0).alias("m"), F.lit(None).cast("long").alias("b"))
     counted = counted.unionByName(predicted.select("clip_id", F.lit(0).alias("r"), F.lit(1).alias("p"), F.lit(0).alias("m"), F.lit(None).cast("long").alias("b")))
     counted = counted.unionByName(matched.select("clip_id", F.lit(0).alias("r"), F.lit(0).alias("p"), F.lit(1).alias("m"), F.col("boundary_ms").alias("b")))
     sums = counted.groupBy("clip_id").agg(F.sum("r").alias("n_ref"), F.sum("p").alias("n_pred"), F.sum("m").alias("n_matched"), F.sum("b").alias("b"))
     precision = F.when(F.col("n_pred") > 0, F.col("n_matched") / F.col("n_pred")).otherwise((F.col("n_ref") == 0).cast("double"))
     recall = F.when(F.col("n_ref") > 0, F.col("n_matched") / F.col("n_ref")).otherwise(1.0)
-    scored = sums.withColumn("precision", F.round(precision, 6)).withColumn("recall", F.round(recall, 6))
+    scored = sums.withColumn("precision", precision).withColumn("recall", recall)
     total = F.col("precision") + F.col("recall")
     f1 = F.when(total > 0, F.round(2 * F.col("precision") * F.col("recall") / total, 6)).otherwise(0.0)
     mae = F.when(F.col("n_matched") > 0, F.round(F.col("b") / (2 * F.col("n_matched")), 3))
-    return scored.select("clip_id", "n_ref", "n_pred", "n_matched", "precision", "recall", f1.alias("f1"), mae.alias("boundary_mae_ms"))
+    return scored.select("clip_id", "n_ref", "n_pred", "n_matched", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), f1.alias("f1"), mae.alias("boundary_mae_ms"))
+
+
+def interruption_scores(reference: DataFrame, predicted: DataFrame) -> DataFrame:
+    """event_scores for events (clip_id, id, start_ms, end_ms, speakers) that share any time, between equal speaker pairs where both are known."""
+    pairs = candidate_pairs(reference, predicted, 1e-9)
+    named = lambda rows, x: rows.select("clip_id", F.col("id").alias(x), F.array_sort("speakers").alias(f"{x}_speakers"))
+    pairs = pairs.join(named(reference, "ref"), ["clip_id", "ref"]).join(named(predicted, "pred"), ["clip_id", "pred"])
+    unknown = (F.size("ref_speakers") < 2) | (F.size("pred_speakers") < 2)
+    return _scores(reference, predicted, pairs.where(unknown | (F.col("ref_speakers") == F.col("pred_speakers"))).select("clip_id", "ref", "pred", "iou", "boundary_ms"))
+
+
+def boundary_error(reference: DataFrame, predicted: DataFrame, mapping: DataFrame) -> DataFrame:
+    """clip_id, n_matched, boundary_mae_ms: turns (id, speaker) matched greedily where they share time and the mapped speaker."""
+    mapped = predicted.join(mapping.select("clip_id", F.col("pred_speaker").alias("speaker"), "mapped_to"), ["clip_id", "speaker"])
+    pairs = candidate_pairs(reference, mapped, 1e-9)
+    pairs = pairs.join(reference.select("clip_id", F.col("id").alias("ref"), F.col("speaker").alias("ref_speaker")), ["clip_id", "ref"]).join(mapped.select("clip_id", F.col("id").alias("pred"), "mapped_to"), ["clip_id", "pred"])
+    matched = greedy_matches(pairs.where("ref_speaker = mapped_to").select("clip_id", "ref", "pred", "iou", "boundary_ms"))
+    return matched.groupBy("clip_id").agg(F.count("*").alias("n_matched"), F.round(F.sum("boundary_ms") / (2 * F.count("*")), 3).alias("boundary_mae_ms"))
 
 
 def best_assignment(weight: np.ndarray) -> list[int]:
-    """For each row its column, or -1, so that the weights' sum is greatest; equal sums go to the first in order.
+    """For each row its column, or -1, so that the weights' sum is greatest.
 
-    Dynamic programming over the set of used columns of the shorter side, which are a clip's few speakers.
+    Shortest augmenting paths with potentials, in cubic time of a clip's labels.
     """
     rows, columns = weight.shape
-    if columns > rows:
-        back = best_assignment(weight.T)
+    if rows > columns:
         out = [-1] * rows
-        for column, row in enumerate(back):
+        for column, row in enumerate(best_assignment(weight.T)):
             if row >= 0:
                 out[row] = column
         return out
-    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
+    cost = weight.max(initial=0) - weight.astype(float)
+    u, v, owner = np.zeros(rows), np.zeros(columns), np.full(columns, -1)
     for row in range(rows):
-        after: dict[int, tuple[float, tuple[int, ...]]] = {}
-        for used, (total, path) in best.items():
-            for column in [*(c for c in range(columns) if not used >> c & 1), -1]:
-                key = used | (1 << column) if column >= 0 else used
-                value = total + (float(weight[row, column]) if column >= 0 else 0.0)
-                if key not in after or value > after[key][0]:
-                    after[key] = (value, (*path, column))
-        best = after
-    return list(max(best.values(), key=lambda x: x[0])[1])
+        best, before, done = np.full(columns, np.inf), np.full(columns, -1), np.zeros(columns, bool)
+        at, column = row, -1
+        while True:
+            slack = cost[at] - u[at] - v
+            better = ~done & (slack + 0.0 < best)
+            best[better], before[better] = slack[better], column
+            column = int(np.argmin(np.where(done, np.inf, best)))
+            step = best[column]
+            done[column] = True
+            u[[row, *owner[done & (np.arange(columns) != column)]]] += step
+            v[done & (np.arange(columns) != column)] -= step
+            best[~done] -= step
+            best[column] = 0.0
+            at = int(owner[column])
+            if at < 0:
+                break
+        while column >= 0:
+            back = int(before[column])
+            owner[column] = owner[back] if back >= 0 else row
+            column = back
+    out = [-1] * rows
+    for column, row in enumerate(owner.tolist()):
+        if row >= 0:
+            out[row] = column
+    return out
 
 
 def _map_labels(cells: pd.DataFrame) -> pd.DataFrame:
@@ -114,7 +152,7 @@ def mapped_error(reference: DataFrame, predicted: DataFrame, mapping: DataFrame)
     renamed = renamed.select("clip_id", F.coalesce("mapped_to", F.concat(F.lit("?"), F.col("speaker"))).alias("speaker"), "start_ms", "end_ms", F.lit(False).alias("is_ref"))
     turns = reference.select("clip_id", "speaker", "start_ms", "end_ms", F.lit(True).alias("is_ref")).unionByName(renamed)
     pieces = elementary_intervals(turns).withColumnRenamed("clip_id", "piece_clip")
-    held = pieces.join(turns, F.expr("piece_clip = clip_id and start_ms <= a and z <= end_ms and end_ms > start_ms"))
+    held = holding(pieces.withColumnRenamed("piece_clip", "clip_id"), turns.withColumnRenamed("clip_id", "turn_clip"), "a", ("start_ms", "end_ms"), "turn_clip", "start_ms <= a and z <= end_ms and end_ms > start_ms")
     sets = held.groupBy("clip_id", "a", "z").agg(F.collect_set(F.when(F.col("is_ref"), F.col("speaker"))).alias("ref"), F.collect_set(F.when(~F.col("is_ref"), F.col("speaker"))).alias("pred"))
     r, p, both, ms = F.size("ref"), F.size("pred"), F.size(F.array_intersect("ref", "pred")), F.col("z") - F.col("a")
     zero = F.lit(0)
@@ -123,3 +161,31 @@ def mapped_error(reference: DataFrame, predicted: DataFrame, mapping: DataFrame)
     )
     wrong = F.col("missed_ms") + F.col("false_alarm_ms") + F.col("confused_ms")
     return sums.withColumn("error", F.when(F.col("ref_ms") > 0, F.round(wrong / F.col("ref_ms"), 6)).otherwise(0.0))
+
+
+def with_collar(turns: DataFrame, reference: DataFrame, collar_ms: int) -> DataFrame:
+    """turns without the stretches within collar_ms of the reference's boundaries: clip_id, speaker, start_ms, end_ms."""
+    near = reference.select("clip_id", F.explode(F.array("start_ms", "end_ms")).alias("at")).distinct()
+    cuts = near.select(F.col("clip_id").alias("cut_clip"), (F.col("at") - collar_ms).alias("cut_start"), (F.col("at") + collar_ms).alias("cut_end"))
+    own = turns.withColumn("turn", F.monotonically_increasing_id()).select("clip_id", "speaker", "turn", "start_ms", "end_ms")
+    met = meeting(own, cuts, ("start_ms", "end_ms"), ("cut_start", "cut_end"), "cut_clip", "left")
+    # What is left of a turn lies between its cuts, in order, each reaching as far as any before it.
+    cut = F.array_sort(F.collect_list(F.when(F.col("cut_start").isNotNull(), F.struct("cut_start", "cut_end"))))
+    held = met.groupBy("clip_id", "speaker", "turn", "start_ms", "end_ms").agg(cut.alias("cuts"))
+    start = F.struct(F.col("start_ms").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("kept"))
+    step = lambda t, c: F.struct(F.greatest(t["at"], c["cut_end"]).alias("at"), F.when(c["cut_start"] > t["at"], F.concat(t["kept"], F.array(F.struct(t["at"].alias("s"), c["cut_start"].alias("e"))))).otherwise(t["kept"]).alias("kept"))
+    walked = held.withColumn("walk", F.aggregate("cuts", start, step))
+    kept = F.when(F.col("walk.at") < F.col("end_ms"), F.concat("walk.kept", F.array(F.struct(F.col("walk.at").alias("s"), F.col("end_ms").alias("e"))))).otherwise(F.col("walk.kept"))
+    return walked.select("clip_id", "speaker", F.explode(kept).alias("k")).select("clip_id", "speaker", F.col("k.s").alias("start_ms"), F.col("k.e").alias("end_ms"))
+
+
+def jaccard_error(reference: DataFrame, predicted: DataFrame, mapping: DataFrame) -> DataFrame:
+    """clip_id, jer: mean over reference speakers of 1 - shared time over the time of either, with mapped labels."""
+    mapped = predicted.join(mapping.select("clip_id", F.col("pred_speaker").alias("speaker"), "mapped_to"), ["clip_id", "speaker"]).select("clip_id", F.col("mapped_to").alias("speaker"), "start_ms", "end_ms")
+    union = lambda rows: interval_union(rows.select("clip_id", "speaker", "start_ms", "end_ms"), "clip_id", "speaker")
+    r, p = union(reference), union(mapped)
+    length = lambda rows, name: rows.groupBy("clip_id", "speaker").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias(name))
+    other = p.select(F.col("clip_id").alias("p_clip"), F.col("speaker").alias("p_speaker"), F.col("start_ms").alias("ps"), F.col("end_ms").alias("pe"))
+    shared = meeting(r, other, ("start_ms", "end_ms"), ("ps", "pe"), "p_clip").where("speaker = p_speaker").groupBy("clip_id", "speaker").agg(F.sum(F.least("end_ms", "pe") - F.greatest("start_ms", "ps")).alias("both"))
+    rows = length(r, "own").join(length(p, "said"), ["clip_id", "speaker"], "left").join(shared, ["clip_id", "speaker"], "left").na.fill(0, ["said", "both"])
+    return rows.groupBy("clip_id").agg(F.round(F.avg(1 - F.col("both") / (F.col("own") + F.col("said") - F.col("both"))), 6).alias("jer"))

@@ -69,3 +69,90 @@ def safety_metrics(rows: DataFrame, keys: list[str], true: str = "true", predict
         F.count("*").alias("n"), ratio(safe == applied, F.lit(True)).alias("accuracy"), ratio(safe & applied, applied).alias("safe_apply_precision"), ratio(safe & applied, safe).alias("safe_apply_recall"),
         ratio(~safe & applied, ~safe).alias("unsafe_apply_rate"), ratio(safe & ~applied, safe).alias("false_block_rate"), ratio(applied, F.lit(True)).alias("coverage"),
     )
+
+
+def means_without_blanks(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Means of text columns that hold numbers; blanks and what is no number are left out."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.round(F.avg(F.expr(f"try_cast(nullif(trim({c}), '') as double)")), 6).alias(f"mean_{c}") for c in columns])
+
+
+def flag_rates(rows: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
+    """How often each flag is true, and its share; a null flag counts as false."""
+    true = {c: F.count_if(F.coalesce(F.col(c), F.lit(False))) for c in flags}
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *[n.alias(f"n_{c}") for c, n in true.items()], *[F.round(n / F.count("*"), 6).alias(f"rate_{c}") for c, n in true.items()])
+
+
+def before_after(rows: DataFrame, keys: list[str], before: str, after: str, order: str, first: str) -> DataFrame:
+    """Means before and after, their difference, how many improved, and the first row's value of a column."""
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.round(F.avg(before), 6).alias("mean_before"), F.round(F.avg(after), 6).alias("mean_after"), F.round(F.avg(F.col(after) - F.col(before)), 6).alias("mean_delta"),
+        F.count_if(F.col(after) < F.col(before)).alias("n_improved"), F.bool_or(F.col(after) > F.col(before)).alias("any_worse"), F.min_by(first, order).alias(f"first_{first}"),
+    )
+
+
+def share_with_example(rows: DataFrame, parent: list[str], child: str, order: str, k: int = 5) -> DataFrame:
+    """The k commonest children of each parent with count, share of the parent's total and the first row's order."""
+    counts = rows.groupBy(*parent, child).agg(F.count("*").alias("n"), F.min(order).alias("example"))
+    counts = counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*parent)), 6))
+    return top_k(counts, parent, [F.desc("n"), F.col(child)], k)
+
+
+def rate_map(rows: DataFrame, keys: list[str], category: str, flag: Column) -> DataFrame:
+    """By keys, a JSON map from category to the share of rows with the flag, in the order of categories."""
+    rates = rows.groupBy(*keys, category).agg(F.round(F.count_if(flag) / F.count("*"), 6).alias("rate"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col(category).alias("key"), F.col("rate").alias("value"))))
+    return rates.groupBy(*keys).agg(F.to_json(F.map_from_entries(entries)).alias("rates"))
+
+
+def latest_values(rows: DataFrame, keys: list[str], aliases: dict[str, list[str]], name: str, value: str, order: str) -> DataFrame:
+    """By keys, the last numeric value of each metric, which may have several names."""
+    number = F.expr(f"try_cast({value} as double)")
+    return rows.groupBy(*keys).agg(*[F.max_by(F.when(F.col(name).isin(*names), number), F.when(F.col(name).isin(*names) & number.isNotNull(), F.col(order))).alias(metric) for metric, names in aliases.items()])
+
+
+def split_summary(rows: DataFrame, split: str, group: str, label: str, labels: list[str]) -> DataFrame:
+    """Rows, different groups and rows of each label by split; labels that don't occur count 0."""
+    return rows.groupBy(split).agg(F.count("*").alias("n"), F.count_distinct(group).alias("n_groups"), *[F.count_if(F.col(label) == x).alias(f"n_{x}") for x in labels])
+
+
+def counts_over_domain(rows: DataFrame, column: str, domain: list[str]) -> DataFrame:
+    """How often each value of a domain comes; 0 for those that don't."""
+    listed = rows.sparkSession.createDataFrame([(i, x) for i, x in enumerate(domain)], f"place int, {column} string")
+    counts = rows.groupBy(column).agg(F.count("*").alias("n"))
+    return listed.join(counts, column, "left").select("place", column, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
+    """rows with weight = n / (classes * rows of its class), so that classes weigh alike."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("own"))
+    totals = counts.agg(F.sum("own").alias("total"), F.count("*").alias("classes"))
+    of = counts.join(F.broadcast(totals)).select(label, F.round(F.col("total") / (F.col("classes") * F.col("own")), 6).alias("weight"))
+    return rows.join(F.broadcast(of), label)
+
+
+def selective_metrics(rows: DataFrame, keys: list[str], true: str = "true", predicted: str = "predicted") -> DataFrame:
+    """Of accept, needs_review and reject: unsafe accepts, recall of reviews, coverage, and accuracy on what is decided."""
+    t, p = F.col(true), F.col(predicted)
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(F.count_if(a), F.count_if(b)), F.lit(0.0)), 6)
+    decided = p != "needs_review"
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), ratio((p == "accept") & (t != "accept"), p == "accept").alias("unsafe_accept_rate"), ratio((p == "needs_review") & (t == "needs_review"), t == "needs_review").alias("review_recall"),
+        ratio(decided, F.lit(True)).alias("coverage"), ratio(decided & (p == t), decided).alias("decided_accuracy"),
+    )
+
+
+def union_of_sources(sources: dict[str, DataFrame], key: str) -> DataFrame:
+    """All sources' rows with the name of each, the first source of each key winning; columns that one lacks are null."""
+    out = None
+    for place, (name, rows) in enumerate(sources.items()):
+        named = rows.withColumn("origin", F.lit(name)).withColumn("origin_place", F.lit(place))
+        out = named if out is None else out.unionByName(named, allowMissingColumns=True)
+    return first_by(out, [key], [F.col("origin_place")]).drop("origin_place")
+
+
+def unpivot_decisions(rows: DataFrame, key: str, decisions: list[str]) -> DataFrame:
+    """A row for each entry of the decision arrays, with its decision and place; none at all gives one row, no_action."""
+    entries = lambda name: F.transform(name, lambda x, i: F.struct(F.lit(name).alias("decision"), i.alias("at"), x.alias("term")))
+    named = F.concat(*map(entries, decisions))
+    listed = F.when(F.size(named) > 0, named).otherwise(F.array(F.struct(F.lit("no_action").alias("decision"), F.lit(0).alias("at"), F.lit(None).cast("string").alias("term"))))
+    return rows.select(key, F.inline(listed))

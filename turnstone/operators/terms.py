@@ -21,41 +21,75 @@ CORRECTIONS = (
 )
 
 
+#: Forms that are tried as one expression; more are joined by runs of words.
+FEW_FORMS = 1000
+
+
 def phrase_matches(texts: DataFrame, forms: DataFrame) -> DataFrame:
     """Texts (id, tokens) with the forms (form, canonical) whose words stand in them one after the other.
 
-    A form of n words meets only the n-word runs of the texts, so this is a join on equal strings.
+    Few forms are looked for in each text where it is, without a join. With more, a form of n words meets only the n-word
+    runs of the texts, so it is a join on equal strings.
     """
+    few = forms.select("form", "canonical").distinct().limit(FEW_FORMS + 1).collect()
+    if 0 < len(few) <= FEW_FORMS:
+        known = F.array(*[F.struct(F.lit(r.canonical).alias("canonical"), F.lit(r.form).alias("form")) for r in few])
+        joined = texts.select("id", F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")).alias("joined"))
+        held = joined.select("id", F.explode(F.filter(known, lambda x: F.contains(F.col("joined"), F.concat(F.lit(" "), x["form"], F.lit(" "))))).alias("x"))
+        return held.select("id", "x.*").distinct()
     lengths = forms.select(F.size(F.split("form", " ")).alias("n")).distinct()
     runs = texts.join(F.broadcast(lengths), F.size("tokens") >= F.col("n"))
     run = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("n") + 1), lambda i: F.array_join(F.slice("tokens", i, F.col("n")), " "))))
     return runs.select("id", run.alias("form")).join(forms, "form").select("id", "canonical", "form").distinct()
 
 
-def phonetic_matches(texts: DataFrame, forms: DataFrame) -> DataFrame:
-    """Words of texts (id, tokens) whose phonetic key is a form's, but which aren't the form."""
-    words = texts.select("id", F.explode(F.array_distinct("tokens")).alias("word")).withColumn("key", phonetic_key(F.col("word"))).where("key <> ''")
-    keyed = forms.select("canonical", "form", phonetic_key(F.col("form")).alias("key"))
-    return words.join(keyed, "key").where("word <> form").select("id", "word", "canonical")
-
-
 @F.pandas_udf(DoubleType())
 def _ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def _near_windows(texts: DataFrame, forms: DataFrame, least: float, key) -> DataFrame:
+    """id, window, canonical, form, score: runs of n - 1 to n + 1 words of texts (id, tokens) like a form of n words.
+
+    key makes the strings that are compared. A similarity is at most twice the shared letters over all letters, so pairs
+    whose lengths or bags of letters rule out the least one are dropped first, in the JVM, which loses none. What is
+    left is scored once for all texts.
+    """
+    bag = F.transform(F.array_distinct(F.filter(F.split("form_key", ""), lambda c: c != "")), lambda c: F.struct(c.alias("letter"), (F.length("form_key") - F.length(F.replace(F.col("form_key"), c, F.lit("")))).alias("n")))
+    known = forms.select("canonical", "form", key(F.col("form")).alias("form_key"), F.size(F.split("form", " ")).alias("n")).where("form_key <> ''").withColumn("bag", bag).withColumn("letters", F.array_join(F.transform("bag", lambda x: x["letter"]), ""))
+    widths = known.select("*", F.explode(F.array_distinct(F.array(F.greatest(F.lit(1), F.col("n") - 1), F.col("n"), F.col("n") + 1))).alias("width"))
+    run = lambda width: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("tokens") - width + 1), lambda i: F.array_join(F.slice("tokens", i, width), " ")))
+    all_widths = widths.select("width").distinct()
+    windows = texts.join(F.broadcast(all_widths), F.size("tokens") >= F.col("width")).select("id", "width", F.explode(run(F.col("width"))).alias("window")).withColumn("key", key(F.col("window")))
+    own, other = F.length("key"), F.length("form_key")
+    met = windows.join(widths, "width").where(2 * F.least(own, other) >= least * (own + other) - 1e-9)
+    shared = F.aggregate("bag", F.lit(0), lambda total, x: total + F.least(x["n"], own - F.length(F.replace(F.col("key"), x["letter"], F.lit("")))))
+    # Letters of the form at all, a cheap bound, before the smaller counts of each.
+    held = own - F.length(F.expr("translate(key, letters, '')"))
+    met = met.where(2 * held >= least * (own + other) - 1e-9).where(2 * shared >= least * (own + other) - 1e-9).select("id", "window", "key", "canonical", "form", "form_key")
+    scored = met.select("key", "form_key").distinct().withColumn("score", _ratio("key", "form_key")).where(F.col("score") >= least)
+    return met.join(scored, ["key", "form_key"]).select("id", "window", "canonical", "form", "score")
+
+
+def _best_windows(met: DataFrame) -> DataFrame:
+    """The best score of each text and term, and the first of the windows that reach it."""
+    best = met.groupBy("id", "canonical").agg(F.min(F.struct((-F.col("score")).alias("down"), "window")).alias("best"))
+    return best.select("id", "canonical", F.round(-F.col("best.down"), 3).alias("score"), "best.window")
+
+
 def fuzzy_matches(texts: DataFrame, forms: DataFrame, least: float = 0.82) -> DataFrame:
-    """Words of texts (id, tokens) that are like a form: id, word, canonical, score.
+    """Terms of which some form is like a run of words of a text (id, tokens): id, canonical, score, window.
 
-    Only words of the same first letter and nearly the form's length are scored, each word once for all texts.
+    A term of at most four letters must be there as it stands.
     """
-    words = texts.select("id", F.explode(F.array_distinct("tokens")).alias("word")).where(F.length("word") >= 4)
-    different = words.select("word").distinct().withColumn("first", F.substring("word", 1, 1))
-    near = different.join(forms.withColumn("first", F.substring("form", 1, 1)), "first").where(F.abs(F.length("word") - F.length("form")) <= F.ceil(F.length("form") * 0.2))
-    scored = near.withColumn("score", F.round(_ratio("word", "form"), 6)).where(F.col("score") >= least)
-    best = scored.groupBy("word", "canonical").agg(F.max("score").alias("score"))
-    return words.join(best, "word").select("id", "word", "canonical", "score")
+    best = _best_windows(_near_windows(texts, forms, least, lambda c: c))
+    return best.where((F.length(F.regexp_replace(F.lower("canonical"), "[^a-z0-9]", "")) > 4) | (F.col("score") >= 1.0))
+
+
+def phonetic_matches(texts: DataFrame, forms: DataFrame, least: float = 0.94) -> DataFrame:
+    """Terms whose form sounds like a run of words of a text: by keys of at least three letters."""
+    return _best_windows(_near_windows(texts, forms.where(F.length(phonetic_key(F.col("form"))) >= 3), least, phonetic_key))
 
 
 OPCODES = ArrayType(StructType([StructField("op", StringType()), *(StructField(name, IntegerType()) for name in ("i1", "i2", "j1", "j2"))]))
@@ -110,7 +144,15 @@ def tfidf_top(queries: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def term_counts(required: Column, text: Column) -> tuple[Column, Column]:
-    """How many of the required terms the text holds, and which."""
+def term_scores(required: Column, text: Column) -> tuple[Column, Column, Column]:
+    """How many of the required terms (normal) the text holds, which, and their share; 1 where none is required."""
     held = F.filter(required, lambda term: holds_phrase(text, term))
-    return F.size(held), F.array_join(F.array_sort(held), ",")
+    return F.size(held), F.array_join(F.array_sort(held), ","), F.when(F.size(required) == 0, 1.0).otherwise(F.round(F.size(held) / F.size(required), 6))
+
+
+def set_scores(wanted: Column, got: Column) -> tuple[Column, Column, Column]:
+    """Precision, recall and F1 of the different terms got; 1 where there is nothing to get wrong."""
+    hits = F.size(F.array_intersect(wanted, got))
+    part = lambda n: F.when(n == 0, 1.0).otherwise(F.round(hits / n, 6))
+    a, b = F.size(F.array_distinct(wanted)), F.size(F.array_distinct(got))
+    return part(b), part(a), F.when(a + b == 0, 1.0).otherwise(F.round(2 * hits / (a + b), 6))

@@ -54,6 +54,38 @@ def mapped_diarization_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.mapped_error(turns, hypothesis, matching.map_speakers(intervals.speaker_overlap_matrix(turns, hypothesis)))
 
 
+@query()
+def interruption_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interruptions of turns against those of the made-up hypothesis; see tests/test_matching.py."""
+    turns = conversation_turns(spark, sf_dir)
+    events = lambda rows: intervals.interruption_events(rows).select("clip_id", F.xxhash64("start_ms", "end_ms", "speakers").alias("id"), "start_ms", "end_ms", "speakers")
+    return matching.interruption_scores(events(turns), events(shifted(turns)))
+
+
+@query()
+def mapped_boundary_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean boundary error of turns of mapped speakers."""
+    turns = conversation_turns(spark, sf_dir).withColumnRenamed("idx", "id")
+    hypothesis = shifted(conversation_turns(spark, sf_dir)).withColumnRenamed("idx", "id")
+    return matching.boundary_error(turns, hypothesis, matching.map_speakers(intervals.speaker_overlap_matrix(turns, hypothesis)))
+
+
+@query()
+def collar_diarization_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diarization error without the 250 ms around the reference's boundaries."""
+    turns = conversation_turns(spark, sf_dir)
+    hypothesis = shifted(turns)
+    mapping = matching.map_speakers(intervals.speaker_overlap_matrix(turns, hypothesis))
+    return matching.mapped_error(matching.with_collar(turns, turns, 250), matching.with_collar(hypothesis, turns, 250), mapping)
+
+
+@query()
+def jaccard_diarization_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_turns(spark, sf_dir)
+    hypothesis = shifted(turns)
+    return matching.jaccard_error(turns, hypothesis, matching.map_speakers(intervals.speaker_overlap_matrix(turns, hypothesis)))
+
+
 _SPEECH_SQL = """rows as (select cast(user_id % 8 as varchar) as speaker, ts from events),
   marked as (select *, case when ts < lag(ts) over (partition by speaker order by ts) + interval 10 minutes then 0 else 1 end as new from rows),
   numbered as (select *, sum(new) over (partition by speaker order by ts rows unbounded preceding) as session from marked)"""

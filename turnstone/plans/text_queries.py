@@ -17,17 +17,15 @@ ORACLE_SQL: dict[str, str] = {}
 #: A glossary on words of the test texts: form, canonical.
 FORMS = (("the ea", "THE EA"), ("on the", "ON THE"), ("de la", "DE LA"), ("er die", "ER DIE"), ("of and", "OF AND"), ("tion", "TION"), ("erheit", "ERHEIT"), ("is the of", "IS THE OF"))
 FORMS_SQL = "forms as (select * from (values " + ", ".join(f"('{form}', '{canonical}')" for form, canonical in FORMS) + ") f(form, canonical))"
-#: Token arrays of up to 40 tokens, and their normal form in ASCII, of neighbouring turns.
-PAIRS_SQL = TURNS_SQL + """, tokens as (select clip_id, idx, regexp_extract_all(lower(text), '[a-z0-9]+')[1:40] as ts from turns),
+#: Token arrays of neighbouring turns.
+PAIRS_SQL = TURNS_SQL + """, tokens as (select clip_id, idx, regexp_extract_all(lower(text), '[a-z0-9]+') as ts from turns),
   pairs as (select a.clip_id, a.idx, a.ts as ref, b.ts as hyp from tokens a join tokens b on a.clip_id = b.clip_id and b.idx = a.idx + 1)"""
-#: Distance of token lists, by spelling each pair's tokens with letters of its own.
-_SPELL = "array_to_string(list_transform({x}, lambda w: chr((256 + list_position(list_distinct(list_concat(ref, hyp)), w))::int)), '')"
 
 
 def _distance_sql(a: str, b: str) -> str:
-    """DuckDB's levenshtein counts bytes, so tokens become ASCII characters."""
-    spell = lambda x: f"coalesce(array_to_string(list_transform({x}, lambda w: chr((32 + list_position(list_sort(list_distinct(list_concat({a}, {b}))), w))::int)), ''), '')"
-    return f"levenshtein({spell(a)}, {spell(b)})"
+    """DuckDB's levenshtein counts bytes, so tokens that both sides have become ASCII letters, all others one of each side."""
+    spell = lambda x, alone: f"coalesce(array_to_string(list_transform({x}, lambda w: coalesce(chr((36 + list_position(list_intersect({a}, {b}), w))::int), '{alone}')), ''), '')"
+    return f"levenshtein({spell(a, '!')}, {spell(b, '#')})"
 
 
 def query(sql: str | None = None):
@@ -41,7 +39,7 @@ def query(sql: str | None = None):
 
 
 def token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = conversation_turns(spark, sf_dir).select("clip_id", "idx", F.slice(T.tokens(F.col("text")), 1, 40).alias("ts"))
+    own = conversation_turns(spark, sf_dir).select("clip_id", "idx", T.tokens(F.col("text")).alias("ts"))
     after = own.select("clip_id", (F.col("idx") - 1).alias("idx"), F.col("ts").alias("hyp"))
     return own.withColumnRenamed("ts", "ref").join(after, ["clip_id", "idx"])
 
@@ -70,10 +68,9 @@ def cleaned_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("clip_id", "idx", F.size("ref").alias("n_ref"), T.token_distance(F.col("ref"), F.col("hyp")).alias("distance"))
 
 
-@query(f"with {PAIRS_SQL}, chars as (select clip_id, idx, array_to_string(ref, '')[1:120] as a, array_to_string(hyp, '')[1:120] as b from pairs) select clip_id, idx, levenshtein(a, b) as distance, case when len(a) > 0 then round(levenshtein(a, b) / len(a), 6) when len(b) > 0 then 1.0 else 0.0 end as cer from chars")
+@query(f"with {PAIRS_SQL}, chars as (select clip_id, idx, array_to_string(ref, '') as a, array_to_string(hyp, '') as b from pairs) select clip_id, idx, levenshtein(a, b) as distance, case when len(a) > 0 then round(levenshtein(a, b) / len(a), 6) when len(b) > 0 then 1.0 else 0.0 end as cer from chars")
 def char_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = lambda c: F.substring(F.array_join(c, ""), 1, 120)
-    pairs = token_pairs(spark, sf_dir).select("clip_id", "idx", cut("ref").alias("a"), cut("hyp").alias("b")).withColumn("distance", F.levenshtein("a", "b"))
+    pairs = token_pairs(spark, sf_dir).select("clip_id", "idx", F.array_join("ref", "").alias("a"), F.array_join("hyp", "").alias("b")).withColumn("distance", F.levenshtein("a", "b"))
     return pairs.select("clip_id", "idx", "distance", T.error_rate(F.col("distance"), F.length("a")).alias("cer"))
 
 
@@ -86,7 +83,7 @@ def phonetic_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def phonetic_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL has no back references, so repeated letters are checked in tests."""
-    words = table(spark, sf_dir, "part").select(F.explode(T.tokens(F.col("p_name"))).alias("word")).distinct()
+    words = table(spark, sf_dir, "part").select(F.explode(T.tokens(F.col("p_name"))).alias("word")).distinct()  # tests/test_terms.py
     return words.select("word", T.phonetic_key(F.col("word")).alias("key"))
 
 
@@ -98,9 +95,16 @@ def phrase_term_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_term_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """difflib's similarity, which SQL lacks."""
+    """difflib's similarity, which SQL lacks; tests/test_terms.py looks at every window instead."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("tokens"))
+    return terms.fuzzy_matches(texts, forms(spark))
+
+
+@query()
+def phonetic_term_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by phonetic keys."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("tokens"))
-    return terms.fuzzy_matches(texts, forms(spark).where("form not like '% %'"))
+    return terms.phonetic_matches(texts, forms(spark))
 
 
 @query()
@@ -146,7 +150,7 @@ def action_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BAG = "list_sum(list_transform(list_distinct({a}), lambda x: greatest(0, len(list_filter({a}, lambda w: w = x)) - len(list_filter({b}, lambda w: w = x)))))"
-PROPOSALS_SQL = PAIRS_SQL + f""", proposals as (select clip_id, idx, ref[1:12] as raw, case when idx % 3 = 0 then ref[1:12] when idx % 3 = 1 then list_concat(ref[1:10], hyp[1:4]) else hyp[1:12] end as corrected from pairs),
+PROPOSALS_SQL = PAIRS_SQL + f""", proposals as (select clip_id, idx, ref as raw, case when idx % 3 = 0 then ref when idx % 3 = 1 then list_concat(ref, hyp[1:4]) else hyp end as corrected from pairs),
   ev as (select *, coalesce({_BAG.format(a='raw', b='corrected')}, 0) as n_removed, coalesce({_BAG.format(a='corrected', b='raw')}, 0) as n_added from proposals),
   ev2 as (select *, raw = corrected as no_change, (n_removed + n_added) / greatest(len(raw) + len(corrected), 1) as changed_ratio, greatest(0.0, (len(corrected) - len(raw)) / greatest(len(raw), 1)) as length_growth,
     case when n_added = 0 then 1.0 else 1.0 / n_added end as support_ratio, idx % 2 as n_supported, case when idx % 5 = 0 then 1 else 0 end as n_weak, clip_id % 2 = 0 as ov, clip_id % 5 = 0 as hv, clip_id % 7 = 0 as amb_spk, idx % 4 = 3 as part, clip_id % 3 = 0 as amb, clip_id % 11 = 0 as contra, idx % 6 = 5 as attr from ev),
@@ -161,9 +165,8 @@ PROPOSALS_SQL = PAIRS_SQL + f""", proposals as (select clip_id, idx, ref[1:12] a
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up correction proposals from neighbouring turns, scored."""
     pairs = token_pairs(spark, sf_dir)
-    head = lambda c, n: F.slice(c, 1, n)
-    new = F.when(F.col("idx") % 3 == 0, head("ref", 12)).when(F.col("idx") % 3 == 1, F.concat(head("ref", 10), head("hyp", 4))).otherwise(head("hyp", 12))
-    rows = gates.evidence(pairs.select("clip_id", "idx", head("ref", 12).alias("raw"), new.alias("corrected")))
+    new = F.when(F.col("idx") % 3 == 0, F.col("ref")).when(F.col("idx") % 3 == 1, F.concat(F.col("ref"), F.slice("hyp", 1, 4))).otherwise(F.col("hyp"))
+    rows = gates.evidence(pairs.select("clip_id", "idx", F.col("ref").alias("raw"), new.alias("corrected")))
     rows = rows.select(
         "*", F.when(F.col("n_added") == 0, 1.0).otherwise(1.0 / F.col("n_added")).alias("support_ratio"), (F.col("idx") % 2).alias("n_supported"), (F.col("idx") % 5 == 0).cast("int").alias("n_weak"),
         (F.col("clip_id") % 2 == 0).alias("overlap"), (F.col("clip_id") % 5 == 0).alias("heavy_overlap"), (F.col("clip_id") % 7 == 0).alias("speaker_ambiguity"), (F.col("idx") % 4 == 3).alias("partial"),
