@@ -1,5 +1,7 @@
+import pytest
+
 import corpus_pipeline
-from turnstone.llm import quality
+from turnstone.llm import pipeline, quality
 
 from .conftest import SF
 from .test_neardup import brute
@@ -31,5 +33,34 @@ def test_stages_one_by_one(spark, tmp_path):
     assert after.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).columns[:3] == ["doc_id", "start", "length"]
+@pytest.fixture
+def odd_dir(spark, docs, tmp_path):
+    """Tables of the odd rows, with clashing columns and a row without doc_id."""
+    odd = docs.selectExpr("nullif(doc_id, 8) as doc_id", "text", "lang", "source", "size", "1 as keep", "2 as mark", "3 as copies", "4 as n", "5 as queue", "6 as row")
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (5, 1, 0), (6, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_odd_rows_at_every_stage(spark, odd_dir):
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    counts = {}
+    for name, function in pipeline.STAGES[:-1]:
+        out = function(spark, docs, odd_dir)
+        assert out.columns == docs.columns
+        counts[name] = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
+    ids = lambda name: [i for none, i in counts[name] if not none]
+    assert set(ids("quality classifier")) >= {1, 5, 6} and not {2, 3, 4} & set(ids("quality classifier"))
+    # Texts without words are copies of each other; the repeated row is one; a row without doc_id stays.
+    assert ids("near-duplicates") == [1, 2, 5, 6, 7] and (True, 0) in counts["near-duplicates"]
+    assert len(counts["surrogates"]) == 9
+    packed = pipeline.packed(spark, docs, odd_dir)
+    assert packed.agg({"length": "sum"}).first()[0] > 9000
+
+
+def test_run_on_odd_and_empty_tables(spark, odd_dir, no_docs, tmp_path):
+    assert pipeline.run(spark, odd_dir).columns[:3] == ["doc_id", "start", "length"]
+    empty = f"{tmp_path}/empty"
+    no_docs.write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert pipeline.run(spark, empty).count() == 0

@@ -26,13 +26,17 @@ _own: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else one of our own.
 
-    Only a local master without the setting gets a temporary folder; a cluster without it gets a folder in the warehouse.
+    Only a local master without the setting gets a temporary folder; a cluster without it gets a folder in the warehouse,
+    if that is no local folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if "://" not in warehouse:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        return f"{warehouse}/_scratch"
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="turnstone-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)

@@ -500,7 +500,11 @@ def _rest(unlinked: DataFrame, signed: DataFrame, vectors: DataFrame, top: float
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose class has a smaller doc_id. Rows without doc_id stay; repeated rows are one."""
+    """docs without the rows whose class has a smaller doc_id. Rows without doc_id stay.
+
+    Repeated rows of one doc_id are one; where their texts differ, the text of the least hash stays, whatever the order.
+    """
     first = near_duplicates(docs, threshold).where("doc_id = class_id").select(F.col("class_id").alias("kept_id")).distinct()
-    kept = docs.join(first.hint("merge"), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    kept = docs.join(first.hint("merge"), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    chosen = kept.groupBy("doc_id").agg(F.min_by(F.struct(*[kept[name] for name in kept.columns]), F.xxhash64("text")).alias("first_row"))
+    return chosen.select("first_row.*").unionByName(docs.where("doc_id is null"))

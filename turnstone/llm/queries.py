@@ -94,4 +94,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeats": op10_repeats,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_TOP_PRODUCTS_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings where len(embedding) > 0 and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  scored as (select q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e)::bigint as score from v q join v on q.vec_id % 50 = 0 and v.vec_id <> q.vec_id and len(q.e) = len(v.e))
+  select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from scored qualify rank <= 5"""
+
+_REPEATS_SQL = r"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+  win as (select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as k from (select doc_id, ws, unnest(generate_series(1, len(ws) - 49)) as i from d where len(ws) >= 50)),
+  firsts as (select k, min(doc_id) as first_doc from win group by 1), hit as (select doc_id, i from win join firsts using (k) where first_doc < doc_id),
+  gone as (select distinct doc_id, unnest(generate_series(i, i + 49)) as pos from hit), w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from d),
+  kept as (select w.doc_id, count(gone.pos) as n_removed, string_agg(word, ' ' order by w.pos) filter (gone.pos is null) as t from w left join gone on w.doc_id = gone.doc_id and w.pos = gone.pos group by 1)
+  select doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)"""
+
+
+def _mix_sql() -> str:
+    """The mix by ranks over whole sources: what the operator takes bucket by bucket."""
+    steps, picked = [], "select null::varchar as source, null::bigint as doc_id, null::bigint as size where false"
+    for i in range(mixing.CLOSINGS):
+        before = f"closed{i}"
+        steps.append(f"{before} as ({picked})")
+        gap = f"gap{i} as (select c.source, max(budget) - (sum(size * more) + coalesce((select sum(size) from {before} x where x.source is not distinct from c.source), 0)) as gap from chosen c where odds is not null group by c.source having max(budget) > sum(size * more) + coalesce((select sum(size) from {before} x where x.source is not distinct from c.source), 0))"
+        steps.append(gap)
+        picked = f"select * from {before} union all select source, doc_id, size from (select c.source, c.doc_id, c.size, row_number() over (partition by c.source order by abs(c.size - gap), c.doc_id, c.size) as place from chosen c join gap{i} g on c.source is not distinct from g.source where more = 0 and odds is not null and abs(c.size - gap) < gap and not exists (select 1 from {before} x where x.source is not distinct from c.source and x.doc_id = c.doc_id)) where place = 1"
+    steps.append(f"closed as ({picked})")
+    return f"""with sizes as (select doc_id, source, size, size * 1000 // (size + {mixing.HALF_LENGTH}) as x from (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents)),
+  own as (select source, sum(size)::bigint as source_size, sum(size * x)::bigint as size_x, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from sizes group by 1),
+  levels as (select *, (sum(source_size) over () - coalesce(sum(source_size * {mixing.LIMIT}) over (order by source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by source_size / weight, source nulls last rows between current row and unbounded following) as level from own),
+  filled as (select *, level * weight >= source_size * {mixing.LIMIT} as full_ from levels), open_ as (select level as open_level from filled where not full_ order by source_size / weight, source nulls last limit 1),
+  targets as (select source, source_size, case when full_ then (source_size * {mixing.LIMIT})::double else weight * (select open_level from open_) end as target, coalesce(size_x / nullif(source_size, 0), 0.0) as mean_x from filled),
+  rated as (select s.doc_id, s.source, s.size, t.source_size, t.target, least(greatest(coalesce(target / nullif(source_size, 0), 0.0) + {mixing.TILT} * least(coalesce(target / nullif(source_size, 0), 0.0), {mixing.LIMIT} - coalesce(target / nullif(source_size, 0), 0.0)) * ((x - mean_x) / 1000), 0.0), {mixing.LIMIT}::double) as expected, (('0x' || left(md5('{mixing.SEED}|' || s.doc_id), 13))::bigint + 0.5) / {float(1 << 52)!r} as u from sizes s join targets t on s.source is not distinct from t.source),
+  odd as (select *, floor(expected)::bigint as certain, case when expected - floor(expected) > 0 and size > 0 then u / (1 - u) * ((1 - (expected - floor(expected))) / (expected - floor(expected))) end as odds from rated),
+  budgets as (select source, max(target) - sum(size * certain) as budget, sum(case when odds is not null then size else 0 end) as wanted from odd group by 1),
+  chosen as (select o.*, case when wanted > budget then budget end as budget, case when o.odds is null then 0 when sum(case when o.odds is not null then size else 0 end) over (partition by o.source order by o.odds nulls last, o.doc_id rows unbounded preceding) <= budget then 1 else 0 end as more from odd o join budgets b on o.source is not distinct from b.source),
+  {", ".join(steps)}
+  select c.doc_id, c.size, c.source_size, c.target, ((certain + more + (k.doc_id is not null)::int) * c.size)::bigint as taken, c.source, (certain + more + (k.doc_id is not null)::int)::bigint as copies from chosen c left join closed k on c.source is not distinct from k.source and c.doc_id = k.doc_id"""
+
+
+#: SQL of the operators that SQL can express over whole tables.
+ORACLE_SQL: dict[str, str] = {"op7_top_products": _TOP_PRODUCTS_SQL, "op9_source_mix": _mix_sql(), "op10_repeats": _REPEATS_SQL}
