@@ -1,48 +1,5 @@
-"""A training corpus from documents: five stages, each over all that the one before kept."""
+"""The training-corpus pipeline: its stages are in turnstone.llm.pipeline."""
 
-from __future__ import annotations
+from turnstone.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from turnstone.llm import mixing, neardup, packing, pii, quality
-from turnstone.llm.common import documents, stage
-from turnstone.llm.queries import tokenizer_path
-
-
-def good_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a language model of trusted text doesn't reject."""
-    return quality.keep_good(docs, quality.trusted(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-
-
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest doc_id, of each class of near-duplicates."""
-    return neardup.keep_first(docs)
-
-
-def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data."""
-    return pii.replace_all(docs).select("doc.*")
-
-
-def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.apply_mix(docs)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in which sequence."""
-    return packing.pack(docs, tokenizer_path())
-
-
-STAGES = [("quality classifier", good_only), ("near-duplicates", one_of_each), ("surrogates", without_personal_data), ("source mix", mixed_sources), ("packing", packed)]
-
-#: SQL can't express the stages; tests compare them with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; each one's rows are written and read again."""
-    docs = documents(spark, sf_dir)
-    for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
