@@ -51,3 +51,25 @@ def test_sinks(spark, tmp_path):
     files.write_report(rows, f"{tmp_path}/report", ["n", "clip_id"])
     assert files.read_results(spark, f"{tmp_path}/report").columns == ["n", "clip_id", "source_file"]
     assert files.checksums(spark, f"{tmp_path}/report/*.csv").where("length(sha256) = 64").count() >= 1
+
+
+def test_textgrid(spark, tmp_path):
+    body = 'item []:\n  item [1]:\n    name = "A"\n    intervals [1]:\n      xmin = 0\n      xmax = 1.5\n      text = "hi ""you"""\n    intervals [2]:\n      xmin = 1.5\n      xmax = 2\n      text = ""\n  item [2]:\n    name = "B"\n    intervals [1]:\n      xmin = 0.25\n      xmax = 1\n      text = " yes "\n'
+    (tmp_path / "m1.TextGrid").write_text("xmin = 0\nxmax = 2\n" + body)
+    rows = sorted(tuple(r) for r in files.read_textgrid(spark, str(tmp_path)).collect())
+    assert rows == [("m1", "A", 0, 1500, 'hi "you"'), ("m1", "B", 250, 1000, "yes")]
+
+
+def test_small_sources(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "c1.txt").write_text("\n hello you \n")
+    assert [tuple(r) for r in files.read_transcripts(spark, f"{tmp_path}/t").collect()] == [("c1", "hello you")]
+    assert files.read_or_empty(spark, " ", "a int").count() == files.read_or_empty(spark, f"{tmp_path}/no.csv", "a int").count() == 0
+    (tmp_path / "p.json").write_text('{"mode": "strict", "limit": 2}')
+    assert files.read_object(spark, f"{tmp_path}/p.json", ["mode"])["limit"] == 2
+    with pytest.raises(ValueError, match="lacks name"):
+        files.read_object(spark, f"{tmp_path}/p.json", ["mode", "name"])
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "tiny__c2.json").write_text(json.dumps({"mode": "mock", "segments": []}))
+    with pytest.raises(Exception, match="no real prediction"):
+        files.read_predictions(spark, f"{tmp_path}/x", refuse=True).collect()

@@ -5,7 +5,7 @@ Readers take a path or a pattern that Spark reads, so one call covers one clip o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,12 +32,19 @@ def read_results(spark: SparkSession, *paths: str) -> DataFrame:
     return both
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """clip_id, model_name, segments from JSON documents named {model}__{clip}.json; mock ones and those without segments go."""
+def read_predictions(spark: SparkSession, path: str, refuse: bool = False) -> DataFrame:
+    """clip_id, model_name, segments from JSON documents named {model}__{clip}.json.
+
+    Mock ones and those without segments go; with refuse, a query that meets one fails.
+    """
     schema = StructType.fromDDL(f"mode string, segments {SEGMENTS}")
     rows = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("name", F.col("_metadata.file_name"))
     named = rows.withColumns({"model_name": F.regexp_extract("name", "^(.+?)__", 1), "clip_id": F.regexp_extract("name", r"^.+?__(.+)\.json$", 1)})
-    return named.where("segments is not null and coalesce(mode, '') <> 'mock' and clip_id <> ''").select("clip_id", "model_name", "segments")
+    real = F.expr("segments is not null and coalesce(mode, '') <> 'mock' and clip_id <> ''")
+    if refuse:
+        message = F.concat(F.lit("no real prediction: "), F.col("name"))
+        return named.select("clip_id", "model_name", F.when(real, F.col("segments")).otherwise(F.raise_error(message).cast(SEGMENTS)).alias("segments"))
+    return named.where(real).select("clip_id", "model_name", "segments")
 
 
 def segment_words(predictions: DataFrame) -> DataFrame:
@@ -81,6 +88,107 @@ def read_kaldi(spark: SparkSession, text: str, segments: str, speakers: str) ->
     return cut.join(pair(text, "text"), "utterance").join(pair(speakers, "speaker"), "utterance", "left").select("utterance", "clip_id", "speaker", "start_ms", "end_ms", "text")
 
 
+def manifest_row(spark: SparkSession, path: str, clip_id: str) -> DataFrame:
+    """The manifest's rows of one clip."""
+    return read_manifest(spark, path, ["clip_id"]).where(F.col("clip_id") == clip_id)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the store has the path."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV with this schema; no rows if the path is blank or missing."""
+    if not path.strip() or not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def read_object(spark: SparkSession, path: str, required: list[str]) -> dict:
+    """One JSON object, a policy or a configuration. ValueError if a required key is missing."""
+    row = spark.read.option("multiLine", True).json(path).first()
+    found = row.asDict(recursive=True) if row else {}
+    missing = [name for name in required if found.get(name) is None]
+    if missing:
+        raise ValueError(f"the object lacks {', '.join(missing)}")
+    return found
+
+
+def read_json_glossary(spark: SparkSession, path: str) -> DataFrame:
+    """canonical and form from JSON documents: a list of terms, or an object with a list named terms."""
+    term = "struct<canonical:string,aliases:array<string>,spoken_forms:array<string>,asr_error_forms:array<string>>"
+    whole = spark.read.option("wholetext", True).text(path)
+    listed = F.coalesce(F.from_json(F.when(F.trim("value").startswith("["), F.col("value")), f"array<{term}>"), F.from_json("value", f"struct<terms:array<{term}>>")["terms"])
+    terms = whole.select(F.explode(listed).alias("t"))
+    none = F.array().cast("array<string>")
+    forms = F.array_distinct(F.concat(F.array("t.canonical"), *[F.coalesce(F.col(f"t.{kind}"), none) for kind in ("aliases", "spoken_forms", "asr_error_forms")]))
+    return terms.select(F.col("t.canonical").alias("canonical"), F.explode(forms).alias("form"))
+
+
+def merged_glossary(*sources: DataFrame) -> DataFrame:
+    """Terms (canonical, form) of all sources, the spelling of the first that has it, with the forms of all in order."""
+    both = None
+    for place, rows in enumerate(sources):
+        one = rows.select("canonical", "form", F.lit(place).alias("place"))
+        both = one if both is None else both.unionByName(one)
+    seen = both.groupBy(F.lower("canonical").alias("key"), F.lower("form").alias("form")).agg(F.min("place").alias("place"), F.min(F.struct("place", "canonical")).alias("first"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "form"))), lambda x: x["form"])
+    return seen.groupBy("key").agg(F.min("first")["canonical"].alias("canonical"), F.array_join(listed, "; ").alias("forms")).drop("key")
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """clip_id (the file's name) and text of whole text files, without blank ends."""
+    rows = spark.read.option("wholetext", True).text(path)
+    return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("clip_id"), F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("text"))
+
+
+def read_maps(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents in any folder below path that have a clip_id, with their file."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    return rows.withColumn("source_file", F.col("_metadata.file_name")).where("coalesce(trim(clip_id), '') <> ''")
+
+
+def read_tokens(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Token files whose columns are divided by |, with a header."""
+    return spark.read.schema(schema).option("header", True).option("sep", "|").csv(path)
+
+
+def read_textgrid(spark: SparkSession, path: str) -> DataFrame:
+    """clip_id, tier, start_ms, end_ms, text of the intervals with text in Praat TextGrid files, tiers by name."""
+    rows = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.TextGrid$", 1).alias("clip_id"), "value")
+    tiers = rows.select("clip_id", F.explode(F.slice(F.split("value", r"item \[\d+\]:"), 2, 1_000_000)).alias("tier_text"))
+    tiers = tiers.select("clip_id", F.regexp_extract("tier_text", 'name = "([^"]*)"', 1).alias("tier"), "tier_text")
+    pattern = r'xmin = ([0-9.]+)\s+xmax = ([0-9.]+)\s+text = "((?:[^"]|"")*)"'
+    parts = F.arrays_zip(*[F.regexp_extract_all("tier_text", F.lit(pattern), i).alias(name) for i, name in ((1, "a"), (2, "z"), (3, "text"))])
+    ms = lambda c: F.round(F.col(c).cast("double") * 1000).cast("long")
+    each = tiers.select("clip_id", "tier", F.explode(parts).alias("p"))
+    return each.select("clip_id", "tier", ms("p.a").alias("start_ms"), ms("p.z").alias("end_ms"), F.trim(F.replace(F.col("p.text"), F.lit('""'), F.lit('"'))).alias("text")).where("text <> ''")
+
+
+def first_existing(rows: DataFrame, names: list[str], default: str = ""):
+    """The first of these columns that rows has and that isn't blank, else default."""
+    known = [F.nullif(F.trim(F.col(name).cast("string")), F.lit("")) for name in names if name in rows.columns]
+    return F.coalesce(*known, F.lit(default))
+
+
+def markdown_table(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """place and line of a Markdown table: header, rule and a line for each row, in order. For reports of a few rows."""
+    line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    body = rows.withColumn("place", F.row_number().over(Window.orderBy(*order)) + 1).select("place", line([F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in columns]).alias("line"))
+    head = rows.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "| " + " | ".join("---" for _ in columns) + " |")], "place int, line string")
+    return head.unionByName(body)
+
+
+def reference_bundle(turns: DataFrame, events: DataFrame) -> DataFrame:
+    """clip_id and one JSON document with the clip's turns and events, in order of time."""
+    listed = lambda rows, name, *fields: rows.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    both = listed(turns, "turns", "start_ms", "end_ms", "speaker").join(listed(events, "events", "start_ms", "end_ms", "type"), "clip_id", "outer")
+    return both.select("clip_id", F.to_json(F.struct("clip_id", "turns", "events")).alias("document"))
+
+
 def write_documents(rows: DataFrame, path: str, key: str = "clip_id") -> None:
     """One JSON document a row, in folders by key."""
     rows.select(key, F.to_json(F.struct("*")).alias("value")).write.partitionBy(key).text(path)
