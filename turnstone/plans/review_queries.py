@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as T
-from turnstone.operators import anchors, intervals, meetings, review
+from turnstone.operators import evidence, intervals, meetings, review
 from turnstone.plans.interval_queries import OVERLAPS_SQL, SHIFTED_SQL, shifted
 from turnstone.sources.tables import TURNS_SQL, WORDS_SQL, conversation_turns, conversation_words, table
 
@@ -305,3 +305,17 @@ def paired_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = turns.where("idx % 2 = 0").select("clip_id", "idx", F.concat("text", F.lit("!")).alias("corrected"))
     shown = F.coalesce(F.nullif(F.trim("corrected"), F.lit("")), F.nullif(F.trim("raw"), F.lit("")), F.lit(""))
     return a.join(b, ["clip_id", "idx"], "outer").select("clip_id", "idx", F.md5(shown).alias("shown_md5"), (~F.col("raw").eqNullSafe(F.col("corrected"))).alias("changed"))
+
+
+_GLOSSARY = [("TERM ONE", ["term one"], None, ["the of", "de la"], "finance", None), ("Ouen", None, None, ["and the"], "company_name", ["is"])]
+
+
+@query()
+def gated_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a glossary offers for each turn, gated and applied in order; rule by rule in tests/test_evidence.py."""
+    glossary = spark.createDataFrame(_GLOSSARY, evidence.GLOSSARY)
+    texts = conversation_turns(spark, sf_dir).select(F.concat_ws("-", F.col("clip_id").cast("string"), F.col("idx").cast("string")).alias("id"), "text")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("source", "canonical"))
+    offered = evidence.candidates(texts, glossary).withColumn("place", place)
+    done = evidence.apply_corrections(texts, offered, glossary)
+    return done.select("id", F.md5("corrected").alias("corrected_md5"), F.array_join(F.transform("records", lambda r: F.concat_ws(":", r["source"], r["decision"], r["reason"])), ",").alias("records"))
