@@ -109,11 +109,6 @@ def bounded_phrase(text: Column, phrase: str) -> Column:
     return text.rlike(f"(?i)(?<![A-Za-z0-9])\\Q{phrase}\\E(?![A-Za-z0-9])")
 
 
-def replace_first(text: Column, phrase: str, new: str) -> Column:
-    """The first whole-word occurrence, in any case, replaced."""
-    return F.regexp_replace(text, f"(?is)^(.*?)(?<![A-Za-z0-9])\\Q{phrase}\\E(?![A-Za-z0-9])", f"$1{new}")
-
-
 def as_bool(value: Column) -> Column:
     return F.coalesce(F.lower(F.trim(value.cast("string"))).isin("1", "true", "yes", "y", "on"), F.lit(False))
 

@@ -107,6 +107,13 @@ def streaming_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed.withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("start", "end")})
 
 
+@query("select date_trunc('hour', ts) as \"start\", count(*) as n, count(distinct user_id % 8) as n_speakers from events group by 1")
+def activity_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and speakers of each hour of event time, over the whole table; eight speakers are counted exactly."""
+    events = table(spark, sf_dir, "events").select((F.col("user_id") % 8).cast("string").alias("speaker"), "ts")
+    return sessions.activity_by_window(events)
+
+
 @query(f"with {TURNS_SQL} select clip_id, idx, sum(end_ms - start_ms) over (partition by clip_id order by idx rows unbounded preceding)::bigint as spoken_ms from turns")
 def cumulative_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running sum of spoken time in a clip."""

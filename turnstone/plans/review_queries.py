@@ -213,6 +213,12 @@ def words_in_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meetings.words_in_windows(words, windows)
 
 
+@query(f"with {TURNS_SQL} select a.clip_id, a.idx, bool_or(b.idx is not null) as overlap from turns a left join turns b on a.clip_id = b.clip_id and a.idx <> b.idx and least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) >= 50 group by 1, 2")
+def overlap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that overlap another one of their clip, on both sides of each pair."""
+    return intervals.flagged_by_overlap(conversation_turns(spark, sf_dir)).select("clip_id", "idx", "overlap")
+
+
 @query(f"with {TURNS_SQL}, l as (select clip_id, max(end_ms) as len from turns group by 1) select clip_id, idx, greatest(0, start_ms - 2000) as low_ms, greatest(greatest(0, start_ms - 2000), least(end_ms + 2000, len)) as high_ms from turns join l using (clip_id)")
 def padded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = F.max("end_ms").over(Window.partitionBy("clip_id"))

@@ -48,10 +48,10 @@ def forms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FORMS, "form string, canonical string")
 
 
-@query(f"with {PAIRS_SQL} select clip_id, idx, len(ref) as n_ref, {_distance_sql('ref', 'hyp')} as distance, case when len(ref) > 0 then round({_distance_sql('ref', 'hyp')} / len(ref), 6) when len(hyp) > 0 then 1.0 else 0.0 end as wer from pairs")
+@query(f"with {PAIRS_SQL} select clip_id, idx, len(ref) as n_ref, {_distance_sql('ref', 'hyp')} as distance, case when len(ref) > 0 then round({_distance_sql('ref', 'hyp')} / len(ref), 6) when len(hyp) > 0 then 1.0 else 0.0 end as wer, case when len(ref) > 0 then round(least({_distance_sql('ref', 'hyp')} / len(ref), 1), 6) else 0.0 end as clipped_wer from pairs")
 def token_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = token_pairs(spark, sf_dir).withColumn("distance", T.token_distance(F.col("ref"), F.col("hyp")))
-    return pairs.select("clip_id", "idx", F.size("ref").alias("n_ref"), "distance", T.error_rate(F.col("distance"), F.size("ref")).alias("wer"))
+    return pairs.select("clip_id", "idx", F.size("ref").alias("n_ref"), "distance", T.error_rate(F.col("distance"), F.size("ref")).alias("wer"), T.clipped_rate(F.col("distance"), F.size("ref")).alias("clipped_wer"))
 
 
 _CLEAN = "list_filter({x}, lambda w: not list_contains(['um', 'uh', 'mm-hmm', 'mm', 'hmm', 'mhm', 'mmhmm', 'the'], w))"
