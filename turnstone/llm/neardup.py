@@ -16,7 +16,7 @@ weighted Jaccard similarity. The variates come from a table of VARIATES entries,
 ln w, so what a shingle bids is looked up.
 
 Draws in bands of ROWS make buckets. A bucket first gives the edges of its greatest spanning tree by agreement of draws,
-and each text's NEAREST best agreements, all of at least LIKELY. Buckets of more than GROUP texts are dealt into groups
+of at least LIKELY: fewer pairs than texts. Buckets of more than GROUP texts are dealt into groups
 of about that many there, and all texts are paired with the bucket's smallest doc_id as well. Pairs are verified by their
 weighted Jaccard similarity, over 32 bits of each shingle's hash. Where a bucket's texts are then in several components,
 the best linked text of the largest component is paired with all texts outside it; and where they still are, each text
@@ -53,8 +53,8 @@ STEP, STEPS = 0.25, 64
 SIGNED_BYTES = 1 << 19
 #: Shingles that a task gathers before it counts them.
 GATHERED = 1 << 19
-#: Texts of a bucket that are compared in one group, further pairs of a text, and their least agreement.
-GROUP, NEAREST, LIKELY = 512, 2, 0.6
+#: Texts of a bucket whose draws are compared in one group, and the least agreement of a pair.
+GROUP, LIKELY = 512, 0.6
 #: Texts of each side that are compared by all pairs in one block.
 BLOCK = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -228,7 +228,7 @@ def _signatures(weights):
 
 
 def likely_pairs(draws: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a group's texts, by place: a greatest spanning tree of their agreements, and each one's best."""
+    """Pairs of a group's texts, by place: the edges of a greatest spanning tree of their agreements."""
     n = len(draws)
     agree = (draws[:, None, :] == draws[None, :, :]).mean(axis=2) if n <= 128 else np.stack([(draws == one).mean(axis=1) for one in draws])
     if n == 2:
@@ -244,9 +244,6 @@ def likely_pairs(draws: np.ndarray) -> list[tuple[int, int]]:
         free[at] = False
         nearer = agree[at] > best
         best[nearer], source[nearer] = agree[at][nearer], at
-    nearest = np.argsort(-agree, axis=1, kind="stable")[:, :NEAREST]
-    for i in range(n):
-        pairs |= {(min(i, int(j)), max(i, int(j))) for j in nearest[i] if agree[i, j] >= LIKELY}
     return sorted(pairs)
 
 
@@ -466,9 +463,9 @@ def _candidates(signed: DataFrame, members: DataFrame) -> DataFrame:
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets with texts in several components: bucket, doc_id, n, label, the label that most have, n_stray others.
 
-    In a bucket of at most NEAREST + 1 texts all likely pairs were candidates.
+    In a bucket of two texts the pair was a candidate.
     """
-    known = members.where(F.col("n") > NEAREST + 1).join(labels, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
+    known = members.where("n > 2").join(labels, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
     known = stage(known, "neardup-known")
     most = known.groupBy("bucket", "label").agg(F.count("*").alias("own"), F.max("n").alias("size")).groupBy("bucket").agg(F.max(F.struct("own", "label")).alias("most"), F.max("size").alias("size"))
     most = most.where("most.own < size").select("bucket", F.col("most.label").alias("most"), (F.col("size") - F.col("most.own")).alias("n_stray"))
