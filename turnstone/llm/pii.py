@@ -263,8 +263,10 @@ def replace_all(docs: DataFrame, key: str | None = None) -> DataFrame:
     key = key or docs.sparkSession.conf.get("turnstone.pii.key", KEY)
     text = F.col("doc.text")
     rows = docs.select(F.struct("*").alias("doc"))
-    may_hold = F.coalesce(text.rlike(ANY), F.lit(False))
-    holders = stage(rows.where(may_hold).select("doc", found_in(text).alias("found"), F.monotonically_increasing_id().alias("row")), "pii-holders")
+    # The pattern is dear, so each text meets it once; all rows are written with what it found.
+    found = F.coalesce(found_in(text), F.array().cast("array<string>"))
+    read = stage(rows.select("doc", found.alias("found"), F.monotonically_increasing_id().alias("row")), "pii-found")
+    holders = read.where(F.size("found") > 0)
     each = holders.select("row", F.posexplode("found").alias("at", "entity")).withColumn("kind", _kind(F.col("entity")))
     each = stage(each.select("row", "at", "entity", F.col("kind").alias("type"), F.posexplode(parts_of(F.col("entity"), F.col("kind"))).alias("part", "own")), "pii-entities")
     each = each.select("row", "at", "entity", "type", "part", "own.*")
@@ -277,5 +279,5 @@ def replace_all(docs: DataFrame, key: str | None = None) -> DataFrame:
     placed = one.unionByName(names).select("row", "at", in_shape(F.col("entity"), F.col("type"), F.col("surrogate"), F.col("tail")).alias("new"))
     new = placed.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("new"))
     filled = F.array_join(F.transform(F.split(text, ANY, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get(F.col("new"), i), F.lit("")))), "")
-    changed = holders.join(new, "row", "left").select(F.when(F.size("found") > 0, F.col("doc").withField("text", filled)).otherwise(F.col("doc")).alias("doc"), F.size("found").alias("n_entities"))
-    return changed.unionByName(rows.where(~may_hold).withColumn("n_entities", F.lit(0)))
+    changed = holders.join(new, "row").select(F.col("doc").withField("text", filled).alias("doc"), F.size("found").alias("n_entities"))
+    return changed.unionByName(read.where(F.size("found") == 0).select("doc", F.lit(0).alias("n_entities")))
