@@ -69,7 +69,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, required: list[str])
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     """source_file, line, canonical, form from Markdown: cells of tables' first columns, and lines "form -> canonical"."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("source_file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     text = F.trim("text")
     pair = F.regexp_extract(text, r"^[-*]?\s*[\"`]?(.+?)[\"`]?\s*->\s*[\"`]?(.+?)[\"`]?$", 1)
     target = F.regexp_extract(text, r"^[-*]?\s*[\"`]?(.+?)[\"`]?\s*->\s*[\"`]?(.+?)[\"`]?$", 2)
@@ -120,7 +120,7 @@ def read_object(spark: SparkSession, path: str, required: list[str]) -> dict:
 def read_json_glossary(spark: SparkSession, path: str) -> DataFrame:
     """canonical and form from JSON documents: a list of terms, or an object with a list named terms."""
     term = "struct<canonical:string,aliases:array<string>,spoken_forms:array<string>,asr_error_forms:array<string>>"
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     listed = F.coalesce(F.from_json(F.when(F.trim("value").startswith("["), F.col("value")), f"array<{term}>"), F.from_json("value", f"struct<terms:array<{term}>>")["terms"])
     terms = whole.select(F.explode(listed).alias("t"))
     none = F.array().cast("array<string>")
@@ -141,7 +141,7 @@ def merged_glossary(*sources: DataFrame) -> DataFrame:
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """clip_id (the file's name) and text of whole text files, without blank ends."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("clip_id"), F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("text"))
 
 
@@ -158,7 +158,7 @@ def read_tokens(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_textgrid(spark: SparkSession, path: str) -> DataFrame:
     """clip_id, tier, start_ms, end_ms, text of the intervals with text in Praat TextGrid files, tiers by name."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.TextGrid$", 1).alias("clip_id"), "value")
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.TextGrid$", 1).alias("clip_id"), "value")
     tiers = rows.select("clip_id", F.explode(F.slice(F.split("value", r"item \[\d+\]:"), 2, 1_000_000)).alias("tier_text"))
     tiers = tiers.select("clip_id", F.regexp_extract("tier_text", 'name = "([^"]*)"', 1).alias("tier"), "tier_text")
     pattern = r'xmin = ([0-9.]+)\s+xmax = ([0-9.]+)\s+text = "((?:[^"]|"")*)"'
