@@ -103,6 +103,38 @@ def slices(batches: Iterator[pa.RecordBatch], at: int, limit: int = SLICE_BYTES)
         yield out()
 
 
+def _as_text(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data))
+
+
+def word_parts(texts: pa.Array, fold=None, limit: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Parts of texts of about limit bytes together, cut at white space only, and the row that each part belongs to.
+
+    fold turns all bytes (uint8) into others of the same number first, say those outside words into blanks. Null is empty.
+    A run of bytes without white space stays whole, however long.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    if not len(texts):
+        return
+    own = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[own[0] : own[-1]]
+    own, data = own - own[0], data if fold is None else fold(data)
+    starts, owner = [own[:-1]], [np.arange(len(own) - 1)]
+    for row in np.flatnonzero(np.diff(own) > limit).tolist():
+        blank = np.flatnonzero((data[own[row] : own[row + 1]] == 32) | ((data[own[row] : own[row + 1]] >= 9) & (data[own[row] : own[row + 1]] <= 13)))
+        cut = np.unique(np.searchsorted(blank, np.arange(limit, own[row + 1] - own[row], limit)))
+        cut = blank[cut[cut < len(blank)]] + own[row]
+        starts.append(cut), owner.append(np.full(len(cut), row))
+    starts, owner = np.concatenate(starts), np.concatenate(owner)
+    order = np.lexsort((owner, starts))
+    starts, owner = np.append(starts[order], own[-1]), owner[order]
+    at = 0
+    while at < len(owner):
+        to = max(int(np.searchsorted(starts, starts[at] + limit, "right")) - 1, at + 1)
+        yield owner[at:to], _as_text(starts[at : to + 1] - starts[at], data[starts[at] : starts[to]])
+        at = to
+
+
 def to_batch(columns: dict, types: dict[str, pa.DataType]) -> pa.RecordBatch:
     """A record batch with these columns, in the order of types."""
     return pa.RecordBatch.from_arrays([pa.array(columns[name], kind) for name, kind in types.items()], names=list(types))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.llm import langid, licenses, media, mixing, neardup, packing, pii, quality, substrings, topk
+from turnstone.llm import langid, licenses, media, mixing, neardup, packing, pii, quality, resampling, spelling, substrings, tokencount, topk
 from turnstone.llm.common import documents
 
 
@@ -74,6 +74,22 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn towards the benchmark's texts, with every document's weight and score."""
+    drawn = resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of all documents with the more frequent word that it is a variant of."""
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return tokencount.count_tokens(documents(spark, sf_dir), tokenizer_path())
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -92,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_source_mix": op9_source_mix,
     "op10_repeats": op10_repeats,
+    "op11_resample": op11_resample,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_token_counts": op13_token_counts,
 }
 
 _TOP_PRODUCTS_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings where len(embedding) > 0 and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
@@ -129,5 +148,55 @@ def _mix_sql() -> str:
   select c.doc_id, c.size, c.source_size, c.target, ((certain + more + (k.doc_id is not null)::int) * c.size)::bigint as taken, c.source, (certain + more + (k.doc_id is not null)::int)::bigint as copies from chosen c left join closed k on c.source is not distinct from k.source and c.doc_id = k.doc_id"""
 
 
+def _crc_tables() -> str:
+    """A list of the 16 steps of a CRC-32 by half bytes, worked out from its polynomial."""
+    steps = []
+    for value in range(16):
+        for _ in range(4):
+            value = value >> 1 ^ 0xEDB88320 * (value & 1)
+        steps.append(value)
+    return f"({steps}::bigint[])"
+
+
+def _half_bytes(text: str) -> str:
+    """SQL of a text's UTF-8 half bytes, the low one of each byte first."""
+    return f"list_transform(range(2 * strlen({text})), lambda k: instr('0123456789ABCDEF', hex({text})[k + 2 - 2 * (k % 2)]) - 1)"
+
+
+def _crc_sql(half_bytes: str, state: str = "4294967295::bigint") -> str:
+    """SQL of a CRC-32's state after these half bytes."""
+    return f"list_reduce({half_bytes}, lambda c, b: xor(c >> 4, {_crc_tables()}[(xor(c, b) & 15) + 1]), {state})"
+
+
+def _words_sql(table: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({table}.text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+_RESAMPLE_SQL = f"""with d as (select doc_id, {_words_sql("documents")} as ws from documents), t as (select unnest({_words_sql("benchmark")}) as w from benchmark),
+  s as (select doc_id, w, count(*) as k from (select doc_id, unnest(ws) as w from d) group by 1, 2), words as (select distinct w from (select w from s union all select w from t)),
+  hashed as (select w, xor({_crc_sql(_half_bytes("w"))}, 4294967295) % {resampling.BUCKETS} as b from words),
+  sb as (select b, sum(k)::bigint as s from s join hashed using (w) group by 1), tb as (select b, count(*) as t from t join hashed using (w) group by 1),
+  totals as (select coalesce((select sum(s) from sb), 0)::double as s_all, coalesce((select sum(t) from tb), 0)::double as t_all),
+  gain as (select b, floor(1000 * ln((coalesce(t, 0) + 1)::double * (s_all + {resampling.BUCKETS}) / ((coalesce(s, 0) + 1)::double * (t_all + {resampling.BUCKETS}))))::bigint as g from sb full join tb using (b), totals),
+  weighed as (select doc_id, floor(sum(k * g) / sum(k))::bigint as weight from s join hashed using (w) join gain using (b) group by 1),
+  scored as (select d.doc_id, len(ws)::bigint as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('{resampling.SEED}:' || d.doc_id), 8))::bigint + 0.5) / 4294967296)))::bigint as score from d left join weighed using (doc_id)),
+  placed as (select *, row_number() over (partition by n_features >= {resampling.LEAST_WORDS} order by score desc, doc_id) as place, {resampling.PERCENT} * (count(*) filter (n_features >= {resampling.LEAST_WORDS}) over ()) // 100 as drawn from scored)
+  select doc_id, n_features, weight, score, case when n_features >= {resampling.LEAST_WORDS} and place <= drawn then place end as rank from placed"""
+
+_SPELLING_SQL = f"""with recursive d as (select doc_id, {_crc_sql(_half_bytes("(doc_id || ':')"))} as state, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+') as ws from documents),
+  s as (select doc_id, state, w, count(*) as k from (select doc_id, state, unnest(ws) as w from d) where length(w) >= {spelling.SHORTEST} group by all),
+  coded as (select w, {_half_bytes("w")} as bits from (select distinct w from s)), hashed as (select w, k, xor({_crc_sql("bits", "state")}, 4294967295) as h from s join coded using (w)),
+  written as (select case when h % {spelling.DROP_EVERY} = 0 then w[:h % length(w)] || w[h % length(w) + 2:] else w end as word, k from hashed),
+  v as materialized (select word, sum(k)::bigint as n from written where length(word) >= {spelling.SHORTEST} group by 1 having sum(k) >= {spelling.LEAST_COUNT}),
+  less as (select word, n, i, word[:i] || word[i + 2:] as rest from (select word, n, unnest(range(length(word))) as i from v)),
+  near as materialized (select a.word, b.word as other, b.n as other_n from less a join less b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+    union all select distinct a.word, v.word, v.n from less a join v on a.rest = v.word union all select distinct v.word, a.word, a.n from less a join v on a.rest = v.word),
+  best as (select word, count(*) as n_near, first(other order by other_n desc, other) as other, max(other_n) as other_n from near group by 1),
+  formed as materialized (select v.word, v.n, coalesce(n_near, 0) as n_near, case when other_n >= {spelling.RATIO} * v.n then other end as form, case when other_n >= {spelling.RATIO} * v.n then other_n end as form_n from v left join best using (word)),
+  follow as (select word, form as at from formed where form is not null union all select follow.word, formed.form from follow join formed on follow.at = formed.word where formed.form is not null),
+  ends as (select follow.word, follow.at from follow join formed on follow.at = formed.word where formed.form is null)
+  select formed.word, form, coalesce(ends.at, formed.word) as root, n, n_near, form_n from formed left join ends using (word)"""
+
+
 #: SQL of the operators that SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {"op7_top_products": _TOP_PRODUCTS_SQL, "op9_source_mix": _mix_sql(), "op10_repeats": _REPEATS_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_top_products": _TOP_PRODUCTS_SQL, "op9_source_mix": _mix_sql(), "op10_repeats": _REPEATS_SQL, "op11_resample": _RESAMPLE_SQL, "op12_spelling_variants": _SPELLING_SQL}
