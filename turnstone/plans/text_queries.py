@@ -1,4 +1,4 @@
-"""Queries over texts, terms and gates, with their SQL."""
+"""Queries over texts and terms, with their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as T
-from turnstone.operators import gates, terms
+from turnstone.operators import terms
 from turnstone.sources.tables import TURNS_SQL, conversation_turns, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,47 +149,6 @@ def action_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("clip_id", "idx", action.alias("action")).groupBy("clip_id", "idx", "action").agg(F.count("*").alias("n"))
 
 
-_BAG = "list_sum(list_transform(list_distinct({a}), lambda x: greatest(0, len(list_filter({a}, lambda w: w = x)) - len(list_filter({b}, lambda w: w = x)))))"
-PROPOSALS_SQL = PAIRS_SQL + f""", proposals as (select clip_id, idx, ref as raw, case when idx % 3 = 0 then ref when idx % 3 = 1 then list_concat(ref, hyp[1:4]) else hyp end as corrected from pairs),
-  ev as (select *, coalesce({_BAG.format(a='raw', b='corrected')}, 0) as n_removed, coalesce({_BAG.format(a='corrected', b='raw')}, 0) as n_added from proposals),
-  ev2 as (select *, raw = corrected as no_change, (n_removed + n_added) / greatest(len(raw) + len(corrected), 1) as changed_ratio, greatest(0.0, (len(corrected) - len(raw)) / greatest(len(raw), 1)) as length_growth,
-    case when n_added = 0 then 1.0 else 1.0 / n_added end as support_ratio, idx % 2 as n_supported, case when idx % 5 = 0 then 1 else 0 end as n_weak, clip_id % 2 = 0 as ov, clip_id % 5 = 0 as hv, clip_id % 7 = 0 as amb_spk, idx % 4 = 3 as part, clip_id % 3 = 0 as amb, clip_id % 11 = 0 as contra, idx % 6 = 5 as attr from ev),
-  sc as (select *, len(raw) = 0 or len(corrected) = 0 as empty,
-    case when no_change then 0.9 else 0.15 + case when n_supported > 0 then least(0.55, 0.35 + 0.1 * n_supported) else 0 end + case when support_ratio >= 0.8 then 0.2 when support_ratio >= 0.5 then 0.1 else 0 end + case when n_added = 0 and n_removed > 0 then 0.05 else 0 end - case when contra then 0.4 when amb then 0.15 else 0 end end as s,
-    0.05 + case when ov then 0.12 else 0 end + case when hv then 0.28 else 0 end + case when amb_spk then 0.28 else 0 end + case when part then 0.2 else 0 end + case when changed_ratio >= 0.55 then 0.2 when changed_ratio >= 0.3 then 0.1 else 0 end
-      + case when length_growth >= 0.5 then 0.35 when length_growth >= 0.2 then 0.15 else 0 end + case when n_weak > 0 then 0.25 else 0 end + case when amb then 0.28 else 0 end + case when contra and not no_change then 0.5 else 0 end + case when n_added > 0 and support_ratio < 0.5 then 0.25 else 0 end + case when attr then 0.55 else 0 end as r from ev2),
-  scored as (select clip_id, idx, no_change, amb, attr, hv, amb_spk, part, empty, case when empty then 0.0 else round(least(greatest(s::double, 0), 1), 3) end as support_score, case when empty then 1.0 else round(least(greatest(r::double, 0), 1), 3) end as risk_score from sc),
-  decided as (select *, case when empty then 'reject' when no_change then 'accept' when attr or risk_score >= 0.78 then 'reject' when support_score < 0.3 and risk_score >= 0.45 then 'reject' when amb then 'needs_review' when risk_score >= 0.4 or support_score < 0.58 then 'needs_review' else 'accept' end as decision from scored)"""
-
-
-def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Made-up correction proposals from neighbouring turns, scored."""
-    pairs = token_pairs(spark, sf_dir)
-    new = F.when(F.col("idx") % 3 == 0, F.col("ref")).when(F.col("idx") % 3 == 1, F.concat(F.col("ref"), F.slice("hyp", 1, 4))).otherwise(F.col("hyp"))
-    rows = gates.evidence(pairs.select("clip_id", "idx", F.col("ref").alias("raw"), new.alias("corrected")))
-    rows = rows.select(
-        "*", F.when(F.col("n_added") == 0, 1.0).otherwise(1.0 / F.col("n_added")).alias("support_ratio"), (F.col("idx") % 2).alias("n_supported"), (F.col("idx") % 5 == 0).cast("int").alias("n_weak"),
-        (F.col("clip_id") % 2 == 0).alias("overlap"), (F.col("clip_id") % 5 == 0).alias("heavy_overlap"), (F.col("clip_id") % 7 == 0).alias("speaker_ambiguity"), (F.col("idx") % 4 == 3).alias("partial"),
-        (F.col("clip_id") % 3 == 0).alias("ambiguity"), (F.col("clip_id") % 11 == 0).alias("contradiction"), (F.col("idx") % 6 == 5).alias("attribution_changed"),
-    )
-    return gates.gate_scores(rows)
-
-
-@query(f"with {PROPOSALS_SQL} select clip_id, idx, support_score, risk_score, decision from decided")
-def gate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proposals(spark, sf_dir).select("clip_id", "idx", "support_score", "risk_score", "decision")
-
-
-@query(f"with {PROPOSALS_SQL} select clip_id, idx, case when decision = 'accept' and not no_change and support_score >= 0.58 and risk_score < 0.4 and not (hv or amb_spk) and not (part and risk_score >= 0.35) then 'safe_to_apply' else 'do_not_apply' end as binary_decision from decided")
-def binary_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.binary_gate(proposals(spark, sf_dir)).select("clip_id", "idx", "binary_decision")
-
-
-@query("select doc_id, case when (n_chars % 97) / 100 + 0.05 < (doc_id % 89) / 100 then 'safe_to_apply' else 'do_not_apply' end as label from documents")
-def binary_margin_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", gates.margin_label((F.col("doc_id") % 89) / 100, (F.col("n_chars") % 97) / 100, 0.05).alias("label"))
-
-
 @query(f"with {TURNS_SQL} select clip_id, a.text is null as only_right, b.text is null as only_left, coalesce(a.idx, b.idx) as idx from (select * from turns where idx % 3 <> 0) a full join (select * from turns where idx % 2 = 0) b using (clip_id, idx)")
 def full_outer_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversation_turns(spark, sf_dir)
