@@ -36,23 +36,24 @@ def cer_normal(text: Column) -> Column:
     return F.regexp_replace(F.lower(nfkc(text)), "[\\p{P}\\s]", "")
 
 
-#: Names of languages, and those whose errors are counted by character. Fixed values.
-LANGUAGES = {"en": "english", "de": "german", "fr": "french", "es": "spanish", "zh": "mandarin", "cmn": "mandarin"}
-BY_CHARACTER = ("zh", "cmn", "mandarin", "chinese")
+#: Codes and names of Mandarin, whose errors are counted by character. Fixed values.
+MANDARIN = ("cmn", "cmn-cn", "mandarin", "zh", "zh-cn", "zh-hans", "zh_cn")
 
 
-def language_name(code: Column) -> Column:
-    """The language's name, by the part of its code before - or _; an unknown code stays."""
-    low = F.lower(F.trim(code))
-    base, name = F.regexp_extract(low, "^([a-z]+)", 1), low
-    for short, long in LANGUAGES.items():
-        name = F.when(base == short, F.lit(long)).otherwise(name)
-    return name
+def canonical_language(code: Column) -> Column:
+    """The code in lower case with hyphens; empty for null."""
+    return F.replace(F.lower(F.trim(F.coalesce(code, F.lit("")))), F.lit("_"), F.lit("-"))
+
+
+def is_mandarin(code: Column) -> Column:
+    name = canonical_language(code)
+    return name.isin(*MANDARIN) | F.startswith(name, F.lit("zh-"))
 
 
 def metric_of(language: Column) -> Column:
-    """cer for languages that don't put blanks between words, else wer."""
-    return F.when(F.regexp_extract(F.lower(F.trim(language)), "^([a-z]+)", 1).isin(*BY_CHARACTER), "cer").otherwise("wer")
+    """CER for Mandarin, which doesn't put blanks between words, else WER."""
+    return F.when(is_mandarin(language), "CER").otherwise("WER")
+
 
 def tokens(text: Column, pattern: str = "[a-z0-9]+") -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), 1)
@@ -130,5 +131,13 @@ def audio_stamp(seconds: Column) -> Column:
 
 
 def masked(key: Column) -> Column:
-    """A secret's first three and last four characters; short ones not at all."""
-    return F.when(F.length(key) > 8, F.concat(F.substring(key, 1, 3), F.lit("..."), F.substring(key, -4, 4))).otherwise("***")
+    """A secret's first three and last two characters; up to eight are all hidden, and none at all is said."""
+    bare = F.trim(F.coalesce(key, F.lit("")))
+    shown = F.concat(F.substring(bare, 1, 3), F.lit("..."), F.substring(bare, -2, 2))
+    return F.when(bare == "", "(not configured)").when(F.length(bare) <= 8, F.regexp_replace(bare, "(?s).", "*")).otherwise(shown)
+
+
+def safe_stem(name: Column) -> Column:
+    """A file name's stem of letters, digits, dots, hyphens and underscores, without dots and underscores at its ends."""
+    bare = F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9_.-]+", "_"), "^[._]+|[._]+$", "")
+    return F.when(bare == "", "transcript").otherwise(bare)

@@ -20,19 +20,31 @@ def first_segment(anchors: DataFrame, segments: DataFrame, bucket_ms: int = 60_0
 
 
 def least_turn_confidence(anchors: DataFrame, turns: DataFrame) -> DataFrame:
-    """Each anchor (clip_id, id, speakers) with the least confidence of its speakers' turns (clip_id, speaker, confidence)."""
-    by_speaker = turns.groupBy("clip_id", "speaker").agg(F.min("confidence").alias("least"))
-    own = anchors.select("clip_id", "id", F.explode_outer("speakers").alias("speaker")).join(by_speaker, ["clip_id", "speaker"], "left")
-    return own.groupBy("clip_id", "id").agg(F.min("least").alias("confidence"))
-
+    """Each anchor (clip_id, id, speakers) with the least confidence of its speakers' turns (clip_id, speaker, confidence), to thousandths.
 
-def anchor_probability(anchors: DataFrame, words: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
-    """Mean probability of the words (id, probability) in each anchor; else 1 + log_p within 0 and 1; else 0.75."""
-    met = intervals.bucketed_pairs(anchors, words, bucket_ms).join(words.select("clip_id", F.col("id").alias("id2"), "probability"), ["clip_id", "id2"])
-    mean = met.groupBy("clip_id", F.col("id1").alias("id")).agg(F.avg("probability").alias("mean"))
-    fallback = F.least(F.greatest(1 + F.col("log_p"), F.lit(0.0)), F.lit(1.0))
-    joined = anchors.join(mean, ["clip_id", "id"], "left")
-    return joined.select("clip_id", "id", F.round(F.coalesce("mean", fallback, F.lit(0.75)), 6).alias("probability"))
+    A turn without a confidence has 0.9; an anchor without turns of its speakers has 0.5.
+    """
+    by_speaker = turns.groupBy("clip_id", "speaker").agg(F.min(F.coalesce("confidence", F.lit(0.9))).alias("least"))
+    own = anchors.select("clip_id", "id", F.explode_outer("speakers").alias("speaker")).join(by_speaker, ["clip_id", "speaker"], "left")
+    return own.groupBy("clip_id", "id").agg(F.coalesce(F.round(F.min("least"), 3), F.lit(0.5)).alias("confidence"))
+
+
+def anchor_probability(anchors: DataFrame, segments: DataFrame, words: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
+    """What the transcript thinks of each anchor (clip_id, id, start_ms, end_ms), to thousandths.
+
+    An anchor's segment is the first (by id) that it meets. The mean probability of that segment's words (segment, start_ms,
+    end_ms, probability) in the anchor; without any, 1 + the segment's avg_logprob within 0 and 1; else 0.75.
+    """
+    source = first_segment(anchors, segments, bucket_ms).select("clip_id", "id", "segment")
+    known = words.where("probability is not null and start_ms is not null and end_ms is not null")
+    numbered = known.withColumn("id", F.xxhash64("clip_id", "segment", "start_ms", "end_ms", "probability"))
+    met = intervals.bucketed_pairs(anchors, numbered, bucket_ms).select("clip_id", F.col("id1").alias("id"), "id2").distinct()
+    own = met.join(source, ["clip_id", "id"]).join(numbered.select("clip_id", "segment", F.col("id").alias("id2"), "probability"), ["clip_id", "segment", "id2"])
+    mean = own.groupBy("clip_id", "id").agg(F.avg("probability").alias("mean"))
+    log_p = segments.select("clip_id", F.col("id").alias("segment"), "avg_logprob")
+    fallback = F.least(F.greatest(1 + F.col("avg_logprob"), F.lit(0.0)), F.lit(1.0))
+    joined = source.join(log_p, ["clip_id", "segment"], "left").join(mean, ["clip_id", "id"], "left")
+    return joined.select("clip_id", "id", F.coalesce(F.round("mean", 3), F.round(fallback, 3), F.lit(0.75)).alias("probability"))
 
 
 def events_with_anchors(events: DataFrame, anchors: DataFrame, bucket_ms: int = 60_000) -> DataFrame:

@@ -7,10 +7,21 @@ from pyspark.sql import functions as F
 
 from turnstone.functions import text as T
 
-#: Words that make a term's usual meaning likely, that its technical meaning needs, and forms that mean both. Fixed values.
+#: When a term is put in: words that make its usual meaning likely, and forms that mean both. Fixed values.
 NEGATIVE_CUES = {"DER": ("dear friend", "dear team", "letter", "greeting"), "RAG": ("equipment rack", "metal rack", "physical rack", "server rack", "shelf"), "TagSpeech": ("price tag", "speech tag", "html tag"), "WER": ("ask where", "location", "place", "where is", "where we")}
-POSITIVE_CUES = {"RAG": ("retrieval", "augmented", "generation", "benchmark", "asr", "wer", "system"), "WER": ("word error", "error rate", "benchmark", "asr", "metric"), "DER": ("diarization", "speaker", "error rate", "metric")}
 AMBIGUOUS_FORMS = ("dear", "rack", "rag", "tag speech", "where")
+#: When a term is verified: words against it, words for it, and the terms that need one of these. Fixed values.
+VERIFIER_NEGATIVE = {
+    "RAG": ("rack on the table", "table", "microphone", "mic", "shelf", "server rack", "metal rack", "equipment rack", "physical"),
+    "WER": ("where is", "where should", "where are", "location", "place", "microphone"),
+    "DER": ("dear team", "dear friend", "greeting", "letter"),
+}
+VERIFIER_POSITIVE = {"RAG": ("retrieval", "augmented", "generation", "benchmark", "asr", "wer", "system"), "WER": ("word error", "error rate", "benchmark", "asr", "metric"), "DER": ("diarization", "speaker", "error rate", "metric")}
+AMBIGUOUS_TERMS = ("RAG", "WER", "DER", "TagSpeech")
+#: Confidence by uncertainty, and marks of speech that breaks off. Fixed values.
+UNCERTAINTY_CONFIDENCE = {"low": 0.92, "medium": 0.62, "high": 0.35}
+REVIEW_MARKS = ("...", "[inaudible]", "[cut off]")
+LABELS = ("accept", "reject", "needs_review")
 
 
 def added_tokens(raw: Column, corrected: Column) -> Column:
@@ -50,14 +61,6 @@ def safety_flags(rows: DataFrame) -> DataFrame:
     return flagged.withColumn("safe", ~harm & ((F.col("expected") != "reject") | F.col("rejected")))
 
 
-def audit_risk(raw: Column, corrected: Column, overlap: Column) -> Column:
-    """high for a text half as long again and more than two tokens longer, or for over 35 % new tokens in overlapping speech; else medium or low."""
-    n_raw, n_new, added = F.size(raw), F.size(corrected), F.size(added_tokens(raw, corrected))
-    grows = (n_new > n_raw * 1.5) & (n_new > n_raw + 2)
-    edits = overlap & (added > n_raw * 0.35)
-    return F.when(grows | edits, "high").when(added > 0, "medium").otherwise("low")
-
-
 def rule_output_valid(raw: Column, corrected: Column, by_rule: Column, allowed: Column) -> Column:
     """Whether a correction (tokens) is what the rules give, adds no token that isn't allowed, and at most two."""
     return (corrected == by_rule) & (F.size(F.array_except(added_tokens(raw, corrected), allowed)) == 0) & (F.size(corrected) <= F.size(raw) + 2)
@@ -82,40 +85,52 @@ def context_support(canonical: Column, form: Column, method: Column, text: Colum
     return F.struct((~denied & (specific | helped)).alias("supported"), reason.alias("reason"))
 
 
-def verify_term(canonical: Column, safe: Column, text: Column) -> Column:
-    """reject in a common-word context, needs_review without support or, for ambiguous terms, without a cue; else accept."""
-    low = F.lower(text)
-    unclear = canonical.isin(*POSITIVE_CUES) & ~_cue(low, canonical, POSITIVE_CUES)
-    return F.when(_cue(low, canonical, NEGATIVE_CUES), "reject").when(~safe | unclear, "needs_review").otherwise("accept")
-
-
-def overlap_policy(overlap: Column, uncertainty: Column, candidates: Column) -> tuple[Column, Column, Column]:
-    """Reject before correcting, needs review, and confidence, from overlap, uncertainty (low, medium, high) and candidates."""
-    reject = overlap & (uncertainty == "high")
-    review = overlap | (uncertainty != "low") | (candidates > 1)
-    return reject, review, F.when(uncertainty == "low", 0.9).when(uncertainty == "medium", 0.7).otherwise(0.4)
-
+def verify_term(canonical: Column, safe: Column, raw_text: Column, context: Column, why: Column | None = None, oracle: Column | None = None) -> Column:
+    """Whether a retrieved term may be applied: struct of decision (accept, needs_review, reject) and reason.
 
-def error_types(raw: Column, missing: Column, ratio: Column, rate: Column) -> Column:
-    """What went wrong in a transcript: an array of names, from its text, missing tokens, length ratio and error rate."""
-    return F.array_compact(F.array(
-        F.when(F.length(F.trim(raw)) == 0, "empty_output"), F.when(F.exists(missing, lambda w: w.rlike("[0-9]")), "number_error"), F.when(F.exists(missing, lambda w: w.rlike("^[A-Z]{2,}$")), "acronym_error"),
-        F.when(F.exists(missing, lambda w: w.rlike("^[A-Z][a-z]+")), "named_entity_error"), F.when(ratio < 0.7, "deletion"), F.when(ratio > 1.3, "insertion"), F.when(rate >= 0.5, "severe"),
-    ))
+    safe is whether its match is; why tells what its context lacks; oracle marks terms given for a diagnosis.
+    """
+    said = F.lower(F.concat_ws(" ", F.coalesce(raw_text, F.lit("")), F.coalesce(context, F.lit(""))))
+    denied, unclear = _cue(said, canonical, VERIFIER_NEGATIVE), canonical.isin(*AMBIGUOUS_TERMS) & ~_cue(said, canonical, VERIFIER_POSITIVE)
+    decision = F.when(denied, "reject").when(~safe | unclear, "needs_review").otherwise("accept")
+    lacking = F.lit("Candidate lacks enough context.")
+    reason = (
+        F.when(denied, F.concat(F.lit("Negative context indicates common-word meaning for "), canonical, F.lit(".")))
+        .when(~safe, lacking if why is None else F.coalesce(F.nullif(why, F.lit("")), lacking)).when(unclear, F.concat(canonical, F.lit(" is ambiguous and lacks domain context.")))
+        .when(F.lit(False) if oracle is None else oracle, "Accepted as oracle/custom-vocabulary diagnostic candidate.").otherwise("Candidate is supported by glossary match and context checks.")
+    )
+    return F.struct(decision.alias("decision"), reason.alias("reason"))
+
+
+def uncertainty_confidence(level: Column) -> Column:
+    """0.92, 0.62 or 0.35 for low, medium or high uncertainty; 0.5 for any other."""
+    found = F.lit(0.5)
+    for name, value in UNCERTAINTY_CONFIDENCE.items():
+        found = F.when(F.lower(level) == name, value).otherwise(found)
+    return found
 
 
-def gold_label(human: Column, suggested: Column) -> tuple[Column, Column]:
-    """A person's label, else the suggested one, and which of them it is."""
-    own = F.nullif(F.trim(human), F.lit(""))
-    return F.coalesce(own, suggested), F.when(own.isNotNull(), "human").otherwise("suggested")
+def rejects_before_correction(overlap: Column, uncertainty: Column, text: Column, levels: tuple[str, ...] = ("high",), marks: tuple[str, ...] = (*REVIEW_MARKS, "--"), reject_incomplete: bool = True) -> Column:
+    """Whether a policy forbids a correction: by its levels of uncertainty, or for overlapping speech that breaks off."""
+    broken = F.lit(False)
+    for mark in marks if reject_incomplete else ():
+        broken = broken | F.contains(text, F.lit(mark))
+    return F.lower(uncertainty).isin(*map(str.lower, levels)) | (overlap & broken)
 
 
-def leakage_class(feature: Column) -> Column:
-    """What a feature may be known from: the label itself, the decision, or before it."""
-    return F.when(feature.rlike("label|gold|human"), "leaks_label").when(feature.rlike("decision|applied|after|delta"), "after_decision").otherwise("before_decision")
+def needs_review(overlap: Column, uncertainty: Column, speakers: Column, text: Column, rejected: Column, audited: Column, overlap_aware: bool = True) -> Column:
+    """Whether a person must look: after a rejection or by the audit, and, if overlaps are heeded, for them, any doubt, not one speaker, or marks."""
+    if not overlap_aware:
+        return audited | rejected
+    marked = F.lit(False)
+    for mark in REVIEW_MARKS:
+        marked = marked | F.contains(text, F.lit(mark))
+    return audited | rejected | overlap | (F.lower(uncertainty) != "low") | (F.size(speakers) != 1) | marked
 
 
-def agree_rule(overlap: Column, support: Column, risk: Column) -> tuple[Column, Column, Column]:
-    """Three plain baselines: apply always, apply without overlap, apply where support exceeds risk."""
-    name = lambda c: F.when(c, "safe_to_apply").otherwise("do_not_apply")
-    return F.lit("safe_to_apply"), name(~overlap), name(support > risk)
+def gold_label(human: Column, suggested: Column) -> tuple[Column, Column]:
+    """A person's label, else the suggested one, in lower case, and its source; the query fails at a label that isn't one of LABELS."""
+    low = lambda c: F.nullif(F.lower(F.trim(F.coalesce(c, F.lit("")))), F.lit(""))
+    label = F.coalesce(low(human), low(suggested), F.lit(""))
+    known = F.when(label.isin(*LABELS), label).otherwise(F.raise_error(F.concat(F.lit("no such label: "), label)))
+    return known, F.when(low(human).isNotNull(), "human_checked").otherwise("pilot_auto_labeled")

@@ -131,13 +131,15 @@ def balanced_weights(rows: DataFrame, label: str) -> DataFrame:
 
 
 def selective_metrics(rows: DataFrame, keys: list[str], true: str = "true", predicted: str = "predicted") -> DataFrame:
-    """Of accept, needs_review and reject: unsafe accepts, recall of reviews, coverage, and accuracy on what is decided."""
+    """Of accept, reject and needs_review: macro-F1, how many of what must not be accepted is, recalls, precision of accepts, coverage; 0 where a denominator is."""
     t, p = F.col(true), F.col(predicted)
-    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(F.count_if(a), F.count_if(b)), F.lit(0.0)), 6)
-    decided = p != "needs_review"
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.count_if(a), F.count_if(b)), F.lit(0.0))
+    f1 = lambda x: F.coalesce(F.try_divide(2 * F.count_if((t == x) & (p == x)), F.count_if(t == x) + F.count_if(p == x)), F.lit(0.0))
+    unsafe = t.isin("reject", "needs_review")
     return rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), ratio((p == "accept") & (t != "accept"), p == "accept").alias("unsafe_accept_rate"), ratio((p == "needs_review") & (t == "needs_review"), t == "needs_review").alias("review_recall"),
-        ratio(decided, F.lit(True)).alias("coverage"), ratio(decided & (p == t), decided).alias("decided_accuracy"),
+        F.count("*").alias("n"), F.round((f1("accept") + f1("reject") + f1("needs_review")) / 3, 6).alias("macro_f1"), F.round(ratio(unsafe & (p == "accept"), unsafe), 6).alias("unsafe_accept_rate"),
+        F.round(ratio((t == "needs_review") & (p == "needs_review"), t == "needs_review"), 6).alias("needs_review_recall"), F.round(ratio((t == "accept") & (p == "accept"), p == "accept"), 6).alias("accept_precision"),
+        F.round(ratio((t == "reject") & (p == "reject"), t == "reject"), 6).alias("reject_recall"), F.round(ratio(p != "needs_review", F.lit(True)), 6).alias("coverage"),
     )
 
 

@@ -98,7 +98,12 @@ def _rate_sql(a: str, b: str) -> str:
     return f"round(coalesce(count_if({a}) / nullif(count_if({b}), 0), 0), 6)"
 
 
-@query(f"""with {JUDGED_SQL} select lang, count(*) as n, {_rate_sql("predicted = 'accept' and " + '"true"' + " <> 'accept'", "predicted = 'accept'")} as unsafe_accept_rate, {_rate_sql('"true"' + " = 'needs_review' and predicted = 'needs_review'", '"true"' + " = 'needs_review'")} as review_recall, {_rate_sql("predicted <> 'needs_review'", "true")} as coverage, {_rate_sql("predicted <> 'needs_review' and predicted = " + '"true"', "predicted <> 'needs_review'")} as decided_accuracy from judged group by 1""")
+_TRUE = '"true"'
+_F1_SQL = " + ".join(f"coalesce(2 * count_if({_TRUE} = '{x}' and predicted = '{x}') / nullif(count_if({_TRUE} = '{x}') + count_if(predicted = '{x}'), 0), 0.0)" for x in ("accept", "reject", "needs_review"))
+
+
+@query(f"""with {JUDGED_SQL} select lang, count(*) as n, round(({_F1_SQL}) / 3, 6) as macro_f1, {_rate_sql(f"{_TRUE} in ('reject', 'needs_review') and predicted = 'accept'", f"{_TRUE} in ('reject', 'needs_review')")} as unsafe_accept_rate, {_rate_sql(f"{_TRUE} = 'needs_review' and predicted = 'needs_review'", f"{_TRUE} = 'needs_review'")} as needs_review_recall,
+  {_rate_sql(f"{_TRUE} = 'accept' and predicted = 'accept'", "predicted = 'accept'")} as accept_precision, {_rate_sql(f"{_TRUE} = 'reject' and predicted = 'reject'", f"{_TRUE} = 'reject'")} as reject_recall, {_rate_sql("predicted <> 'needs_review'", "true")} as coverage from judged group by 1""")
 def review_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.selective_metrics(judged(spark, sf_dir), ["lang"])
 
@@ -203,12 +208,13 @@ def best_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.first_by(met, ["clip_id"], [F.desc("score"), F.col("idx")])
 
 
-@query(f"with {TURNS_SQL} select clip_id, idx, lpad((start_ms // 60000)::varchar, 2, '0') || ':' || lpad(((start_ms % 60000) // 1000)::varchar, 2, '0') || '.' || lpad(((start_ms % 1000) // 10)::varchar, 2, '0') as stamp, regexp_replace(clip_id || ' ' || speaker, '[^A-Za-z0-9._-]+', '_', 'g') as stem, left(md5(text), 3) || '...' || right(md5(text), 4) as masked from turns where start_ms % 10 = 0")
+@query(f"with {TURNS_SQL} select clip_id, idx, lpad((start_ms // 60000)::varchar, 2, '0') || ':' || lpad(((start_ms % 60000) // 1000)::varchar, 2, '0') || '.' || lpad(((start_ms % 1000) // 10)::varchar, 2, '0') as stamp, coalesce(nullif(trim(regexp_replace(case when idx % 7 = 3 then '..' else '_' || clip_id || ' ' || speaker || '/.' end, '[^A-Za-z0-9_.-]+', '_', 'g'), '._'), ''), 'transcript') as stem, case when idx % 5 = 0 then '(not configured)' when idx % 5 = 1 then '******' else left(md5(text), 3) || '...' || right(md5(text), 2) end as masked from turns")
 def prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time stamps, safe file names and masked keys."""
-    turns = conversation_turns(spark, sf_dir).where("start_ms % 10 = 0")
-    stem = F.regexp_replace(F.concat_ws(" ", F.col("clip_id").cast("string"), "speaker"), "[^A-Za-z0-9._-]+", "_")
-    return turns.select("clip_id", "idx", T.audio_stamp(F.col("start_ms") / 1000).alias("stamp"), stem.alias("stem"), T.masked(F.md5("text")).alias("masked"))
+    i = F.col("idx")
+    name = F.when(i % 7 == 3, "..").otherwise(F.concat(F.lit("_"), F.concat_ws(" ", F.col("clip_id").cast("string"), "speaker"), F.lit("/.")))
+    key = F.when(i % 5 == 0, " ").when(i % 5 == 1, "secret").otherwise(F.md5("text"))
+    return conversation_turns(spark, sf_dir).select("clip_id", "idx", T.audio_stamp(F.col("start_ms") / 1000).alias("stamp"), T.safe_stem(name).alias("stem"), T.masked(key).alias("masked"))
 
 
 @query("select doc_id, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])the([^A-Za-z0-9]|$)') as has_the, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w not in ('the', 'of', 'and', 'de', 'la'))) as n_content from documents")

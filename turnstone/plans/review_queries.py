@@ -52,12 +52,6 @@ def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.wer_normal(F.col("text"))).alias("wer_md5"), F.md5(T.cer_normal(F.col("text"))).alias("cer_md5"))
 
 
-@query("select doc_id, case when lang in ('zh', 'cmn') then 'cer' else 'wer' end as metric, case when lang = 'en' then 'english' when lang = 'de' then 'german' when lang = 'fr' then 'french' when lang = 'es' then 'spanish' else lang end as language from documents")
-def language_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.metric_of(F.col("lang")).alias("metric"), T.language_name(F.col("lang")).alias("language"))
-
-
 _TOKENS = "regexp_extract_all(lower({x}), '[a-z0-9]+')"
 #: raw, corrected and flags of each turn but the first of its clip; corrections take words of the turn before.
 _CORRECTIONS_SQL = TURNS_SQL + f""", c0 as (select a.clip_id, a.idx, {_TOKENS.format(x='a.text')} as raw, {_TOKENS.format(x='b.text')} as other from turns a join turns b on a.clip_id = b.clip_id and a.idx = b.idx + 1),
@@ -75,13 +69,12 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ADDED = "list_filter(list_distinct(corrected), lambda w: not list_contains(raw, w))"
 
 
-@query(f"with {_CORRECTIONS_SQL}, u as (select *, list_sort(list_filter({_ADDED}, lambda w: not list_contains(supported, w))) as un from c) select clip_id, idx, array_to_string(un, ' ') as unsupported, len(un) > 0 or len(corrected) > len(raw) + 2 as invented, case when (len(corrected) > len(raw) * 1.5 and len(corrected) > len(raw) + 2) or (idx % 2 = 0 and len({_ADDED}) > len(raw) * 0.35) then 'high' when len({_ADDED}) > 0 then 'medium' else 'low' end as risk, raw = corrected and len(un) = 0 as valid from u")
-def correction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unsupported tokens, invented content, risk, and whether the output is what the (empty) rules give."""
+@query(f"with {_CORRECTIONS_SQL}, u as (select *, list_sort(list_filter({_ADDED}, lambda w: not list_contains(supported, w))) as un from c) select clip_id, idx, array_to_string(un, ' ') as unsupported, len(un) > 0 or len(corrected) > len(raw) + 2 as invented, raw = corrected and len(un) = 0 as valid from u")
+def correction_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unsupported tokens, invented content, and whether the output is what the (empty) rules give."""
     raw, new, known = F.col("raw"), F.col("corrected"), F.col("supported")
     return corrections(spark, sf_dir).select(
-        "clip_id", "idx", F.array_join(review.unsupported_tokens(raw, new, known), " ").alias("unsupported"), review.invented_content(raw, new, known).alias("invented"),
-        review.audit_risk(raw, new, F.col("idx") % 2 == 0).alias("risk"), review.rule_output_valid(raw, new, raw, known).alias("valid"),
+        "clip_id", "idx", F.array_join(review.unsupported_tokens(raw, new, known), " ").alias("unsupported"), review.invented_content(raw, new, known).alias("invented"), review.rule_output_valid(raw, new, raw, known).alias("valid"),
     )
 
 
@@ -101,68 +94,6 @@ def safety_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.safety_flags(rows).select("clip_id", "idx", F.size("unsupported").alias("n_unsupported"), "invented", "n_forbidden", "speaker_changed", "overcorrected", "too_careful", "safe")
 
 
-_CASES_SQL = "cases as (select doc_id, lower(left(text, 400)) as context, case doc_id % 4 when 0 then 'RAG' when 1 then 'WER' when 2 then 'DER' else 'Qwen' end as canonical, case doc_id % 4 when 0 then 'rack' when 1 then 'where' when 2 then 'the ear' else 'q when' end as form, case when doc_id % 3 = 0 then 'fuzzy' else 'exact_error_form' end as method, doc_id % 5 <> 0 as safe from (select doc_id, text || case doc_id % 6 when 0 then ' server rack' when 1 then ' asr benchmark' when 2 then ' letter' when 3 then ' speaker' else '' end as text from documents where length(text) < 380))"
-
-
-def term_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("doc_id")
-    tail = F.when(d % 6 == 0, " server rack").when(d % 6 == 1, " asr benchmark").when(d % 6 == 2, " letter").when(d % 6 == 3, " speaker").otherwise("")
-    docs = table(spark, sf_dir, "documents").where(F.length("text") < 380).select("doc_id", F.lower(F.concat("text", tail)).alias("context"))
-    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (d % 4 + 1).cast("int"))
-    return docs.select("doc_id", "context", pick("RAG", "WER", "DER", "Qwen").alias("canonical"), pick("rack", "where", "the ear", "q when").alias("form"), F.when(d % 3 == 0, "fuzzy").otherwise("exact_error_form").alias("method"), (d % 5 != 0).alias("safe"))
-
-
-def _cue_sql(cues: dict) -> str:
-    found = " ".join(f"when '{name}' then " + " or ".join(f"contains(context, '{w}')" for w in words) for name, words in cues.items())
-    return f"case canonical {found} else false end"
-
-
-@query(f"with {_CASES_SQL}, k as (select *, {_cue_sql(review.NEGATIVE_CUES)} as denied, {_cue_sql(review.POSITIVE_CUES)} as cued, form not in {review.AMBIGUOUS_FORMS} and method like 'exact%' as specific, contains(context, 'benchmark') or contains(context, 'speaker') as helped from cases) select doc_id, not denied and (specific or helped) as supported, case when denied then 'common_word' when specific then 'specific_form' when helped then 'domain_context' else 'no_context' end as reason, case when denied then 'reject' when not safe or (canonical in ('RAG', 'WER', 'DER') and not cued) then 'needs_review' else 'accept' end as verdict from k")
-def term_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context support and verdict of made-up term matches in short texts."""
-    c = F.col
-    support = review.context_support(c("canonical"), c("form"), c("method"), c("context"), F.array(F.lit("benchmark"), F.lit("speaker")))
-    rows = term_cases(spark, sf_dir).withColumn("s", support)
-    return rows.select("doc_id", "s.supported", "s.reason", review.verify_term(c("canonical"), c("safe"), c("context")).alias("verdict"))
-
-
-@query("select event_id, ov and un = 'high' as reject, ov or un <> 'low' or event_id % 4 > 1 as review, case un when 'low' then 0.9 when 'medium' then 0.7 else 0.4 end as confidence from (select event_id, event_id % 3 = 0 as ov, case event_id % 5 when 0 then 'high' when 1 then 'medium' else 'low' end as un from events)")
-def overlap_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("event_id")
-    reject, needs, confidence = review.overlap_policy(i % 3 == 0, F.when(i % 5 == 0, "high").when(i % 5 == 1, "medium").otherwise("low"), i % 4)
-    return table(spark, sf_dir, "events").select("event_id", reject.alias("reject"), needs.alias("review"), confidence.alias("confidence"))
-
-
-@query(r"""with m as (select doc_id, text, list_filter(found, lambda w, i: list_position(found, w) = i)[1:20] as missing, (doc_id % 20) / 10.0 as ratio, (doc_id % 10) / 10.0 as rate from (select *, regexp_extract_all(text, '[A-Z]{2,}|[0-9]+|[A-Z][a-z]+') as found from documents))
-  select doc_id, array_to_string(list_filter([case when length(trim(text)) = 0 then 'empty_output' end, case when len(list_filter(missing, lambda w: regexp_matches(w, '[0-9]'))) > 0 then 'number_error' end, case when len(list_filter(missing, lambda w: regexp_matches(w, '^[A-Z]{2,}$'))) > 0 then 'acronym_error' end, case when len(list_filter(missing, lambda w: regexp_matches(w, '^[A-Z][a-z]+'))) > 0 then 'named_entity_error' end, case when ratio < 0.7 then 'deletion' end, case when ratio > 1.3 then 'insertion' end, case when rate >= 0.5 then 'severe' end], lambda x: x is not null), ',') as types, array_to_string(missing, ' ') as missing from m""")
-def error_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Acronyms, names and numbers of each text as if a transcript missed them, and the types of error."""
-    missing = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z]{2,}|[0-9]+|[A-Z][a-z]+"), 0)), 1, 20)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", missing.alias("missing"))
-    types = review.error_types(F.col("text"), F.col("missing"), (F.col("doc_id") % 20) / 10, (F.col("doc_id") % 10) / 10)
-    return docs.select("doc_id", F.array_join(types, ",").alias("types"), F.array_join("missing", " ").alias("missing"))
-
-
-@query("select o_orderkey, coalesce(nullif(trim(h), ''), o_orderpriority) as label, case when nullif(trim(h), '') is null then 'suggested' else 'human' end as label_source from (select *, case o_orderkey % 3 when 0 then ' ' when 1 then o_orderstatus end as h from orders)")
-def gold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    human = F.when(F.col("o_orderkey") % 3 == 0, " ").when(F.col("o_orderkey") % 3 == 1, F.col("o_orderstatus"))
-    label, source = review.gold_label(human, F.col("o_orderpriority"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", label.alias("label"), source.alias("label_source"))
-
-
-@query("select source || case doc_id % 4 when 0 then '_label' when 1 then '_after' when 2 then '_delta' else '_length' end as feature, count(*) as n, case doc_id % 4 when 0 then 'leaks_label' when 3 then 'before_decision' else 'after_decision' end as class from documents group by all")
-def leakage_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("doc_id") % 4
-    feature = F.concat("source", F.when(d == 0, "_label").when(d == 1, "_after").when(d == 2, "_delta").otherwise("_length"))
-    return table(spark, sf_dir, "documents").select(feature.alias("feature")).groupBy("feature").agg(F.count("*").alias("n")).withColumn("class", review.leakage_class(F.col("feature")))
-
-
-@query("select event_id, 'safe_to_apply' as always, case when event_id % 3 <> 0 then 'safe_to_apply' else 'do_not_apply' end as no_overlap, case when value > 50 then 'safe_to_apply' else 'do_not_apply' end as by_support from events")
-def rule_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    always, plain, by_support = review.agree_rule(F.col("event_id") % 3 == 0, F.col("value"), F.lit(50.0))
-    return table(spark, sf_dir, "events").select("event_id", always.alias("always"), plain.alias("no_overlap"), by_support.alias("by_support"))
-
-
 # ---- views and joins of meetings
 
 
@@ -181,21 +112,6 @@ def first_segment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meetings.first_segment(turn_anchors(spark, sf_dir), moved(spark, sf_dir))
 
 
-@query(f"with {SHIFTED_SQL}, conf as (select clip_id, speaker, min((idx % 10) / 10.0) as least from hyp group by 1, 2) select t.clip_id, t.idx as id, round(least, 6) as confidence from turns t left join conf using (clip_id, speaker)")
-def least_turn_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = moved(spark, sf_dir).withColumn("confidence", (F.col("id") % 10) / 10)
-    return meetings.least_turn_confidence(turn_anchors(spark, sf_dir), turns)
-
-
-@query(f"with {WORDS_SQL}, w as (select clip_id, start_ms, end_ms, (pos % 10) / 10.0 as p from words where idx % 4 <> 1), a as (select clip_id, idx as id, start_ms + 100 as start_ms, least(end_ms, start_ms + 900) as end_ms, case when idx % 3 = 0 then null else (-(idx % 5) / 4.0) end as log_p from turns) select a.clip_id, a.id, round(coalesce(avg(p), least(greatest(1 + any_value(log_p), 0), 1), 0.75), 6) as probability from a left join w on a.clip_id = w.clip_id and least(a.end_ms, w.end_ms) > greatest(a.start_ms, w.start_ms) group by 1, 2")
-def anchor_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = conversation_turns(spark, sf_dir)
-    i = F.col("idx")
-    own = turns.select("clip_id", i.alias("id"), (F.col("start_ms") + 100).alias("start_ms"), F.least("end_ms", F.col("start_ms") + 900).alias("end_ms"), F.when(i % 3 != 0, -(i % 5) / 4).alias("log_p"))
-    words = conversation_words(turns).where("idx % 4 <> 1").select("clip_id", (i * 100000 + F.col("pos")).alias("id"), "start_ms", "end_ms", ((F.col("pos") % 10) / 10).alias("probability"))
-    return meetings.anchor_probability(own, words)
-
-
 @query(f"with {TURNS_SQL}, e as (select clip_id, idx as id, start_ms + 300 as start_ms, start_ms + 700 as end_ms, case when idx % 3 = 0 then [0, 1, 900] when idx % 3 = 1 then [901] else [] end as ids from turns), named as (select distinct e.clip_id, e.id, t.idx as anchor from (select clip_id, id, unnest(ids) as x from e) e join turns t on t.clip_id = e.clip_id and t.idx = e.x), met as (select e.clip_id, e.id, t.idx as anchor from e anti join named using (clip_id, id) join turns t on t.clip_id = e.clip_id and least(e.end_ms, t.end_ms) > greatest(e.start_ms, t.start_ms)) select e.clip_id, e.id, coalesce(array_to_string(list_sort(list(anchor) filter (anchor is not null)), ','), '') as anchors from e left join (from named union all from met) using (clip_id, id) group by 1, 2")
 def event_anchor_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("idx")
