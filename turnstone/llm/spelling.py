@@ -36,6 +36,8 @@ LEAST_COUNT = 3
 RATIO = 2
 #: Rows of a shard before it is cut again.
 SHARD_ROWS = 2000
+#: Rows of shards that a task searches.
+TASK_ROWS = 50_000
 #: Different words that a task counts before it hands them on.
 COUNTED_AT_ONCE = 400_000
 DROP_EVERY = 97
@@ -187,10 +189,12 @@ def near_words(words: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
             break
         rows = stage(rows.join(sizes.where("large").select(*_SHARD), [*_SHARD], "left_semi").drop("key"), "spelling-large")
         staged.append(rows)
-    together = parts[0]
+    together, n_rows = parts[0], sum(sizes.where("not large").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] for sizes in staged if "large" in sizes.columns)
     for part in parts[1:]:
         together = together.unionByName(part)
-    dealt = together.select(*_SHARD, "word", "n").repartition(*_SHARD).sortWithinPartitions(*_SHARD)
+    # A row takes long to search for its bytes, so its number of rows decides how many tasks there are.
+    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // TASK_ROWS))
+    dealt = together.select(*_SHARD, "word", "n").repartition(tasks, *_SHARD).sortWithinPartitions(*_SHARD)
     pairs = stage(dealt.mapInArrow(_search, "word string, n long, other string, other_n long"), "spelling-pairs")
     drop(*staged)
     return pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
