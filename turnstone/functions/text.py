@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 #: Disfluencies that cleaned error rates leave out. Fixed values.
 FILLERS = ("um", "uh", "mm-hmm", "mm", "hmm", "mhm", "mmhmm")
@@ -68,16 +68,33 @@ def collapse_repeats(words: Column) -> Column:
     return F.filter(words, lambda w, i: (i == 0) | (w != F.get(words, i - 1)))
 
 
+def edit_distance(a: list, b: list) -> int:
+    """Levenshtein distance of two sequences, a column of the table at a time as the bits of whole numbers (after Myers and Hyyrö)."""
+    if not a:
+        return len(b)
+    whole, last, places = (1 << len(a)) - 1, 1 << (len(a) - 1), {}
+    for i, token in enumerate(a):
+        places[token] = places.get(token, 0) | 1 << i
+    up, down, score = whole, 0, len(a)  # where a column's values rise and fall
+    for token in b:
+        equal = places.get(token, 0)
+        level = (((equal & up) + up) ^ up) | equal
+        rises, falls = down | (whole & ~(level | up)), up & level
+        score += bool(rises & last) - bool(falls & last)
+        rises, falls, either = (rises << 1 | 1) & whole, (falls << 1) & whole, equal | down
+        up, down = falls | (whole & ~(either | rises)), rises & either
+    return score
+
+
+@F.pandas_udf(IntegerType())
+def _token_distance(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in parts:
+        yield pd.Series([edit_distance([] if x is None else x.tolist(), [] if y is None else y.tolist()) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
 def token_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of token arrays: tokens that both have become letters, all others of a side one letter.
-
-    Only equality between the sides counts, so tokens of one side alone need no letters of their own. Letters are beyond
-    the basic plane, which has room for a million.
-    """
-    shared = F.array_intersect(a, b)
-    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x10002) + n), 8, "0")), "UTF-32")
-    spelled = lambda words, alone: F.array_join(F.transform(words, lambda w: F.when(F.array_contains(shared, w), letter(F.array_position(shared, w))).otherwise(F.lit(alone))), "")
-    return F.levenshtein(spelled(a, "a"), spelled(b, "b"))
+    """Levenshtein distance of token arrays; null is empty."""
+    return _token_distance(a, b)
 
 
 def error_rate(distance: Column, length: Column) -> Column:

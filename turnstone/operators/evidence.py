@@ -7,10 +7,11 @@ Texts are composed (NFKC) before. The gate has two versions: v3 also wants a kno
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as T
+from turnstone.operators.assignment import texts_with_phrases
 
 #: Terms for amounts by share, words that make such an amount likely, categories of names, and short words that are no names. Fixed values.
 AMOUNT_TERMS = ("cents a share", "cents per share")
@@ -37,7 +38,8 @@ def _numbers(text: Column) -> Column:
 
 
 def _bounded(phrase: Column) -> Column:
-    return F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), phrase, F.lit(r"\E(?![A-Za-z0-9])"))
+    quoted = F.replace(phrase, F.lit("\\E"), F.lit(r"\E\\E\Q"))  # a phrase may hold the mark that ends a quotation
+    return F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), quoted, F.lit(r"\E(?![A-Za-z0-9])"))
 
 
 def holds(text: Column, phrase: Column) -> Column:
@@ -128,18 +130,27 @@ def apply_corrections(texts: DataFrame, proposals: DataFrame, glossary: DataFram
 
 
 def candidates(texts: DataFrame, glossary: DataFrame) -> DataFrame:
-    """id, source, replacement, canonical: what the glossary offers for each text: amounts by share, error forms and aliases."""
-    normal = _normal(F.col("text"))
-    amounts = texts.where(_any_in(normal, F.array(*map(F.lit, AMOUNT_CUES)))).select("id", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(AMOUNT), 0).alias("source"), F.regexp_extract_all("text", F.lit(AMOUNT), 1).alias("number"))).alias("m"))
-    amounts = amounts.select("id", "m.source", F.concat("m.number", F.lit(" cents a share")).alias("replacement"), F.lit("cents a share").alias("canonical"))
-    amounts = amounts.join(F.broadcast(glossary.where(_normal(F.col("canonical")) == "cents a share").select(F.lit(1)).limit(1)))
-    none = F.array().cast("array<string>")
+    """id, place, source, replacement, canonical: what the glossary offers for each text (id, text), in the order of application.
+
+    Amounts by share come first, as they stand; then each entry's error forms and aliases, entries in the order of the
+    glossary's column entry_place, or by canonical without one. Of offers that differ in case alone the first stays.
+    """
+    normal, none = _normal(F.col("text")), F.array().cast("array<string>")
+    found = F.arrays_zip(F.regexp_extract_all("text", F.lit(AMOUNT), 0).alias("source"), F.regexp_extract_all("text", F.lit(AMOUNT), 1).alias("number"))
+    amounts = texts.where(_any_in(normal, F.array(*map(F.lit, AMOUNT_CUES)))).select("id", F.posexplode(found).alias("at", "m"))
+    term = glossary.where(_normal(F.col("canonical")) == "cents a share").agg(F.max("canonical").alias("canonical")).where("canonical is not null")
+    amounts = amounts.join(F.broadcast(term)).select("id", F.lit(0).alias("kind"), F.lit("").alias("entry"), "at", "m.source", F.concat("m.number", F.lit(" cents a share")).alias("replacement"), "canonical")
     fine = F.transform(F.concat(F.array("canonical"), F.coalesce("aliases", none), F.coalesce("spoken_forms", none)), _normal)
     errors = F.transform(F.coalesce("asr_error_forms", none), _normal)
-    forms = glossary.where(~_normal(F.col("canonical")).isin(*AMOUNT_TERMS)).select("canonical", fine.alias("fine"), errors.alias("errors"), F.explode(F.concat(F.coalesce("asr_error_forms", none), F.coalesce("aliases", none))).alias("form"))
-    usable = forms.where((F.col("form") != "") & ~(F.array_contains("fine", _normal(F.col("form"))) & ~F.array_contains("errors", _normal(F.col("form")))))
-    # A glossary's forms meet each text where it is, in the order of the array.
-    offered = usable.agg(F.collect_list(F.struct(F.col("form").alias("source"), F.col("canonical").alias("replacement"), F.col("canonical").alias("canonical"))).alias("offers"))
-    held = texts.join(F.broadcast(offered)).select("id", F.explode(F.filter("offers", lambda o: holds(F.col("text"), o["source"]))).alias("o")).select("id", "o.*")
-    both = amounts.select("id", "source", "replacement", "canonical").unionByName(held)
-    return both.where(_normal(F.col("source")) != _normal(F.col("replacement"))).dropDuplicates(["id", "source", "replacement", "canonical"])
+    entry = F.format_string("%012d", F.col("entry_place").cast("long")) if "entry_place" in glossary.columns else F.col("canonical")
+    forms = glossary.where(~_normal(F.col("canonical")).isin(*AMOUNT_TERMS)).select(entry.alias("entry"), "canonical", fine.alias("fine"), errors.alias("errors"), F.posexplode(F.concat(F.coalesce("asr_error_forms", none), F.coalesce("aliases", none))).alias("at", "form"))
+    usable = forms.where((F.col("form") != "") & ~(F.array_contains("fine", _normal(F.col("form"))) & ~F.array_contains("errors", _normal(F.col("form"))))).withColumn("phrase", F.lower("form"))
+    # Texts that hold a form anywhere are found by an index of letters; only these are searched for it as a word.
+    likely = texts_with_phrases(texts.select("id", F.lower("text").alias("text")), usable.select("phrase"))
+    held = likely.join(usable, "phrase").join(texts.select("id", "text"), "id").where(holds(F.col("text"), F.col("form")))
+    held = held.select("id", F.lit(1).alias("kind"), "entry", "at", F.col("form").alias("source"), F.col("canonical").alias("replacement"), "canonical")
+    both = amounts.unionByName(held).where(_normal(F.col("source")) != _normal(F.col("replacement")))
+    order = ["kind", "entry", "at"]
+    same = Window.partitionBy("id", F.lower("source"), F.lower("replacement"), "canonical").orderBy(*order)
+    first = both.withColumn("again", F.row_number().over(same)).where("again = 1")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*order))).select("id", "place", "source", "replacement", "canonical")

@@ -237,7 +237,6 @@ def gated_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a glossary offers for each turn, gated and applied in order; rule by rule in tests/test_evidence.py."""
     glossary = spark.createDataFrame(_GLOSSARY, evidence.GLOSSARY)
     texts = conversation_turns(spark, sf_dir).select(F.concat_ws("-", F.col("clip_id").cast("string"), F.col("idx").cast("string")).alias("id"), "text")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("source", "canonical"))
-    offered = evidence.candidates(texts, glossary).withColumn("place", place)
+    offered = evidence.candidates(texts, glossary)
     done = evidence.apply_corrections(texts, offered, glossary)
     return done.select("id", F.md5("corrected").alias("corrected_md5"), F.array_join(F.transform("records", lambda r: F.concat_ws(":", r["source"], r["decision"], r["reason"])), ",").alias("records"))
