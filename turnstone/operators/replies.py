@@ -111,6 +111,7 @@ def evaluate_replies(rows: DataFrame, replies: DataFrame, glossary: DataFrame, v
     """
     none = F.array().cast("array<string>")
     texts = rows.select("id", F.coalesce("reference_text", F.lit("")).alias("reference_text"), F.coalesce("hypothesis_text", F.lit("")).alias("hypothesis_text"), T.is_mandarin(F.col("language")).alias("mandarin"))
+    texts = written(texts, "replies-rows")
     said = texts.select("id", F.col("hypothesis_text").alias("text"))
     asked = written(evidence.candidates(said, glossary).select("id").distinct(), "replies-asked")
     done, decisions = decided(said, replies.join(asked, "id", "left_semi"), glossary, version)
