@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.operators import learning, rollups
+from turnstone.operators import gate_features, learning, rollups
+from turnstone.plans.audit_queries import decisions
+from turnstone.scratch import written
 from turnstone.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +53,30 @@ def gate_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learning.fit_gate(gate_rows(spark, sf_dir).where("is_train"), features, "label", "forest", trees=40)
     rows = [(i + 1, name, round(value, 6)) for i, (name, value) in enumerate(learning.importances(model, features))]
     return spark.createDataFrame(rows, "rank int, feature string, importance double")
+
+
+def labelled_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on proposals with all features, their label and a split by conversation: train, calibrate, test."""
+    rows = gate_features.labels(gate_features.features(decisions(spark, sf_dir)))
+    part = F.pmod(F.xxhash64("clip_id"), F.lit(100))
+    split = F.when(part < 60, "train").when(part < 75, "calibrate").otherwise("test")
+    return written(rows.select("clip_id", "idx", "label", split.alias("split"), *gate_features.AUDIT_AWARE), "decisions")
+
+
+def nine_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labelled_decisions(spark, sf_dir)
+    sets = {name: list(features) for name, features in gate_features.FEATURE_SETS.items()}
+    of = lambda split: rows.where(F.col("split") == split)
+    return learning.heldout_scores(of("train"), of("test"), sets, "label", learning.KINDS, trees=40, calibrate=of("calibrate"), rounds=8)
+
+
+@query
+def gate_nine_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out metrics of three kinds of models on three sets of features, three classes each."""
+    return rollups.selective_metrics(nine_predictions(spark, sf_dir), ["feature_set", "model"], "label", "predicted")
+
+
+@query
+def gate_best_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best model of each set of features."""
+    return learning.best_model(gate_nine_models(spark, sf_dir))
