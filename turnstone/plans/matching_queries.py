@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.operators import intervals, matching
-from turnstone.plans.interval_queries import shifted
+from turnstone.plans.interval_queries import OVERLAPS_SQL, shifted
+from turnstone.scratch import folder
 from turnstone.sources.tables import TURNS_SQL, conversation_turns, table
-from turnstone.streaming import sessions
+from turnstone.streaming import overlaps, sessions
+
+#: When the clips of a stream begin, in milliseconds.
+_ORIGIN = 1_600_000_000_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -98,13 +101,28 @@ def speech_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.speech_sessions(events)
 
 
-@query()
+@query(f"with {_SPEECH_SQL} select speaker, min(ts) as \"start\", max(ts) + interval 10 minutes as \"end\", count(*) as n from numbered group by speaker, session")
 def streaming_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sessions that a stream of the events has closed; tests hold them against the whole table's."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/streaming-sessions-{uuid.uuid4().hex}"
-    closed = sessions.run_once(sessions.speech_sessions(sessions.read_event_turns(spark, sf_dir)), f"{path}/out", f"{path}/state")
-    return closed.withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("start", "end")})
+    """All sessions of a stream of the events: a mark at its end closes those that are still open."""
+    base = folder(spark, "streaming-sessions")
+    spark.createDataFrame([], "speaker string, ts timestamp").write.parquet(f"{base}/marks")
+    stream = sessions.speech_sessions(sessions.read_event_turns(spark, sf_dir).unionByName(sessions.read_marks(spark, f"{base}/marks")))
+    closed, _ = overlaps.run_to_end(stream, f"{base}/out", f"{base}/state", lambda: sessions.write_end(spark, f"{base}/marks"))
+    return closed.where(F.col("speaker") != sessions.END).withColumns({name: F.col(name).cast("timestamp_ntz") for name in ("start", "end")})
+
+
+@query(f"with {OVERLAPS_SQL} select clip_id, start_ms, end_ms, array_to_string(speakers, '+') as speakers from regions")
+def streaming_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All overlaps of a stream of turns, which come in four files in the order of their starts; state by clip."""
+    base = folder(spark, "streaming-overlaps")
+    since = lambda name: (F.col(name) + _ORIGIN).alias(name)
+    turns = conversation_turns(spark, sf_dir).select(F.col("clip_id").cast("string").alias("clip_id"), "speaker", F.timestamp_millis(F.col("start_ms") + _ORIGIN).alias("ts"), since("start_ms"), since("end_ms"))
+    last = (turns.agg(F.max("start_ms")).first()[0] or _ORIGIN) - _ORIGIN
+    for k in range(4):
+        turns.where(f"(start_ms - {_ORIGIN}) * 4 div {last + 1} = {k}").coalesce(1).write.mode("append").parquet(f"{base}/turns")
+    stream = overlaps.overlap_regions(overlaps.read_turns(spark, f"{base}/turns"))
+    found, _ = overlaps.run_to_end(stream, f"{base}/out", f"{base}/state", lambda: overlaps.write_end(spark, f"{base}/turns"))
+    return found.select(F.col("clip_id").cast("long").alias("clip_id"), *((F.col(name) - _ORIGIN).alias(name) for name in ("start_ms", "end_ms")), intervals.joined_speakers().alias("speakers"))
 
 
 @query("select date_trunc('hour', ts) as \"start\", count(*) as n, count(distinct user_id % 8) as n_speakers from events group by 1")

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The speaker and the time of the mark that ends a stream.
+END, END_TIME = "__end__", "2200-01-01"
+
 
 def speech_sessions(turns: DataFrame, gap: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """speaker, start, end, n: a speaker's rows at most gap apart are one session. Rows later than the watermark go."""
@@ -28,6 +31,16 @@ def read_event_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.select((F.col("user_id") % 8).cast("string").alias("speaker"), F.col("ts").cast("timestamp").alias("ts"))
 
 
+def read_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """Marks (speaker, ts) that end a stream, as a stream of the files in a folder."""
+    return spark.readStream.schema("speaker string, ts timestamp").parquet(folder)
+
+
+def write_end(spark: SparkSession, folder: str) -> None:
+    """A mark far in the future: once it has been read, the watermark has passed all that came before."""
+    spark.range(1).select(F.lit(END).alias("speaker"), F.lit(END_TIME).cast("timestamp").alias("ts")).write.mode("append").parquet(folder)
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """All that a stream has so far, written by an available-now query to path; sessions still open at its end stay in the state."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
