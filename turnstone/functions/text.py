@@ -31,6 +31,11 @@ def wer_normal(text: Column, compose: bool = True) -> Column:
     return F.trim(F.regexp_replace(inner, "\\s+", " "))
 
 
+def wer_words(text: Column, compose: bool = True) -> Column:
+    """The words of a normal text."""
+    return F.filter(F.split(wer_normal(text, compose), " "), lambda w: w != "")
+
+
 def cer_normal(text: Column) -> Column:
     """Composed for compatibility, lower case, without punctuation and white space."""
     return F.regexp_replace(F.lower(nfkc(text)), "[\\p{P}\\s]", "")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from turnstone.functions.text import holds_phrase, phonetic_key
+from turnstone.scratch import written
 
 #: Spoken forms and what they stand for, in the order in which they are applied. Fixed values.
 CORRECTIONS = (
@@ -117,28 +118,25 @@ def rule_correction(text: Column, terms: Column) -> Column:
     return text
 
 
-def tfidf(chunks: DataFrame) -> DataFrame:
-    """id, token, weight of chunks (id, tokens): share of tokens times ln((1 + N) / (1 + df)) + 1."""
+def _shares(chunks: DataFrame) -> DataFrame:
+    """id, token, share of a chunk's tokens (id, tokens)."""
     words = chunks.select("id", F.size("tokens").alias("total"), F.explode("tokens").alias("token")).groupBy("id", "total", "token").agg(F.count("*").alias("n"))
-    df = words.groupBy("token").agg(F.count("*").alias("df"))
-    size = chunks.agg(F.count("*").alias("size"))
-    idf = F.log((1 + F.col("size")) / (1 + F.col("df"))) + 1
-    return words.join(df, "token").join(F.broadcast(size)).select("id", "token", (F.col("n") / F.col("total") * idf).alias("weight"))
+    return words.select("id", "token", (F.col("n") / F.col("total")).alias("share"))
 
 
 def tfidf_top(queries: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
-    """query_id, rank, id, score: the k chunks of largest cosine with each query (id, tokens); idf is the chunks'.
+    """query_id, rank, id, score: the k chunks of largest cosine with each query (id, tokens); idf is ln((1 + N) / (1 + df)) + 1 over the chunks.
 
-    Only tokens of queries are weighed against chunks, so the join is on the queries' vocabulary.
+    The chunks' shares are worked out once and written. Norms need them all; products only those of the queries' tokens.
     """
-    weights = tfidf(chunks)
-    norms = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    size = chunks.agg(F.count("*").alias("size"))
-    df = weights.groupBy("token").agg(F.count("*").alias("df"))
-    asked = queries.select("id", F.size("tokens").alias("total"), F.explode("tokens").alias("token")).groupBy("id", "total", "token").agg(F.count("*").alias("n"))
-    asked = asked.join(df, "token", "left").join(F.broadcast(size)).select(F.col("id").alias("query_id"), "token", (F.col("n") / F.col("total") * (F.log((1 + F.col("size")) / (1 + F.coalesce("df", F.lit(0)))) + 1)).alias("q"))
+    shares = written(_shares(chunks), "tfidf-shares")
+    size = chunks.count()
+    idf = written(shares.groupBy("token").agg((F.log(F.lit(1 + size) / (1 + F.count("*"))) + 1).alias("idf")), "tfidf-idf")
+    norms = shares.join(idf, "token").groupBy("id").agg(F.sqrt(F.sum((F.col("share") * F.col("idf")) ** 2)).alias("norm"))
+    asked = _shares(queries).join(idf, "token", "left").select(F.col("id").alias("query_id"), "token", "idf", (F.col("share") * F.coalesce("idf", F.log(F.lit(1.0 + size)) + 1)).alias("q"))
+    asked = written(asked, "tfidf-queries")
     lengths = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") ** 2)).alias("q_norm"))
-    dots = asked.join(weights, "token").groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("weight")).alias("dot"))
+    dots = asked.where("idf is not null").join(shares, "token").groupBy("query_id", "id").agg(F.sum(F.col("q") * F.col("share") * F.col("idf")).alias("dot"))
     scored = dots.join(norms, "id").join(lengths, "query_id").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 6)).where("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -13,7 +13,7 @@ from turnstone.operators.edit_errors import DISFLUENCIES
 from turnstone.plans.edit_queries import edits_sql
 from turnstone.plans.gate_queries import PROPOSALS_SQL, proposals
 from turnstone.plans.interval_queries import SHIFTED_SQL, shifted
-from turnstone.plans.review_queries import _wer_sql
+from turnstone.plans.normal_sql import wer_sql
 from turnstone.sources.tables import TURNS_SQL, WORDS_SQL, conversation_turns, conversation_words, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,13 +93,13 @@ _between = lambda x, inner: rf"list_transform(regexp_extract_all({_double(x)}, '
 _NAME_SQL = "(?:[A-ZÀ-ÖØ-Þ](?:[a-zÀ-ÖØ-öø-ÿ''’-]*[a-zÀ-ÖØ-öø-ÿ])|[A-Z]{2,})"
 _once = lambda x: f"list_filter({x}, lambda w, k: list_position({x}, w) = k)"
 _bounded_sql = lambda normal, phrase: f"(trim({phrase}) <> '' and regexp_matches({normal}, '(^|[^a-z0-9])' || regexp_escape({phrase}) || '($|[^a-z0-9])'))"
-_holds = lambda text, normal, p: f"case when mandarin or regexp_matches({p}, '[一-鿿]') then contains({text}, {p}) else {_bounded_sql(normal, _wer_sql(p))} end"
+_holds = lambda text, normal, p: f"case when mandarin or regexp_matches({p}, '[一-鿿]') then contains({text}, {p}) else {_bounded_sql(normal, wer_sql(p))} end"
 _AUDIT_SQL = f"""{AUDITED_SQL}, r as (select * replace (coalesce(reference_text, '') as reference_text, coalesce(hypothesis_text, '') as hypothesis_text), replace(lower(language), '_', '-') in {tuple(T.MANDARIN)} or lower(language) like 'zh-%' as mandarin from results),
-  n as (select *, {_wer_sql('reference_text')} as ref, {_wer_sql('hypothesis_text')} as hyp from r), t as (select *, list_filter(string_split(ref, ' '), lambda w: w <> '') as rt, list_filter(string_split(hyp, ' '), lambda w: w <> '') as ht from n),
+  n as (select *, {wer_sql('reference_text')} as ref, {wer_sql('hypothesis_text')} as hyp from r), t as (select *, list_filter(string_split(ref, ' '), lambda w: w <> '') as rt, list_filter(string_split(hyp, ' '), lambda w: w <> '') as ht from n),
   f as (select *, list_filter({_sql_list(audits.DOMAIN_TERMS)}, lambda p: {_holds('reference_text', 'ref', 'p')}) as known, {_between('reference_text', '[A-Z]{2,}(?:[./-]+[A-Z0-9]+)*')} as acronyms, {_between('reference_text', _NAME_SQL + '(?:[ \\s]+' + _NAME_SQL + ')*')} as names,
     list_concat({_between('ref', '[0-9]+(?:[.,]+[0-9]+)?')}, list_filter(rt, lambda w: w in {tuple(audits.NUMBER_WORDS)})) as n1, list_concat({_between('hyp', '[0-9]+(?:[.,]+[0-9]+)?')}, list_filter(ht, lambda w: w in {tuple(audits.NUMBER_WORDS)})) as n2 from t),
   g as (select *, list_filter(known, lambda p: not {_holds('hypothesis_text', 'hyp', 'p')}) as lost_terms, list_filter(acronyms, lambda p: not {_holds('hypothesis_text', 'hyp', 'p')}) as lost_acronyms,
-    list_filter(names, lambda p: {_wer_sql('p')} not in {DISFLUENCIES} and not (not contains(p, ' ') and (lower(p) in {tuple(audits.SENTENCE_STARTS)} or length(p) <= 2)) and not {_holds('hypothesis_text', 'hyp', 'p')}) as lost_names,
+    list_filter(names, lambda p: {wer_sql('p')} not in {DISFLUENCIES} and not (not contains(p, ' ') and (lower(p) in {tuple(audits.SENTENCE_STARTS)} or length(p) <= 2)) and not {_holds('hypothesis_text', 'hyp', 'p')}) as lost_names,
     case when mandarin then list_filter(regexp_extract_all(reference_text, '[一-鿿]'), lambda w: not contains(hypothesis_text, w)) else list_filter(rt, lambda w: not list_contains(ht, w) and w not in {tuple(audits.STOP_WORDS)} and length(w) > 2) end as gone,
     case when mandarin then len(regexp_extract_all(hypothesis_text, '[一-鿿]')) / greatest(len(regexp_extract_all(reference_text, '[一-鿿]')), 1) else len(ht) / greatest(len(rt), 1) end as ratio from f),
   h as (select *, list_filter([case when len(lost_terms) > 0 then 'professional_term_or_glossary' end, case when len(lost_acronyms) > 0 then 'acronym_or_short_code' end, case when len(lost_names) > 0 then 'proper_noun_or_named_entity' end, case when {_once('n1')} <> {_once('n2')} then 'number_or_quantity' end,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnstone.functions import text as T
 from turnstone.operators import alignment, edit_errors
-from turnstone.plans.review_queries import _wer_sql
+from turnstone.plans.normal_sql import wer_sql
 from turnstone.sources.tables import TURNS_SQL, conversation_turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,7 +56,7 @@ PLANTED = (
     ("one percent", "won percent"), ("", "uh"), ("strong quarter", "long water"), ("may five", "may"), ("revenue growth", "avenue growth"), ("of", ""),
 )
 _list = lambda at: "[" + ", ".join("[" + ", ".join(f"'{w}'" for w in pair[at].split()) + "]::varchar[]" for pair in PLANTED) + "]"
-_WORDS_SQL = f"list_filter(string_split({_wer_sql('coalesce(text, ' + chr(39) * 2 + ')')}, ' '), lambda w: w <> '')"
+_WORDS_SQL = f"list_filter(string_split({wer_sql('coalesce(text, ' + chr(39) * 2 + ')')}, ' '), lambda w: w <> '')"
 TRANSCRIPTS_SQL = f"""{TURNS_SQL}, cut as (select clip_id, idx, speaker, {_WORDS_SQL} as ws, ((clip_id * 31 + idx) % {len(PLANTED)})::int + 1 as p from turns),
   transcripts as (select clip_id, idx, 'd' || clip_id % 3 as dataset_name, speaker as language, 'm' || idx % 2 as model_name, (idx % 10) / 20.0 as error_rate, case when idx % 3 <> 0 then (idx % 10) / 25.0 end as cleaned_error_rate,
     list_concat(list_concat(ws[1:3], {_list(0)}[p]), ws[4:]) as reference, list_concat(list_concat(ws[1:3], {_list(1)}[p]), list_filter(list_transform(ws[4:], lambda w, i: case when i % 11 = 7 then w || 's' else w end), lambda w, i: i % 9 <> 4)) as hypothesis from cut)"""

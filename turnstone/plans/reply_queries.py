@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstone.operators import evidence, replies
-from turnstone.plans.review_queries import _wer_sql
+from turnstone.plans.normal_sql import wer_sql
 from turnstone.sources.tables import TURNS_SQL, conversation_turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +40,7 @@ CASES = (
 )
 _values = ", ".join(f"({k}, '{ref}', '{new}', {str(asked).lower()}, {wrong}, {n[0]}, {n[1]}, {n[2]}, {n[3]}, {before}, {after})" for k, (ref, _, new, _, asked, wrong, n, before, after) in enumerate(CASES))
 _SQL = f"""with {TURNS_SQL}, cases(k, ref, new, asked, wrong, n_accept, n_reject, n_needs_review, n_no_op, before, after) as (values {_values}),
-  said as (select clip_id, idx, cases.*, ref || coalesce(text, '') as reference, new || coalesce(text, '') as corrected from turns join cases on k = (clip_id + idx) % {len(CASES)}), counted as (select *, len(list_filter(string_split({_wer_sql('reference')}, ' '), lambda w: w <> '')) as n from said)
+  said as (select clip_id, idx, cases.*, ref || coalesce(text, '') as reference, new || coalesce(text, '') as corrected from turns join cases on k = (clip_id + idx) % {len(CASES)}), counted as (select *, len(list_filter(string_split({wer_sql('reference')}, ' '), lambda w: w <> '')) as n from said)
   select clip_id, idx, asked, md5(corrected) as corrected_md5, round(wrong / n, 6) as wer_before, round(case when ref = new then 0 else wrong end / n, 6) as wer_after, before::double as term_recall_before, after::double as term_recall_after, n_accept::bigint as n_accept, n_reject::bigint as n_reject, n_needs_review::bigint as n_needs_review, n_no_op::bigint as n_no_op from counted"""
 
 

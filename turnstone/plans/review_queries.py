@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from turnstone.functions import text as T
 from turnstone.operators import evidence, intervals, meetings, review
+from turnstone.plans.normal_sql import wer_sql
 from turnstone.plans.interval_queries import OVERLAPS_SQL, SHIFTED_SQL, shifted
 from turnstone.sources.tables import TURNS_SQL, WORDS_SQL, conversation_turns, conversation_words, table
 
@@ -29,24 +30,7 @@ def query(sql: str | None = None):
     return register
 
 
-#: wer_normal without look-arounds: inner marks are kept by a sign before them, in two passes as they may share a letter.
-_PUNCT = r"[\p{P}]"
-
-
-def _wer_sql(text: str) -> str:
-    low = f"replace(replace(lower(nfc_normalize({text})), '’', ''''), '`', '''')"
-    kept = f"regexp_replace({low}, '([\\p{{L}}\\p{{N}}])([''\\-._])([\\p{{L}}\\p{{N}}])', '\\1\x01\\2\\3', 'g')"
-    kept = f"regexp_replace({kept}, '([\\p{{L}}\\p{{N}}])([''\\-._])([\\p{{L}}\\p{{N}}])', '\\1\x01\\2\\3', 'g')"
-    bare = kept
-    for mark, name in (("''", "a"), ("-", "b"), (".", "c"), ("_", "d")):
-        bare = f"replace({bare}, '\x01{mark}', '\x01{name}')"
-    bare = f"regexp_replace({bare}, '[\\p{{P}}]', ' ', 'g')"
-    for mark, name in (("''", "a"), ("-", "b"), (".", "c"), ("_", "d")):
-        bare = f"replace({bare}, '\x01{name}', '{mark}')"
-    return f"trim(regexp_replace({bare}, '\\s+', ' ', 'g'))"
-
-
-@query(f"select doc_id, md5({_wer_sql('text')}) as wer_md5, md5(regexp_replace(lower(nfc_normalize(text)), '[\\p{{P}}\\s]', '', 'g')) as cer_md5 from documents")
+@query(f"select doc_id, md5({wer_sql('text')}) as wer_md5, md5(regexp_replace(lower(nfc_normalize(text)), '[\\p{{P}}\\s]', '', 'g')) as cer_md5 from documents")
 def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as word and character error rates see them; the test texts need no compatibility composition."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.wer_normal(F.col("text"))).alias("wer_md5"), F.md5(T.cer_normal(F.col("text"))).alias("cer_md5"))
