@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
 from turnstone.functions.text import holds_phrase, phonetic_key
 from turnstone.scratch import written
@@ -93,20 +93,6 @@ def phonetic_matches(texts: DataFrame, forms: DataFrame, least: float = 0.94) ->
     return _best_windows(_near_windows(texts, forms.where(F.length(phonetic_key(F.col("form"))) >= 3), least, phonetic_key))
 
 
-OPCODES = ArrayType(StructType([StructField("op", StringType()), *(StructField(name, IntegerType()) for name in ("i1", "i2", "j1", "j2"))]))
-
-
-@F.pandas_udf(OPCODES)
-def _opcodes(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([[dict(zip(("op", "i1", "i2", "j1", "j2"), code, strict=True)) for code in SequenceMatcher(a=list(x), b=list(y)).get_opcodes()] for x, y in zip(a, b, strict=True)])
-
-
-def edit_opcodes(pairs: DataFrame, a: str = "raw", b: str = "corrected") -> DataFrame:
-    """pairs with opcodes, the edits from token array a to b."""
-    return pairs.withColumn("opcodes", _opcodes(F.col(a), F.col(b)))
-
-
 def rule_correction(text: Column, terms: Column) -> Column:
     """The corrections whose replacement is, holds or lies in one of the terms, applied in order."""
     low = F.transform(terms, F.lower)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as T
-from turnstone.operators import terms
+from turnstone.operators import alignment, terms
+from turnstone.plans.edit_queries import edits_sql
 from turnstone.plans.normal_sql import wer_sql
 from turnstone.sources.tables import TURNS_SQL, conversation_turns, table
 
@@ -87,10 +88,17 @@ def phonetic_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", F.regexp_replace("word", "[aeiouy]", "").alias("bare"))
 
 
-@query()
+def _key_sql(word: str) -> str:
+    """Without vowels and with each letter once in a row; DuckDB's patterns have no back references, so letter by letter."""
+    bare = f"regexp_replace({word}, '[aeiouy]', '', 'g')"
+    for letter in "bcdfghjklmnpqrstvwxz0123456789":
+        bare = f"regexp_replace({bare}, '{letter}{letter}+', '{letter}', 'g')"
+    return bare
+
+
+@query(f"select distinct w as word, {_key_sql('w')} as key from (select unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) as w from part)")
 def phonetic_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SQL has no back references, so repeated letters are checked in tests."""
-    words = table(spark, sf_dir, "part").select(F.explode(T.tokens(F.col("p_name"))).alias("word")).distinct()  # tests/test_terms.py
+    words = table(spark, sf_dir, "part").select(F.explode(T.tokens(F.col("p_name"))).alias("word")).distinct()
     return words.select("word", T.phonetic_key(F.col("word")).alias("key"))
 
 
@@ -114,11 +122,11 @@ def phonetic_term_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.phonetic_matches(texts, forms(spark))
 
 
-@query()
+@query(f"with recursive {PAIRS_SQL.replace('pairs as (', 'turn_pairs as (', 1)}, pairs as (select clip_id * 100000 + idx as id, ref as a, hyp as b from turn_pairs), {edits_sql(leave_out_common=True)} select id // 100000 as clip_id, id % 100000 as idx, op, a0 as a_start, a1 as a_end, b0 as b_start, b1 as b_end from edits")
 def edit_opcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """difflib's edits between neighbouring turns, one a row, by kind."""
-    pairs = terms.edit_opcodes(token_pairs(spark, sf_dir), "ref", "hyp").select("clip_id", "idx", F.explode("opcodes").alias("code"))
-    return pairs.where("code.op <> 'equal'").select("clip_id", "idx", "code.*")
+    """The edits between neighbouring turns, one a row; very common words of long turns begin no block."""
+    pairs = token_pairs(spark, sf_dir).select("clip_id", "idx", alignment.edits(F.col("ref"), F.col("hyp"), leave_out_common=True).alias("edited"))
+    return pairs.select("clip_id", "idx", F.inline("edited"))
 
 
 @query(r"""with chunks as (select doc_id as id, regexp_extract_all(lower(text), '[a-z0-9]+') as ts from documents), size as (select count(*) as n from chunks),
