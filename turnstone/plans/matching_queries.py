@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstone.operators import intervals, matching
+from turnstone.operators import diarization, intervals, matching
 from turnstone.plans.interval_queries import OVERLAPS_SQL, shifted
 from turnstone.scratch import folder
 from turnstone.sources.tables import TURNS_SQL, conversation_turns, table
@@ -139,3 +139,24 @@ def cumulative_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = Window.partitionBy("clip_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     return conversation_turns(spark, sf_dir).select("clip_id", "idx", F.sum(F.col("end_ms") - F.col("start_ms")).over(w).alias("spoken_ms"))
+
+
+def _scored_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Turns, their events but for every third, and a shifted prediction."""
+    turns = conversation_turns(spark, sf_dir)
+    numbered = lambda rows: rows.select("clip_id", F.col("idx").alias("id"), "speaker", "start_ms", "end_ms")
+    return numbered(turns), diarization.events_of(numbered(turns)).where("id % 3 <> 0"), numbered(shifted(turns))
+
+
+@query()
+def baseline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every clip without diarization and with the reference's own turns; by hand in tests/test_diarization.py."""
+    reference, events, _ = _scored_turns(spark, sf_dir)
+    return diarization.baselines(reference, events)
+
+
+@query()
+def clip_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scores of every clip's predicted turns, with standard errors outside the collar, with and without overlaps."""
+    reference, events, predicted = _scored_turns(spark, sf_dir)
+    return diarization.score_turns(reference, events, predicted, standard=True)
