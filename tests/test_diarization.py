@@ -53,7 +53,7 @@ def test_errors_against_plain_sums(spark, seed):
 def test_without(spark):
     turns = spark.createDataFrame([(1, 0, "a", 0, 100_000), (1, 1, "b", 50, 60), (2, 0, "a", 5, 9)], TURNS)
     cuts = spark.createDataFrame([(1, 10, 20), (1, 15, 70_000), (3, 0, 9)], "clip_id long, start_ms long, end_ms long")
-    assert sorted(tuple(r) for r in diarization.without(turns, cuts).collect()) == [(1, "a", 0, 10), (1, "a", 70_000, 100_000), (2, "a", 5, 9)]
+    assert sorted(tuple(r) for r in intervals.without(turns, cuts).collect()) == [(1, "a", 0, 10), (1, "a", 70_000, 100_000), (2, "a", 5, 9)]
 
 
 def test_baselines(spark):

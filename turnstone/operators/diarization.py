@@ -12,36 +12,15 @@ from turnstone.operators.anchors import OVERLAP, UNKNOWN
 COLLAR_MS = 250
 
 
-def without(turns: DataFrame, cuts: DataFrame) -> DataFrame:
-    """What is left of turns (clip_id, speaker, start_ms, end_ms) outside cuts (clip_id, start_ms, end_ms)."""
-    joined = intervals.interval_union(cuts, "clip_id")
-    w = Window.partitionBy("clip_id").orderBy("start_ms")
-    far = F.lit(1 << 60)
-    before = joined.select("clip_id", F.coalesce(F.lag("end_ms").over(w), -far).alias("gs"), F.col("start_ms").alias("ge"))
-    after = joined.groupBy("clip_id").agg(F.max("end_ms").alias("gs")).select("clip_id", "gs", far.alias("ge"))
-    clips = turns.select("clip_id").distinct().join(joined.select("clip_id").distinct(), "clip_id", "left_anti").select("clip_id", (-far).alias("gs"), far.alias("ge"))
-    # A gap is cut to its clip's turns first, as intervals meet by time buckets.
-    span = turns.groupBy(F.col("clip_id").alias("s_clip")).agg(F.min("start_ms").alias("lo"), F.max("end_ms").alias("hi"))
-    gaps = before.unionByName(after).unionByName(clips).join(span, F.col("clip_id") == F.col("s_clip")).select(F.col("clip_id").alias("g_clip"), F.greatest("gs", "lo").alias("gs"), F.least("ge", "hi").alias("ge")).where("ge > gs")
-    met = intervals.meeting(intervals.positive(turns), gaps, ("start_ms", "end_ms"), ("gs", "ge"), "g_clip")
-    return met.select("clip_id", "speaker", F.greatest("start_ms", "gs").alias("start_ms"), F.least("end_ms", "ge").alias("end_ms"))
-
-
-def boundary_cuts(reference: DataFrame, collar_ms: int = COLLAR_MS) -> DataFrame:
-    """Stretches around the boundaries of a reference."""
-    near = reference.select("clip_id", F.explode(F.array("start_ms", "end_ms")).alias("at")).distinct()
-    return near.select("clip_id", (F.col("at") - collar_ms).alias("start_ms"), (F.col("at") + collar_ms).alias("end_ms"))
-
-
 def standard_errors(reference: DataFrame, predicted: DataFrame, collar_ms: int = COLLAR_MS, skip_overlap: bool = False) -> DataFrame:
     """clip_id, der and jer outside the collar and, if overlaps are skipped, where at most one reference speaker talks.
 
     Labels are mapped on what is left; a clip whose reference is cut away has null.
     """
-    cuts = boundary_cuts(reference, collar_ms)
+    cuts = intervals.boundary_cuts(reference, collar_ms)
     if skip_overlap:
         cuts = cuts.unionByName(intervals.overlap_regions(reference).select("clip_id", "start_ms", "end_ms"))
-    ref, pred = without(reference, cuts), without(predicted, cuts)
+    ref, pred = intervals.without(reference, cuts), intervals.without(predicted, cuts)
     mapping = matching.map_speakers(intervals.speaker_overlap_matrix(ref, pred))
     errors = matching.mapped_error(ref, pred, mapping).where("ref_ms > 0").select("clip_id", F.col("error").alias("der"))
     return reference.select("clip_id").distinct().join(errors, "clip_id", "left").join(matching.jaccard_error(ref, pred, mapping), "clip_id", "left")

@@ -118,6 +118,27 @@ def interval_union(rows: DataFrame, *keys: str) -> DataFrame:
     return islands.groupBy(*keys, "island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("island")
 
 
+def without(turns: DataFrame, cuts: DataFrame) -> DataFrame:
+    """What is left of turns (clip_id, speaker, start_ms, end_ms) outside cuts (clip_id, start_ms, end_ms)."""
+    joined = interval_union(cuts, "clip_id")
+    w = Window.partitionBy("clip_id").orderBy("start_ms")
+    far = F.lit(1 << 60)
+    before = joined.select("clip_id", F.coalesce(F.lag("end_ms").over(w), -far).alias("gs"), F.col("start_ms").alias("ge"))
+    after = joined.groupBy("clip_id").agg(F.max("end_ms").alias("gs")).select("clip_id", "gs", far.alias("ge"))
+    clips = turns.select("clip_id").distinct().join(joined.select("clip_id").distinct(), "clip_id", "left_anti").select("clip_id", (-far).alias("gs"), far.alias("ge"))
+    # A gap is cut to its clip's turns first, as intervals meet by time buckets.
+    span = turns.groupBy(F.col("clip_id").alias("s_clip")).agg(F.min("start_ms").alias("lo"), F.max("end_ms").alias("hi"))
+    gaps = before.unionByName(after).unionByName(clips).join(span, F.col("clip_id") == F.col("s_clip")).select(F.col("clip_id").alias("g_clip"), F.greatest("gs", "lo").alias("gs"), F.least("ge", "hi").alias("ge")).where("ge > gs")
+    met = meeting(positive(turns), gaps, ("start_ms", "end_ms"), ("gs", "ge"), "g_clip")
+    return met.select("clip_id", "speaker", F.greatest("start_ms", "gs").alias("start_ms"), F.least("end_ms", "ge").alias("end_ms"))
+
+
+def boundary_cuts(reference: DataFrame, collar_ms: int) -> DataFrame:
+    """Stretches around the boundaries of a reference."""
+    near = reference.select("clip_id", F.explode(F.array("start_ms", "end_ms")).alias("at")).distinct()
+    return near.select("clip_id", (F.col("at") - collar_ms).alias("start_ms"), (F.col("at") + collar_ms).alias("end_ms"))
+
+
 def coverage(reference: DataFrame, predicted: DataFrame) -> DataFrame:
     """clip_id, total_ms, covered_ms, coverage of the reference's union by the predicted union; 1 without reference time."""
     r = interval_union(reference, "clip_id").select("clip_id", F.col("start_ms").alias("rs"), F.col("end_ms").alias("re"))

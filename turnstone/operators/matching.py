@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnstone.operators.intervals import elementary_intervals, holding, interval_union, meeting
+from turnstone.operators.intervals import boundary_cuts, elementary_intervals, holding, interval_union, meeting, without
 
 
 def iou(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -165,18 +165,7 @@ def mapped_error(reference: DataFrame, predicted: DataFrame, mapping: DataFrame)
 
 def with_collar(turns: DataFrame, reference: DataFrame, collar_ms: int) -> DataFrame:
     """turns without the stretches within collar_ms of the reference's boundaries: clip_id, speaker, start_ms, end_ms."""
-    near = reference.select("clip_id", F.explode(F.array("start_ms", "end_ms")).alias("at")).distinct()
-    cuts = near.select(F.col("clip_id").alias("cut_clip"), (F.col("at") - collar_ms).alias("cut_start"), (F.col("at") + collar_ms).alias("cut_end"))
-    own = turns.withColumn("turn", F.monotonically_increasing_id()).select("clip_id", "speaker", "turn", "start_ms", "end_ms")
-    met = meeting(own, cuts, ("start_ms", "end_ms"), ("cut_start", "cut_end"), "cut_clip", "left")
-    # What is left of a turn lies between its cuts, in order, each reaching as far as any before it.
-    cut = F.array_sort(F.collect_list(F.when(F.col("cut_start").isNotNull(), F.struct("cut_start", "cut_end"))))
-    held = met.groupBy("clip_id", "speaker", "turn", "start_ms", "end_ms").agg(cut.alias("cuts"))
-    start = F.struct(F.col("start_ms").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("kept"))
-    step = lambda t, c: F.struct(F.greatest(t["at"], c["cut_end"]).alias("at"), F.when(c["cut_start"] > t["at"], F.concat(t["kept"], F.array(F.struct(t["at"].alias("s"), c["cut_start"].alias("e"))))).otherwise(t["kept"]).alias("kept"))
-    walked = held.withColumn("walk", F.aggregate("cuts", start, step))
-    kept = F.when(F.col("walk.at") < F.col("end_ms"), F.concat("walk.kept", F.array(F.struct(F.col("walk.at").alias("s"), F.col("end_ms").alias("e"))))).otherwise(F.col("walk.kept"))
-    return walked.select("clip_id", "speaker", F.explode(kept).alias("k")).select("clip_id", "speaker", F.col("k.s").alias("start_ms"), F.col("k.e").alias("end_ms"))
+    return without(turns, boundary_cuts(reference, collar_ms))
 
 
 def jaccard_error(reference: DataFrame, predicted: DataFrame, mapping: DataFrame) -> DataFrame:
