@@ -146,3 +146,11 @@ def test_secrets_stems_and_languages(spark):
     frame = spark.createDataFrame([("sk-secret-value-1234", "_a b/c._", "zh_CN"), ("short", "..", " EN-us "), (" ", "x", None)], "key string, name string, lang string")
     got = frame.select(T.masked(F.col("key")), T.safe_stem(F.col("name")), T.canonical_language(F.col("lang")), T.metric_of(F.col("lang"))).collect()
     assert [tuple(r) for r in got] == [("sk-...34", "a_b_c", "zh-cn", "CER"), ("*****", "transcript", "en-us", "WER"), ("(not configured)", "x", "", "WER")]
+
+
+def test_length_ratios_are_rounded_by_their_exact_value(spark):
+    """5/8 is a half, told to even; 23/40 lies just under one. Java's format makes 0.63 and 0.58 of them."""
+    rows = [(i, " ".join(["word"] * n), " ".join(["word"] * k), "en", "x", 0.5, None) for i, (k, n) in enumerate([(5, 8), (23, 40), (1, 8), (3, 8), (7, 10)])]
+    df = spark.createDataFrame(rows, "i int, reference_text string, hypothesis_text string, language string, dataset_name string, error_rate double, cleaned_error_rate double")
+    got = [r.notes.rpartition("=")[2] for r in audits.audit_transcripts(df).orderBy("i").collect()]
+    assert got == ["0.62", "0.57", "0.12", "0.38", "0.70"]

@@ -80,7 +80,7 @@ def audit_transcripts(rows: DataFrame, terms=DOMAIN_TERMS) -> DataFrame:
         F.when(~c("same_numbers"), "number_or_quantity"), F.when(c("mandarin") & high, "mandarin_low_frequency_or_script"), F.when(meeting, "meeting_disfluency_or_truncation"), F.when(short & high, "truncation_or_omission"),
     ))
     notes = F.array_compact(F.array(
-        F.when(short & high, F.concat(F.lit("hypothesis/reference length ratio="), F.format_string("%.2f", "ratio"))),
+        F.when(short & high, F.concat(F.lit("hypothesis/reference length ratio="), T.two_places(c("ratio")))),
         F.when((c("cleaned_error_rate") >= 0) & (c("cleaned_error_rate") < c("error_rate")), "cleaned meeting metric is lower after disfluency removal"),
     ))
     candidates = F.array_distinct(F.concat("lost_terms", "lost_acronyms", "lost_names"))
