@@ -50,3 +50,16 @@ def test_lengths_and_large_components(spark):
     assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 5 == 0, block=16).collect()} == want
     huge = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 2.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in topk.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63))]
+
+
+def test_a_pair_of_blocks_is_scored_as_a_whole(monkeypatch):
+    """Each query of a block met the candidates by itself: hundreds of small products a pair of blocks."""
+    rng, calls = np.random.default_rng(2), []
+    monkeypatch.setattr(topk, "_scores", lambda a, b, own=topk._scores: calls.append(len(a)) or own(a, b))
+    rows, ids = rng.integers(-256, 256, (200, 6)), np.arange(200)
+    rows = rows[np.argsort(-(rows**2).sum(axis=1))]
+    batch = topk.to_batch({"query_ids": [ids[:50].tobytes()], "query_rows": [rows[:50].tobytes()], "floors": [np.full(50, -np.inf).tobytes()], "ids": [ids.tobytes()], "rows": [rows.tobytes()]}, dict.fromkeys(("query_ids", "query_rows", "floors", "ids", "rows"), topk.pa.binary()))
+    found = [out.to_pylist() for out in topk._search(6, 5, np.eye(6), 2)([batch])][0]
+    scores = rows[:50] @ rows.T
+    np.fill_diagonal(scores, -(10**9))
+    assert calls == [50] and {(r["query_id"], r["vec_id"]) for r in found} == {(i, int(v)) for i in range(50) for v in np.lexsort((ids, -scores[i]))[:5]}

@@ -125,19 +125,25 @@ def _search(d: int, k: int, rotate: np.ndarray, leading: int):
                 turned_q, turned = queries @ rotate, rows @ rotate
                 rest_q, rest = np.linalg.norm(turned_q[:, leading:], axis=1), np.linalg.norm(turned[:, leading:], axis=1)
                 norms = np.linalg.norm(turned, axis=1)
+                lengths = np.linalg.norm(turned_q, axis=1)
+                slack = 1 + 1e-9 * lengths * norms.max(initial=0.0)
+                # Partial sums and what the rest can add, of all pairs of the blocks at once: a product of narrow matrices.
+                short_q, short = np.column_stack([turned_q[:, :leading], rest_q]), np.column_stack([turned[:, :leading], rest])
+                alive = short_q @ short.T >= (floor - slack)[:, None]
+                alive &= query_ids[:, None] != ids
                 out_q, out_v, out_s = [], [], []
-                for i in range(len(query_ids)):
-                    length = np.linalg.norm(turned_q[i])
-                    slack = 1 + 1e-9 * length * norms[0]
-                    near = int(np.searchsorted(-norms, -(floor[i] - slack) / max(length, 1e-12), "right")) if floor[i] > 0 else len(ids)
-                    bound = turned[:near, :leading] @ turned_q[i, :leading] + rest[:near] * rest_q[i]
-                    live = np.flatnonzero((bound >= floor[i] - slack) & (ids[:near] != query_ids[i]))
-                    if not len(live):
+                some = np.flatnonzero(alive.any(axis=0))  # rows that any query still needs
+                products = _scores(queries, rows[some]) if len(some) else None
+                for i in np.flatnonzero(alive.any(axis=1)).tolist():
+                    live = np.flatnonzero(alive[i, some])
+                    scores, live_ids = products[i, live], ids[some[live]]
+                    reach = scores >= floor[i]
+                    scores, live_ids = scores[reach], live_ids[reach]
+                    if not len(scores):
                         continue
-                    scores = _scores(queries[i : i + 1], rows[live])[0]
-                    best = _best(scores, ids[live], k)
+                    best = _best(scores, live_ids, k)
                     out_q.append(np.full(len(best), query_ids[i]))
-                    out_v.append(ids[live][best])
+                    out_v.append(live_ids[best])
                     out_s.append(scores[best])
                 if out_q:
                     yield to_batch({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)}, _FOUND)
@@ -170,14 +176,19 @@ def _top_k(vectors: DataFrame, is_query, d: int, k: int, key: str, column: str,
     by_length = whole.withColumn("length", squares).repartitionByRange(F.desc("length"), F.col("id")).sortWithinPartitions(F.desc("length"), "id")
     blocks = stage(by_length.select("id", "v", none).mapInArrow(_blocks(d, block), _BLOCK_SCHEMA), "topk-blocks")
     asked = whole_vectors(vectors.where(is_query), key, column, scale).groupBy("id").agg(F.min("v").alias("v"))
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # No more groups than blocks of candidates: a block of queries is sent to each.
+    groups = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count()))
 
-    def meet(questions: DataFrame, candidates: DataFrame, name: str) -> DataFrame:
-        """Results of all blocks of questions against those blocks of candidates that can reach their floors."""
+    def meet(questions: DataFrame, candidates: DataFrame, name: str, one: bool = False) -> DataFrame:
+        """Results of all blocks of questions against those blocks of candidates that can reach their floors; one block of candidates is sent to the questions."""
         sent = questions.mapInArrow(_blocks(d, query_block), _BLOCK_SCHEMA).selectExpr("longest as query_longest", "least", "ids as query_ids", "rows as query_rows", "floors")
-        sent = sent.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        reaches = F.col("query_longest") * F.col("longest") * (1 + 1e-9) + 1 >= F.col("least")
         dealt = candidates.select("longest", "ids", "rows", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("group"))
-        met = sent.join(dealt, (sent["group"] == dealt["group"]) & (F.col("query_longest") * F.col("longest") * (1 + 1e-9) + 1 >= F.col("least")))
+        if one:
+            met = sent.join(F.broadcast(dealt), reaches)
+        else:
+            sent = sent.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+            met = sent.join(dealt, (sent["group"] == dealt["group"]) & reaches)
         rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # each row holds two whole blocks
         try:
@@ -187,7 +198,7 @@ def _top_k(vectors: DataFrame, is_query, d: int, k: int, key: str, column: str,
 
     longest = blocks.agg(F.max(F.struct("longest", F.xxhash64("ids").alias("mark"))).alias("m")).first().m
     is_longest = F.xxhash64("ids") == F.lit(longest.mark if longest else 0)
-    head = meet(asked.select("id", "v", none), blocks.where(is_longest), "topk-head")
+    head = meet(asked.select("id", "v", none), blocks.where(is_longest), "topk-head", one=True)
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     floors = head.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("found"))
     known = asked.join(floors, "id", "left").select("id", "v", F.coalesce("found", F.lit(float("-inf"))).alias("floor"))
