@@ -89,3 +89,16 @@ def test_the_sql_of_edits(leave_out):
     con.executemany("insert into pairs values (?, ?, ?)", pairs)
     got = con.sql(f"with recursive {edits_sql(leave_out)} select id, op, a0, a1, b0, b1 from edits order by id, place").fetchall()
     assert got == [(i, *edit) for i, a, b in pairs for edit in plain(a, b, autojunk=leave_out)]
+
+
+def test_errors_are_aligned_once_in_slices(spark, monkeypatch):
+    """The filter before an explode had each pair aligned four times, and a summary two times more; a batch was Python objects as a whole."""
+    from turnstone.plans import edit_queries
+
+    for name in ("edit_categories", "edit_category_summary", "edit_model_summary"):
+        plan = getattr(edit_queries, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert sum("ArrowEvalPython [run(" in line for line in plan.splitlines()) == 1, name
+    rows = [(i, ["a", "b", None, "c"][: i % 5] or None, list("abc" * (i % 3))) for i in range(alignment.SOME_ROWS * 2 + 3)]
+    frame = spark.createDataFrame(rows, "id int, a array<string>, b array<string>").coalesce(1)
+    got = {r.id: [tuple(e) for e in r.edited] for r in frame.select("id", alignment.edits(F.col("a"), F.col("b")).alias("edited")).collect()}
+    assert got == {i: list(alignment.edits_between(a or [], b)) for i, a, b in rows}

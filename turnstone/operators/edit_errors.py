@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstone.operators.alignment import explode_edits
-from turnstone.operators.rollups import first_by, top_k
+from turnstone.operators.rollups import top_k
 
 #: Words of each kind, and pairs of spellings that mean the same. Fixed values.
 FUNCTION_WORDS = ("a an and are as at be been but by for from has have he her him i in is it its me my now of on or our she so that the their there these they this to we with you your").split()
@@ -87,10 +87,10 @@ def category_summary(rows: DataFrame, errors: DataFrame, keys: list[str], order:
 
     rows has error_rate and cleaned_error_rate, a row each; errors is classify() of them.
     """
-    counts = errors.groupBy(*keys, "category").agg(F.count("*").alias("n"))
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("all_n"))
-    first = first_by(errors, [*keys, "category"], [F.col(c) for c in order]).select(*keys, "category", F.array_join("removed", " ").alias("example_reference"), F.array_join("added", " ").alias("example_hypothesis"))
-    out = counts.join(totals, keys).join(_means(rows, keys), keys).join(first, [*keys, "category"])
+    # All in one reading of the errors: an alignment is worked out anew by each.
+    joined = F.struct(F.array_join("removed", " ").alias("example_reference"), F.array_join("added", " ").alias("example_hypothesis"))
+    counts = errors.groupBy(*keys, "category").agg(F.count("*").alias("n"), F.min_by(joined, F.struct(*order)).alias("first")).select(*keys, "category", "n", "first.*")
+    out = counts.withColumn("all_n", F.sum("n").over(Window.partitionBy(*keys))).join(_means(rows, keys), keys)
     return out.select(
         *keys, "category", "n", F.round(F.col("n") / F.col("all_n"), 6).alias("share"), F.round("wer", 6).alias("mean_wer"), F.round("cleaned", 6).alias("mean_cleaned_wer"),
         "example_reference", "example_hypothesis", about(F.col("category"), "recommendation").alias("recommendation"),
