@@ -130,3 +130,46 @@ def test_lossy_counts_keep_all_that_is_common():
     known = dict(zip(counts.shingles.tolist(), counts.n.tolist(), strict=True))
     assert all(known[s] >= c - 0.01 * n for s, c in total.items() if c >= share * n)
     assert all(c <= total[s] for s, c in known.items()) and len(known) < len(total) / 3
+
+
+def _as_batches(texts, size):
+    return [pa.RecordBatch.from_arrays([pa.array(range(at, at + len(texts[at : at + size])), pa.int64()), pa.array(texts[at : at + size])], names=["doc_id", "text"]) for at in range(0, len(texts), size)]
+
+
+def test_a_group_of_copies_in_one_task_names_nothing(spark, monkeypatch):
+    """Each task named all shingles of half the share of its own texts, so groups of near copies made rows by their length."""
+    rng = np.random.default_rng(3)
+    base = " ".join(f"v{k}" for k in range(3000))
+    texts = [f"{base} end{i}" for i in range(20)] + [" ".join(f"w{k}" for k in rng.integers(0, 10**6, 30)) for _ in range(400)]
+    rows = [row for batch in neardup._sketch(iter(_as_batches(texts, 64))) for row in batch.to_pylist()]
+    most = neardup.CELL_ROWS * neardup.CELLS // neardup.PART
+    assert [r["doc_id"] for r in rows[: len(texts)]] == list(range(len(texts))) and len(rows) <= len(texts) + most
+    monkeypatch.setattr(neardup, "CELLS", 1 << 10)  # many shingles share a cell, and counts stay exact
+    texts = ["the cat sat on the mat " * (i % 3) + " ".join(f"w{k}" for k in rng.integers(0, 10**6, 30)) for i in range(300)]
+    hashed = list(neardup._words_of(pa.array(texts)))
+    with np.errstate(over="ignore"):
+        true = Counter(s for words in hashed for s in np.unique(neardup.shingles(words)).tolist())
+    hot = np.arange(neardup.CELL_ROWS * neardup.CELLS)
+
+    class Sent:
+        value = hot
+
+    counted = Counter()
+    for part in (texts[:100], texts[100:]):
+        for batch in neardup._count_hot(Sent)(iter([pa.RecordBatch.from_arrays([pa.array(part)], names=["text"])])):
+            counted.update(dict(zip(batch.column(0).to_numpy().view(np.uint64).tolist(), batch.column(1).to_pylist(), strict=True)))
+    assert counted == true
+
+
+def test_common_shingles_are_exact_however_texts_are_dealt(spark):
+    rng = np.random.default_rng(4)
+    texts = [("one two three four five six seven " if i % 60 == 0 else "") + " ".join(f"w{k}" for k in rng.integers(0, 10**6, 20)) for i in range(1200)]
+    with np.errstate(over="ignore"):
+        true = Counter(s for words in neardup._words_of(pa.array(texts)) for s in np.unique(neardup.shingles(words)).tolist())
+    common = {s for s, c in true.items() if c >= neardup.COMMON * len(texts)}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 7):
+        read = neardup.stage(neardup.map_batches(frame.repartition(parts), neardup._sketch, "doc_id long, one long, two long, counts binary"), "t")
+        found = neardup._common_weights(frame, read, len(texts))
+        assert set(found.common.tolist()) == common and common
+        assert np.allclose(found.idf, [np.log(len(texts) / true[s]) for s in found.common.tolist()])

@@ -3,10 +3,10 @@
 A document's shingles are its runs of SHINGLE words, lower-cased; a shorter text is one shingle. A shingle weighs its
 count times its inverse document frequency, ln(1 / f) with f the share of documents that hold it, at most ln(1 / COMMON).
 Shingles in at least a share COMMON of all documents are found exactly in two passes. First each task counts its shingles
-with a known error (lossy counting): it forgets those that can't have been in more than half the share of its documents so
-far. Spark sums the tasks' counts, and those of at least half the share are named; at most 2 * (mean shingles a document)
-/ COMMON can be, however large the corpus and however it is cut into partitions. Then the named ones are counted over all
-documents. All rarer shingles weigh the same: with their own frequencies, texts in a large group of near copies would
+by cell, in a table of CELL_ROWS rows of CELLS cells, whose cells are then added up over all tasks; a shingle's cells hold
+at least its own count. Then shingles with all cells at or above the share are counted over all documents, whatever the
+partitions. So a task sends a table of fixed size, and counts only of what shares all its cells with common shingles; a
+group of copies in one task names nothing. All rarer shingles weigh the same: with their own frequencies, texts in a large group of near copies would
 weigh what they share less than their few differences, and the group would fall apart.
 
 Exact copies (equal words) are one text from here on. Each text draws DRAWS consistent samples: for a shingle of weight w
@@ -53,6 +53,9 @@ STEP, STEPS = 0.25, 64
 SIGNED_BYTES = 1 << 19
 #: Shingles that a task gathers before it counts them.
 GATHERED = 1 << 19
+#: The table of counts: rows, cells of each, and cells of the parts in which its rows are added up.
+CELL_ROWS, CELL_BITS, PART = 2, 18, 1 << 12
+CELLS = 1 << CELL_BITS
 #: Texts of a bucket whose draws are compared in one group, and the least agreement of a pair.
 GROUP, LIKELY = 512, 0.6
 #: Texts of each side that are compared by all pairs in one block.
@@ -78,7 +81,12 @@ def _words_of(texts: pa.Array) -> Iterator[np.ndarray]:
     return iter(np.split(hashed, np.cumsum(n)[:-1]) if len(n) else [])
 
 
-_DOCS = {"doc_id": pa.int64(), "one": pa.int64(), "two": pa.int64(), "named": pa.bool_()}
+_DOCS = {"doc_id": pa.int64(), "one": pa.int64(), "two": pa.int64(), "counts": pa.binary()}
+
+
+def _cells(own: np.ndarray) -> list[np.ndarray]:
+    """The cell of each shingle in each row of the table of counts."""
+    return [(own >> np.uint64(row * CELL_BITS)).astype(np.int64) & (CELLS - 1) for row in range(CELL_ROWS)]
 
 
 class LossyCounts:
@@ -111,39 +119,87 @@ class LossyCounts:
         self.known, self.gathered, self.size = self.documents, [], 0
 
 
-def _name(share: float):
-    """Each text's two hashes; at the end, named rows with the shingles that may be common, and their counts."""
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts byte by byte, the low bytes of all first, which are most of what isn't 0."""
+    return np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(counts, np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0]
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's two hashes; at the end, the task's counts of shingles by cell, in parts of PART cells numbered in one."""
+    table = np.zeros((CELL_ROWS, CELLS), np.uint32)
+    with np.errstate(over="ignore"):
+        for batch in slices(batches, 1):
+            out: dict[str, list] = {"doc_id": batch.column(0), "one": [], "two": [], "counts": [None] * batch.num_rows}
+            held = []
+            for words in _words_of(batch.column(1)):
+                at = np.arange(1, len(words) + 1, dtype=np.uint64)
+                out["one"].append(int(mixed(np.array([(mixed(words * _BASE + at)).sum(dtype=np.uint64)]))[0].view(np.int64)))
+                out["two"].append(int((mixed((words + at) * _BASE)).sum(dtype=np.uint64).view(np.int64)))
+                held.append(np.unique(shingles(words)))
+            for row, cells in zip(table, _cells(np.concatenate(held)) if held else (), strict=False):
+                row += np.bincount(cells, minlength=CELLS).astype(np.uint32)
+            yield to_batch(out, _DOCS)
+        parts = table.reshape(-1, PART)
+        used = np.flatnonzero(parts.any(axis=1))
+        if len(used):
+            yield to_batch({"doc_id": pa.nulls(len(used), pa.int64()), "one": used, "two": [0] * len(used), "counts": [_packed(parts[i]) for i in used]}, _DOCS)
+
+
+def _hot_cells(least: float):
+    """Cells, numbered over all rows, whose counts in all tasks are together at least so much; parts come in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = LossyCounts(share / 2)
-        with np.errstate(over="ignore"):
-            for batch in slices(batches, 1):
-                out: dict[str, list] = {"doc_id": batch.column(0), "one": [], "two": [], "named": [False] * batch.num_rows}
-                for words in _words_of(batch.column(1)):
-                    at = np.arange(1, len(words) + 1, dtype=np.uint64)
-                    out["one"].append(int(mixed(np.array([(mixed(words * _BASE + at)).sum(dtype=np.uint64)]))[0].view(np.int64)))
-                    out["two"].append(int((mixed((words + at) * _BASE)).sum(dtype=np.uint64).view(np.int64)))
-                    counts.add(np.unique(shingles(words)))
-                yield to_batch(out, _DOCS)
-            counts.count()
-            for start in range(0, len(counts.n), 100_000):
-                some = slice(start, start + 100_000)
-                n = counts.n[some]
-                yield to_batch({"doc_id": pa.nulls(len(n), pa.int64()), "one": counts.shingles[some].view(np.int64), "two": n, "named": [True] * len(n)}, _DOCS)
+        part, total = None, np.zeros(PART, np.int64)
+
+        def close() -> pa.RecordBatch:
+            return to_batch({"cell": (part or 0) * PART + np.flatnonzero(total >= least)}, {"cell": pa.int64()})
+
+        for batch in batches:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if at != part:
+                    if part is not None:
+                        yield close()
+                    part, total = at, np.zeros(PART, np.int64)
+                total += _unpacked(counts)
+        if part is not None:
+            yield close()
 
     return run
 
 
-def _count_named(named):
+def _count_hot(hot):
+    """Shingles all of whose cells are hot, with the number of a task's texts that hold them."""
+
+    def counted(known: tuple[np.ndarray, np.ndarray], gathered: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        new, n = np.unique(np.concatenate(gathered), return_counts=True)
+        every, at = np.unique(np.concatenate([known[0], new]), return_inverse=True)
+        return every, np.bincount(at, np.concatenate([known[1], n])).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(named.value), np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        table, known, gathered, size = np.zeros(CELL_ROWS * CELLS, bool), none, [], 0
+        table[hot.value] = True
+        table = table.reshape(CELL_ROWS, CELLS)
+        row = lambda x: to_batch({"shingle": x[0].view(np.int64), "n": x[1]}, {"shingle": pa.int64(), "n": pa.int64()})
         with np.errstate(over="ignore"):
             for batch in slices(batches, 0):
                 for words in _words_of(batch.column(0)):
                     own = np.unique(shingles(words))
-                    total[_places(named.value, own)[1]] += 1
-        used = np.flatnonzero(total)
-        yield to_batch({"shingle": named.value[used].view(np.int64), "n": total[used]}, {"shingle": pa.int64(), "n": pa.int64()})
+                    own = own[np.logical_and.reduce([of_row[cells] for of_row, cells in zip(table, _cells(own), strict=True)])]
+                    gathered.append(own)
+                    size += len(own)
+                    if size >= GATHERED:
+                        known, gathered, size = counted(known, gathered), [], 0
+                        if len(known[0]) >= GATHERED:
+                            yield row(known)
+                            known = none
+            if gathered:
+                known = counted(known, gathered)
+        yield row(known)
 
     return run
 
@@ -387,8 +443,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id and n_copies (rows with its words) for each row of docs (doc_id, text) with a doc_id."""
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    read = stage(map_batches(texts, _name(COMMON), "doc_id long, one long, two long, named boolean"), "neardup-texts")
-    rows = read.where("not named").select("doc_id", "one", "two")
+    read = stage(map_batches(texts, _sketch, "doc_id long, one long, two long, counts binary"), "neardup-texts")
+    rows = read.where("counts is null").select("doc_id", "one", "two")
     weights = spark.sparkContext.broadcast(_common_weights(texts, read, rows.count()))
     # One text for all its exact copies.
     firsts = stage(rows.groupBy("one", "two").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies")), "neardup-firsts")
@@ -427,12 +483,12 @@ def _verified(links: DataFrame, vectors: DataFrame, top: float, threshold: float
 
 def _common_weights(texts: DataFrame, read: DataFrame, n: int) -> Weights:
     """Inverse document frequencies of the shingles that at least a share COMMON of all n documents hold."""
-    named = read.where("named").groupBy(F.col("one").alias("shingle")).agg(F.sum("two").alias("n")).where(F.col("n") >= COMMON / 2 * n)
-    named = np.sort(np.array([r.shingle for r in named.collect()], np.int64).view(np.uint64))
+    parts = read.where("counts is not null").select("one", "counts").repartition(_partitions(texts), "one").sortWithinPartitions("one")
+    cells = np.sort(map_batches(parts, _hot_cells(COMMON * n), "cell long").toArrow().column("cell").to_numpy())
     counts = []
-    if len(named):
-        sent = texts.sparkSession.sparkContext.broadcast(named)
-        counted = map_batches(texts.select("text"), _count_named(sent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    if len(cells):
+        sent = texts.sparkSession.sparkContext.broadcast(cells)
+        counted = map_batches(texts.select("text"), _count_hot(sent), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
         counts = [(r.shingle, r.n) for r in counted.where(F.col("n") >= COMMON * n).collect()]
     common = np.array([s for s, _ in counts], np.int64).view(np.uint64)
     order = np.argsort(common)
