@@ -1,3 +1,4 @@
+import random
 from itertools import permutations
 
 import numpy as np
@@ -65,3 +66,24 @@ def test_collar_and_jaccard(spark):
     error = matching.mapped_error(matching.with_collar(ref, ref, 250), matching.with_collar(pred, ref, 250), mapping).first()
     assert (error.ref_ms, error.error) == (1000, 0.0)
     assert matching.jaccard_error(ref, pred, mapping).first().jer == round((1 - 1000 / 1100 + 1 - 900 / 1000) / 2, 6)
+
+
+def test_clips_are_matched_as_lists(spark):
+    """Frames of pandas by clip took milliseconds each, twice for each of the three, so seconds grew with the clips."""
+    dice = random.Random(3)
+    rows = [(clip, dice.randint(0, 4), dice.randint(0, 4), dice.choice([0.5, 0.5, 0.25]), dice.randint(0, 9)) for clip in range(600) for _ in range(6)]
+    rows = [(*key, pair[0], pair[1]) for key, pair in {row[:3]: row[3:] for row in rows}.items()]
+    pairs = spark.createDataFrame(rows, "clip_id long, ref long, pred long, iou double, boundary_ms long")
+    found = matching.greedy_matches(pairs)
+    wanted = []
+    for clip in range(600):
+        refs, preds = set(), set()
+        for row in sorted((r for r in rows if r[0] == clip), key=lambda r: (r[3], r[1], r[2]), reverse=True):
+            if row[1] not in refs and row[2] not in preds:
+                refs.add(row[1]), preds.add(row[2]), wanted.append(row)
+    assert found.columns == pairs.columns and sorted(map(tuple, found.collect())) == sorted(wanted)
+    cells = spark.createDataFrame([(1, "a", "x", 5), (1, "a", "x", 4), (1, "b", "x", 8), (1, None, "y", 9), (1, "b", "y", None), (2, "a", None, 3)], "clip_id long, ref_speaker string, pred_speaker string, overlap_ms long")
+    mapped = matching.map_speakers(cells)
+    assert sorted(map(tuple, mapped.collect())) == [(1, "x", "a", 9)]
+    plans = [frame.select("*")._jdf.queryExecution().executedPlan().toString() for frame in (found, mapped)]
+    assert all("Pandas" not in plan and sum("ArrowEvalPython [" in line for line in plan.splitlines()) == 1 for plan in plans)

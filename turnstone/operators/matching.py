@@ -1,15 +1,18 @@
 """One-to-one matching of intervals and of speaker labels, clip by clip, and the scores built on it.
 
 Candidate pairs come from a join; what is left of a clip, its pairs or its label matrix, is matched in order by a small
-grouped function. A clip's size is bounded by a meeting's length, so no group grows with the number of clips.
+function over lists. A clip's size is bounded by a meeting's length, so no group grows with the number of clips.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from turnstone.operators.intervals import boundary_cuts, elementary_intervals, holding, interval_union, meeting, without
 
@@ -29,19 +32,46 @@ def candidate_pairs(reference: DataFrame, predicted: DataFrame, least_iou: float
     return met.select("clip_id", "ref", "pred", "iou", (F.abs(F.col("rs") - F.col("ps")) + F.abs(F.col("re") - F.col("pe"))).alias("boundary_ms"))
 
 
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    refs, preds, kept = set(), set(), []
-    for row in pairs.sort_values(["iou", "ref", "pred"], ascending=False).itertuples(index=False):
-        if row.ref not in refs and row.pred not in preds:
-            refs.add(row.ref)
-            preds.add(row.pred)
-            kept.append(row)
-    return pd.DataFrame(kept, columns=pairs.columns)
+#: Clips whose pairs or cells a task holds as Python objects at once.
+SOME_CLIPS = 256
+
+
+def _by_clip(function, kind, arrow: pa.DataType):
+    """A column of what function makes of each row's lists."""
+
+    def run(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for lists in parts:
+            done = [pa.array([], arrow)]
+            for at in range(0, len(lists[0]), SOME_CLIPS):
+                done.append(pa.array([function(*row) for row in zip(*(x.slice(at, SOME_CLIPS).to_pylist() for x in lists), strict=True)], arrow))
+            yield pa.concat_arrays(done)
+
+    # Not twice for the filter that Spark puts before an explode.
+    return F.arrow_udf(run, kind).asNondeterministic()
+
+
+def _greedy(refs: list, preds: list) -> list[int]:
+    """Places of the pairs that are kept, from 1."""
+    used_refs, used_preds, kept = set(), set(), []
+    for at, (ref, pred) in enumerate(zip(refs, preds, strict=True), 1):
+        if ref not in used_refs and pred not in used_preds:
+            used_refs.add(ref)
+            used_preds.add(pred)
+            kept.append(at)
+    return kept
+
+
+# Pandas frames by clip took milliseconds a clip; lists are as large and quick.
+_kept = _by_clip(_greedy, ArrayType(IntegerType()), pa.list_(pa.int32()))
 
 
 def greedy_matches(pairs: DataFrame) -> DataFrame:
     """Pairs in descending order of (iou, ref, pred), each side used once."""
-    return pairs.groupBy("clip_id").applyInPandas(_greedy, pairs.schema)
+    order = ["iou", "ref", "pred"]
+    row = F.struct(*order, *(name for name in pairs.columns if name not in (*order, "clip_id")))
+    listed = pairs.groupBy("clip_id").agg(F.sort_array(F.collect_list(row), asc=False).alias("listed"))
+    chosen = listed.select("clip_id", "listed", F.explode(_kept(F.col("listed")["ref"], F.col("listed")["pred"])).alias("at"))
+    return chosen.select("clip_id", F.element_at("listed", F.col("at")).alias("pair")).select("clip_id", "pair.*").select(*pairs.columns)
 
 
 def event_scores(reference: DataFrame, predicted: DataFrame, least_iou: float = 0.3) -> DataFrame:
@@ -128,18 +158,27 @@ def best_assignment(weight: np.ndarray) -> list[int]:
     return out
 
 
-def _map_labels(cells: pd.DataFrame) -> pd.DataFrame:
-    table = cells.pivot_table(index="ref_speaker", columns="pred_speaker", values="overlap_ms", aggfunc="sum", fill_value=0)
-    table = table.sort_index().sort_index(axis=1)
-    chosen = best_assignment(table.to_numpy())
-    rows = [(cells.clip_id.iloc[0], table.columns[c], table.index[i], int(table.iat[i, c])) for i, c in enumerate(chosen) if c >= 0 and table.iat[i, c] > 0]
-    return pd.DataFrame(rows, columns=["clip_id", "pred_speaker", "mapped_to", "overlap_ms"])
+def _map_labels(refs: list, preds: list, shared: list) -> list[dict]:
+    cells = [cell for cell in zip(refs, preds, shared, strict=True) if cell[0] is not None and cell[1] is not None]
+    rows, columns = sorted({ref for ref, _, _ in cells}), sorted({pred for _, pred, _ in cells})
+    table = np.zeros((len(rows), len(columns)), np.int64)
+    at, to = {name: i for i, name in enumerate(rows)}, {name: i for i, name in enumerate(columns)}
+    for ref, pred, ms in cells:
+        table[at[ref], to[pred]] += ms or 0
+    return [{"pred_speaker": columns[c], "mapped_to": rows[i], "overlap_ms": int(table[i, c])} for i, c in enumerate(best_assignment(table)) if c >= 0 and table[i, c] > 0]
+
+
+_mapped = _by_clip(
+    _map_labels, ArrayType(StructType([StructField("pred_speaker", StringType()), StructField("mapped_to", StringType()), StructField("overlap_ms", LongType())])),
+    pa.list_(pa.struct([("pred_speaker", pa.string()), ("mapped_to", pa.string()), ("overlap_ms", pa.int64())])),
+)
 
 
 def map_speakers(matrix: DataFrame) -> DataFrame:
     """clip_id, pred_speaker, mapped_to, overlap_ms: labels one to one, with the greatest shared time (see speaker_overlap_matrix)."""
-    schema = f"clip_id {matrix.schema['clip_id'].dataType.simpleString()}, pred_speaker string, mapped_to string, overlap_ms long"
-    return matrix.groupBy("clip_id").applyInPandas(_map_labels, schema)
+    listed = matrix.groupBy("clip_id").agg(F.collect_list(F.struct(F.col("ref_speaker").alias("r"), F.col("pred_speaker").alias("p"), F.coalesce("overlap_ms", F.lit(0)).cast("long").alias("ms"))).alias("cells"))
+    cells = F.col("cells")
+    return listed.select("clip_id", F.explode(_mapped(cells["r"], cells["p"], cells["ms"])).alias("m")).select("clip_id", "m.*")
 
 
 def mapped_error(reference: DataFrame, predicted: DataFrame, mapping: DataFrame) -> DataFrame:
