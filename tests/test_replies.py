@@ -99,3 +99,12 @@ def plain_distance(a, b):
 @given(st.lists(st.sampled_from("abc"), max_size=90), st.lists(st.sampled_from("abcd"), max_size=90))
 def test_edit_distance(a, b):
     assert T.edit_distance(a, b) == plain_distance(a, b)
+
+
+def test_tables_as_long_as_the_texts_are_not_broadcast(spark, glossary):
+    rows = spark.createDataFrame([(i, RIGHT, WRONG, "en") for i in range(4)], "id int, reference_text string, hypothesis_text string, language string")
+    texts = rows.select("id", F.col("hypothesis_text").alias("text"))
+    offered = evidence.candidates(texts, glossary)
+    for made in (offered, evidence.apply_corrections(texts, offered, glossary), replies.evaluate_replies(rows, said(spark, *[{"corrections": [GOOD]}] * 4), glossary)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [id" in plan and "BroadcastHashJoin [id" not in plan

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from turnstone.functions import text as T
 from turnstone.operators.assignment import texts_with_phrases
+from turnstone.scratch import by_sorting
 
 #: Terms for amounts by share, words that make such an amount likely, categories of names, and short words that are no names. Fixed values.
 AMOUNT_TERMS = ("cents a share", "cents per share")
@@ -125,7 +126,7 @@ def apply_corrections(texts: DataFrame, proposals: DataFrame, glossary: DataFram
         new = F.when(found["decision"] == "accept", replace_once(state["text"], p["source"], p["replacement"])).otherwise(state["text"])
         return F.struct(new.alias("text"), F.when(again, state["records"]).otherwise(F.concat(state["records"], F.array(own))).alias("records"))
 
-    done = texts.join(listed, "id", "left").withColumn("done", F.when(F.col("ps").isNotNull(), F.aggregate("ps", start, step)).otherwise(start))
+    done = texts.join(by_sorting(listed), "id", "left").withColumn("done", F.when(F.col("ps").isNotNull(), F.aggregate("ps", start, step)).otherwise(start))
     return done.select("id", F.col("done.text").alias("corrected"), F.col("done.records").alias("records"))
 
 
@@ -147,7 +148,7 @@ def candidates(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     usable = forms.where((F.col("form") != "") & ~(F.array_contains("fine", _normal(F.col("form"))) & ~F.array_contains("errors", _normal(F.col("form"))))).withColumn("phrase", F.lower("form"))
     # Texts that hold a form anywhere are found by an index of letters; only these are searched for it as a word.
     likely = texts_with_phrases(texts.select("id", F.lower("text").alias("text")), usable.select("phrase"))
-    held = likely.join(usable, "phrase").join(texts.select("id", "text"), "id").where(holds(F.col("text"), F.col("form")))
+    held = likely.join(usable, "phrase").join(by_sorting(texts.select("id", "text")), "id").where(holds(F.col("text"), F.col("form")))
     held = held.select("id", F.lit(1).alias("kind"), "entry", "at", F.col("form").alias("source"), F.col("canonical").alias("replacement"), "canonical")
     both = amounts.unionByName(held).where(_normal(F.col("source")) != _normal(F.col("replacement")))
     order = ["kind", "entry", "at"]

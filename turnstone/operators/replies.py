@@ -9,7 +9,7 @@ from turnstone.functions import text as T
 from turnstone.operators import evidence
 from turnstone.operators.assignment import texts_with_phrases
 from turnstone.operators.audits import HAN
-from turnstone.scratch import written
+from turnstone.scratch import by_sorting, written
 
 LISTS = ("corrections", "needs_review", "no_op")
 DECISIONS = ("accept", "reject", "needs_review", "no_op")
@@ -69,9 +69,9 @@ def terms_present(texts: DataFrame, glossary: DataFrame) -> DataFrame:
     forms = written(forms.select("canonical", "form", T.wer_normal(F.col("form")).alias("target"), F.rlike("form", F.lit(HAN)).alias("han")), "terms-forms")
     rows = written(texts.select("id", "mandarin", "text", T.wer_normal(F.col("text")).alias("normal")), "terms-texts")
     # As they stand in Mandarin, else in normal form between other signs than a-z and 0-9.
-    whole = texts_with_phrases(rows.select("id", "text"), forms.select(F.col("form").alias("phrase"))).withColumnRenamed("phrase", "form").join(forms, "form").join(rows.select("id", "mandarin"), "id").where("mandarin or han").select("id", "canonical")
+    whole = texts_with_phrases(rows.select("id", "text"), forms.select(F.col("form").alias("phrase"))).withColumnRenamed("phrase", "form").join(forms, "form").join(by_sorting(rows.select("id", "mandarin")), "id").where("mandarin or han").select("id", "canonical")
     bounded = F.rlike("normal", F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.col("target"), F.lit(r"\E(?![a-z0-9])")))
-    words = texts_with_phrases(rows.select("id", F.col("normal").alias("text")), forms.where("target <> ''").select(F.col("target").alias("phrase"))).withColumnRenamed("phrase", "target").join(forms, "target").join(rows.select("id", "mandarin", "normal"), "id")
+    words = texts_with_phrases(rows.select("id", F.col("normal").alias("text")), forms.where("target <> ''").select(F.col("target").alias("phrase"))).withColumnRenamed("phrase", "target").join(forms, "target").join(by_sorting(rows.select("id", "mandarin", "normal")), "id")
     held = whole.unionByName(words.where("not mandarin and not han").where(bounded).select("id", "canonical"))
     return held.groupBy("id").agg(F.array_sort(F.collect_set("canonical")).alias("terms"))
 
@@ -114,9 +114,9 @@ def evaluate_replies(rows: DataFrame, replies: DataFrame, glossary: DataFrame, v
     texts = written(texts, "replies-rows")
     said = texts.select("id", F.col("hypothesis_text").alias("text"))
     asked = written(evidence.candidates(said, glossary).select("id").distinct(), "replies-asked")
-    done, decisions = decided(said, replies.join(asked, "id", "left_semi"), glossary, version)
+    done, decisions = decided(said, replies.join(by_sorting(asked), "id", "left_semi"), glossary, version)
     counts = decisions.groupBy("id").agg(*(F.count_if(F.col("decision") == name).alias(f"n_{name}") for name in DECISIONS))
-    three = texts.join(done.select("id", F.col("corrected").alias("corrected_text")), "id")
+    three = texts.join(by_sorting(done.select("id", F.col("corrected").alias("corrected_text"))), "id")
     each = three.select("id", "mandarin", F.explode(F.map_from_arrays(F.array(*map(F.lit, TEXTS)), F.array(*(f"{name}_text" for name in TEXTS)))).alias("which", "text"))
     each = written(each.select(F.struct("id", "which").alias("id"), "mandarin", "text"), "replies-texts")
     present = terms_present(each, glossary).select("id.id", "id.which", "terms").groupBy("id").agg(*(F.first(F.when(F.col("which") == name, F.col("terms")), ignorenulls=True).alias(f"{name}_terms") for name in TEXTS))
@@ -125,7 +125,7 @@ def evaluate_replies(rows: DataFrame, replies: DataFrame, glossary: DataFrame, v
     ref = F.col("reference_tokens")
     distances = tokens.select("id", F.size(ref).alias("n"), *(T.token_distance(ref, F.col(f"{name}_tokens")).alias(name) for name in TEXTS[1:]))
     errors = distances.select("id", *(T.error_rate(F.col(name), F.col("n")).alias(f"wer_{when}") for name, when in (("hypothesis", "before"), ("corrected", "after"))))
-    scored = three.join(asked.withColumn("asked", F.lit(True)), "id", "left").join(counts, "id", "left").join(errors, "id").join(present, "id", "left").withColumns({f"{name}_terms": F.coalesce(f"{name}_terms", none) for name in TEXTS})
+    scored = three.join(by_sorting(asked.withColumn("asked", F.lit(True))), "id", "left").join(by_sorting(counts), "id", "left").join(by_sorting(errors), "id").join(by_sorting(present), "id", "left").withColumns({f"{name}_terms": F.coalesce(f"{name}_terms", none) for name in TEXTS})
     scored = with_term_scores(with_term_scores(scored, "reference_terms", "hypothesis_terms", "before"), "reference_terms", "corrected_terms", "after")
     return scored.select(
         "id", F.coalesce("asked", F.lit(False)).alias("asked"), "corrected_text", "wer_before", "wer_after", "missing_before", "missing_after",
