@@ -1,6 +1,9 @@
+import re
+
 import pytest
 
-from turnstone.operators import workflow
+from turnstone.operators import anchors, workflow
+from turnstone.sources.tables import conversation_words
 
 
 @pytest.fixture
@@ -31,3 +34,24 @@ def test_each_variant_adds_to_the_one_before(meeting):
 def test_unknown_names_are_refused(meeting):
     with pytest.raises(ValueError, match="no such variant"):
         workflow.variant("magic", *meeting)
+
+
+def test_all_variants_at_once_are_each_of_them(meeting):
+    together = workflow.variants(*meeting)
+    for name in workflow.VARIANTS:
+        alone = workflow.variant(name, *meeting)
+        assert together.where(f"variant = '{name}'").select(alone.columns).orderBy("anchor").collect() == alone.orderBy("anchor").collect()
+
+
+def test_words_are_dealt_by_clip_alone(spark):
+    turns = spark.createDataFrame([(1, 0, "A", "word " * 200, 0, 80_000), (1, 1, "B", "word word", 59_000, 61_000), (2, 0, "A", "one", 0, 1000)], "clip_id long, idx long, speaker string, text string, start_ms long, end_ms long")
+    aligned = anchors.align_words(conversation_words(turns), turns)
+    near = aligned.where("clip_id = 1 and idx = 0 and start_ms between 58500 and 61000").collect()
+    assert {(r.start_ms, *r.speakers) for r in near} == {(60_800, "A"), *((ms, "A", "B") for ms in range(58_800, 60_800, 400))}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = anchors.sessionize(anchors.align_words(conversation_words(turns), turns))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert dealt and all(re.fullmatch(r"clip_id#\d+L(, bucket#\d+L)?, \d+", keys) for keys in dealt)  # turns by bucket, words never
