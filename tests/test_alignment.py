@@ -1,5 +1,7 @@
 """The alignment against a plain one, and the categories of known errors."""
 
+import random
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -102,3 +104,27 @@ def test_errors_are_aligned_once_in_slices(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "id int, a array<string>, b array<string>").coalesce(1)
     got = {r.id: [tuple(e) for e in r.edited] for r in frame.select("id", alignment.edits(F.col("a"), F.col("b")).alias("edited")).collect()}
     assert got == {i: list(alignment.edits_between(a or [], b)) for i, a, b in rows}
+
+
+def test_letters_changed_are_levenshteins(spark):
+    """Spark's own filled a table of letters by letters for each pair of whole turns."""
+    dice = random.Random(11)
+    word = lambda n, letters: "".join(dice.choice(letters) for _ in range(n))
+    pairs = [(word(dice.randint(0, 90), letters), word(dice.randint(0, 90), letters)) for letters in ("ab", "abcdefgh ", "aé😀ß") for _ in range(60)]
+    middle = [(head + a + tail, head + b + tail) for a, b in pairs[:60] for head, tail in [(word(40, "ab"), word(40, "ab"))]]
+    rows = [*pairs, *middle, ("", ""), ("", "abc"), ("abc", "abcabc"), (None, "a"), ("a", None)]
+    frame = spark.createDataFrame(rows, "a string, b string").select(alignment.distance("a", "b").alias("own"), F.levenshtein("a", "b").alias("right"))
+    assert frame.where(~F.col("own").eqNullSafe(F.col("right"))).count() == 0
+    long = "letters in turn " * 2000
+    began = time.process_time()
+    assert alignment.letters_changed(long, "x" + long + "y") == 2 and alignment.letters_changed("a" + long, long[:-1] + "b") == 2
+    assert time.process_time() - began < 20
+
+
+def test_features_of_decisions_fill_no_table_of_letters(spark):
+    from turnstone.operators import gate_features
+
+    rows = spark.createDataFrame([("we use piano note", "we use pyannote")], "raw_text string, corrected_text string")
+    featured = gate_features.features(rows)
+    assert "levenshtein" not in featured._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert featured.select("edit_distance_ratio").first() == rows.select(F.levenshtein("raw_text", "corrected_text") / 17).first()

@@ -87,12 +87,13 @@ def features(rows: DataFrame) -> DataFrame:
     rows = with_columns(rows)
     cut = lambda name: F.regexp_extract_all(low(name), F.lit(f"({TOKEN})"), 1)
     rows = rows.withColumns({"raw_tokens": cut("raw_text"), "new_tokens": cut("corrected_text")})
-    rows = rows.withColumn("edited", alignment.edits(c("raw_tokens"), c("new_tokens"), leave_out_common=True))
+    # Both in one step, so that a task has one Python worker for them.
+    rows = rows.withColumns({"edited": alignment.edits(c("raw_tokens"), c("new_tokens"), leave_out_common=True), "letters": alignment.distance(text("raw_text"), text("corrected_text"))})
     changed = F.aggregate("edited", F.lit(0), lambda n, e: n + F.greatest(e["a_end"] - e["a_start"], e["b_end"] - e["b_start"]))
     uncertainty = number("uncertainty_level")
     for level, value in UNCERTAINTY.items():
         uncertainty = F.when(F.lower(F.trim("uncertainty_level")) == level, value).otherwise(uncertainty)
-    distance = F.levenshtein(text("raw_text"), text("corrected_text")) / F.greatest(F.length(text("raw_text")), F.length(text("corrected_text")), F.lit(1))
+    distance = c("letters") / F.greatest(F.length(text("raw_text")), F.length(text("corrected_text")), F.lit(1))
     rows = rows.withColumns({"changed": changed, "uncertainty": uncertainty, "distance": distance, "overlapping": _truth(c("overlap"))})
     ratio = c("changed") / F.greatest(F.size("raw_tokens"), F.size("new_tokens"), F.lit(1))
     heavy = c("overlapping") & ((c("uncertainty") >= 0.9) | F.contains(low("difficulty"), F.lit("heavy")) | F.contains(low("notes"), F.lit("heavy")))
@@ -119,7 +120,7 @@ def features(rows: DataFrame) -> DataFrame:
         "invented_content_flag": flag(_truth(c("invented_content"))), "speaker_attribution_changed_flag": flag(_truth(c("speaker_attribution_changed"))),
     }
     shadowed = {f"__{name}": value.cast("double") for name, value in made.items()}
-    done = rows.withColumns(shadowed).drop("raw_tokens", "new_tokens", "edited", "changed", "uncertainty", "distance", "overlapping")
+    done = rows.withColumns(shadowed).drop("raw_tokens", "new_tokens", "edited", "letters", "changed", "uncertainty", "distance", "overlapping")
     return done.withColumns({name: c(f"__{name}") for name in made}).drop(*shadowed)
 
 
