@@ -44,3 +44,9 @@ def test_nine_models(spark):
     assert all(r.macro_f1 > 0.8 for r in metrics if r.feature_set == "audit_aware" and r.model != "logistic") and all(0 <= r.unsafe_accept_rate <= 1 for r in metrics)
     best = learning.best_model(spark.createDataFrame([("a", "m2", 0.5, 0.1), ("a", "m1", 0.5, 0.1), ("a", "m0", 0.5, 0.2), ("b", "m9", 0.1, 0.0)], "feature_set string, model string, macro_f1 double, unsafe_accept_rate double")).collect()
     assert sorted((r.feature_set, r.model) for r in best) == [("a", "m1"), ("b", "m9")]
+
+
+def test_models_read_written_features(spark):
+    """Each pass of each model cut the texts of all documents anew."""
+    plan = learning_queries.gate_rows(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.lower() and "text" not in [name for name in learning_queries.gate_rows(spark, SF).columns]

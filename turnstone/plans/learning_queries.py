@@ -23,13 +23,13 @@ def query(function):
 
 
 def gate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents with features of their text and a split by source, so that no source is on both sides."""
+    """Labelled documents with features of their text and a split by source, so that no source is on both sides; written, as each model reads them many times."""
     text, n = F.col("text"), F.greatest(F.length("text"), F.lit(1))
     words = F.regexp_count(text, F.lit(r"\S+"))
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").where("text is not null")
     features = {"n_words": words, "mean_word": n / F.greatest(words, F.lit(1)), "marks": F.regexp_count(text, F.lit(r"[^\p{L}\s]")) / n, "capitals": F.regexp_count(text, F.lit(r"\p{Lu}")) / n, "breaks": F.regexp_count(text, F.lit(r"\n")) / n}
     label = F.when(F.col("quality") == 1, "accept").otherwise("reject")
-    return rows.select("doc_id", label.alias("label"), (F.pmod(F.xxhash64("source"), F.lit(10)) < 7).alias("is_train"), *[c.cast("double").alias(name) for name, c in features.items()])
+    return written(rows.select("doc_id", label.alias("label"), (F.pmod(F.xxhash64("source"), F.lit(10)) < 7).alias("is_train"), *[c.cast("double").alias(name) for name, c in features.items()]), "gate-rows")
 
 
 @query
