@@ -73,3 +73,13 @@ def test_standard_errors(spark):
     assert whole.der == round(500 / (2500 + 500 * 2 + 3500), 6) and skipped.der == 0.0 and skipped.jer == 0.0
     scored = diarization.score_turns(ref, diarization.events_of(ref), pred, standard=True).first()
     assert scored.der == whole.der and scored.jer_skip_overlap == 0.0 and scored.label_error == round(1000 / 9000, 6)
+
+
+def test_scores_read_written_tables(spark):
+    """The plan worked out turns, events and mappings anew for each score: 447 and 116 exchanges."""
+    from turnstone.plans import matching_queries
+
+    for name, most in (("clip_scores", 130), ("baseline_scores", 90)):
+        plan = matching_queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        exchanges = plan.split("== Initial Plan ==")[-1].count("Exchange")
+        assert "conversations" not in plan and exchanges <= most, (name, exchanges)

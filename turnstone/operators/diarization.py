@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnstone.operators import intervals, matching, meetings
 from turnstone.operators.anchors import OVERLAP, UNKNOWN
+from turnstone.scratch import written
 
 #: Milliseconds around a reference boundary that standard errors leave out.
 COLLAR_MS = 250
@@ -20,8 +21,9 @@ def standard_errors(reference: DataFrame, predicted: DataFrame, collar_ms: int =
     cuts = intervals.boundary_cuts(reference, collar_ms)
     if skip_overlap:
         cuts = cuts.unionByName(intervals.overlap_regions(reference).select("clip_id", "start_ms", "end_ms"))
-    ref, pred = intervals.without(reference, cuts), intervals.without(predicted, cuts)
-    mapping = matching.map_speakers(intervals.speaker_overlap_matrix(ref, pred))
+    cuts = written(cuts, "cuts")
+    ref, pred = (written(intervals.without(rows, cuts), "left-turns") for rows in (reference, predicted))
+    mapping = written(matching.map_speakers(intervals.speaker_overlap_matrix(ref, pred)), "left-mapping")
     errors = matching.mapped_error(ref, pred, mapping).where("ref_ms > 0").select("clip_id", F.col("error").alias("der"))
     return reference.select("clip_id").distinct().join(errors, "clip_id", "left").join(matching.jaccard_error(ref, pred, mapping), "clip_id", "left")
 
@@ -53,10 +55,11 @@ def score_turns(reference: DataFrame, reference_events: DataFrame, predicted: Da
     """A row for each clip of reference (clip_id, id, speaker, start_ms, end_ms), with all scores of its predicted turns.
 
     Predicted events come from the turns by rule unless they are given. Event scores are null where the reference has no such
-    events, boundary errors where nothing matches. standard adds der and jer, with overlaps and without.
+    events, boundary errors where nothing matches. standard adds der and jer, with overlaps and without. What several scores
+    read is worked out once and written; the tables that are given are read many times, so they should be written as well.
     """
-    found = events_of(predicted) if predicted_events is None else predicted_events
-    mapping = matching.map_speakers(intervals.speaker_overlap_matrix(*(rows.where(~F.col("speaker").isin(UNKNOWN, OVERLAP)) for rows in (reference, predicted))))
+    found = written(events_of(predicted), "found-events") if predicted_events is None else predicted_events
+    mapping = written(matching.map_speakers(intervals.speaker_overlap_matrix(*(rows.where(~F.col("speaker").isin(UNKNOWN, OVERLAP)) for rows in (reference, predicted)))), "mapping")
     counted = lambda rows, name: rows.groupBy("clip_id").agg(F.count("*").alias(name))
     out = counted(reference, "n_ref_turns").join(counted(predicted, "n_pred_turns"), "clip_id", "left")
     out = out.join(label_error_rate(reference, predicted, mapping), "clip_id", "left").join(intervals.coverage(reference, predicted).select("clip_id", "coverage"), "clip_id", "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnstone.operators import diarization, intervals, matching
 from turnstone.plans.interval_queries import OVERLAPS_SQL, shifted
-from turnstone.scratch import folder
+from turnstone.scratch import folder, written
 from turnstone.sources.tables import TURNS_SQL, conversation_turns, table
 from turnstone.streaming import overlaps, sessions
 
@@ -142,10 +142,10 @@ def cumulative_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Turns, their events but for every third, and a shifted prediction."""
-    turns = conversation_turns(spark, sf_dir)
+    """Turns, their events but for every third, and a shifted prediction; written, as each score reads them again."""
+    turns = written(conversation_turns(spark, sf_dir).drop("text"), "turns")
     numbered = lambda rows: rows.select("clip_id", F.col("idx").alias("id"), "speaker", "start_ms", "end_ms")
-    return numbered(turns), diarization.events_of(numbered(turns)).where("id % 3 <> 0"), numbered(shifted(turns))
+    return numbered(turns), written(diarization.events_of(numbered(turns)).where("id % 3 <> 0"), "events"), numbered(shifted(turns))
 
 
 @query()
